@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.functions.text import SPACE_CLASS, chunk_tokens, token_count
 from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
 
+# Chunks of one run that are put into one text or document.
+PART_ROWS = 1 << 12
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone."""
@@ -136,13 +139,21 @@ def memory_deltas(snapshots: DataFrame, *keys: str) -> DataFrame:
     })
 
 
-def assemble_response(trace: DataFrame, part_rows: int = 1 << 12) -> DataFrame:
+def in_parts(trace: DataFrame, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``part``: 0 for a run's first ``part_rows`` chunks, 1 for the next, and so on."""
+    rows = ordered_scan(
+        trace, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows), totals={"_place": F.lit(1)}
+    )
+    return rows.withColumn("part", block_of(F.col("_place") - 1, part_rows)).drop("_place")
+
+
+def assemble_response(trace: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """The response text of each run, its chunks joined in arrival order.
 
-    A response comes in parts ``0, 1, ...`` of at most ``part_rows`` positions, whose
-    texts follow one another; one task never has to hold a whole long response.
+    A response of more than ``part_rows`` chunks comes in parts whose texts follow
+    one another, so that no task has to hold a response of any length.
     """
-    rows = trace.withColumn("part", block_of(F.col("seq"), part_rows))
+    rows = in_parts(trace, part_rows)
     return rows.groupBy("run_id", "part").agg(
         F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("response")
     )

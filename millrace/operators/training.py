@@ -19,8 +19,8 @@ METHOD_TASKS = {
 
 def compat_matrix(spark) -> DataFrame:
     """``(method, task)`` pairs that fit, as a table of fixed size."""
-    pairs = [(method, task) for method, tasks in METHOD_TASKS.items() for task in tasks]
-    return spark.createDataFrame(pairs, "method string, task string")
+    pairs = ", ".join(f"('{method}', '{task}')" for method, tasks in METHOD_TASKS.items() for task in tasks)
+    return spark.sql(f"SELECT * FROM VALUES {pairs} AS matrix(method, task)")
 
 
 def effective_task() -> Column:

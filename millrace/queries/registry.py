@@ -1,5 +1,8 @@
 """All registered queries by name."""
 
-from millrace.queries import configs, datasets, responses, telemetry
+from millrace.queries import configs, datasets, files, generation, responses, streams, telemetry
 
-REGISTRY = {**datasets.QUERIES, **responses.QUERIES, **configs.QUERIES, **telemetry.QUERIES}
+REGISTRY = {
+    **datasets.QUERIES, **responses.QUERIES, **configs.QUERIES, **telemetry.QUERIES,
+    **files.QUERIES, **generation.QUERIES, **streams.QUERIES,
+}

@@ -13,7 +13,8 @@ from millrace.queries.fixtures import Query, table
 from millrace.sinks.jsonl import build_run_logs
 from millrace.sources.runlogs import explode_trace, parse_run_logs, stat
 
-PART_ROWS = 1 << 12
+# Small, so that runs of the given tables take several parts.
+PART_ROWS = 50
 
 
 def runs(spark, folder):
@@ -59,7 +60,7 @@ def scanned(spark, folder):
 
 
 ENTRIES = (
-    f"entries AS (SELECT *, seq // {PART_ROWS} AS part FROM steps WHERE tps IS NOT NULL), "
+    f"entries AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1) // {PART_ROWS} AS part FROM steps WHERE tps IS NOT NULL), "
     "numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, part ORDER BY seq) - 1 AS INTEGER) AS entry_idx FROM entries)"
 )
 
@@ -147,7 +148,8 @@ QUERIES = {
     "throughput_stats": Query(speeds, f"WITH {fx.TRACE}, {SPEEDS} SELECT * FROM speeds"),
     "assemble_response": Query(
         lambda spark, folder: tm.assemble_response(fx.trace(spark, folder), PART_ROWS),
-        f"WITH {fx.TRACE} SELECT run_id, seq // {PART_ROWS} AS part, string_agg(chunk, '' ORDER BY seq) AS response FROM trace GROUP BY run_id, seq // {PART_ROWS}",
+        f"WITH {fx.TRACE}, placed AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1) // {PART_ROWS} AS part FROM trace) "
+        "SELECT run_id, part, string_agg(chunk, '' ORDER BY seq) AS response FROM placed GROUP BY run_id, part",
     ),
     "run_log_sink": Query(
         logged,

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import jsonrow
-from millrace.operators.telemetry import block_of
+from millrace.operators.telemetry import PART_ROWS, in_parts
 
 
 def as_json_lines(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
@@ -43,17 +43,17 @@ def to_training_table(classified: DataFrame, task: str, path: str | None = None)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def build_run_logs(stats: DataFrame, entries: DataFrame, part_rows: int = 1 << 12) -> DataFrame:
+def build_run_logs(stats: DataFrame, entries: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Run-log documents ``(run_id, part, document)``: rounded stats and the chunk trace.
 
-    A trace is cut into parts of at most ``part_rows`` positions, each a whole
-    document that repeats the stats; short runs have part 0 alone. ``stats`` has one
+    A trace of more than ``part_rows`` entries is cut into parts, each a whole
+    document that repeats the stats; other runs have part 0 alone. ``stats`` has one
     row per run, ``entries`` is ``(run_id, seq, chunk, tokens, tps, elapsed_s)``.
     """
     entry = F.struct(
         "seq", "chunk", "tokens", F.round("tps", 2).alias("tps"), F.round("elapsed_s", 3).alias("elapsed_s")
     )
-    parts = entries.withColumn("part", block_of(F.col("seq"), part_rows)).groupBy("run_id", "part").agg(
+    parts = in_parts(entries, part_rows).groupBy("run_id", "part").agg(
         F.array_sort(F.collect_list(entry)).alias("_entries")
     )
     trace = F.transform(

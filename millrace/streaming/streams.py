@@ -32,6 +32,14 @@ def stream_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(valid).alias("generated"), F.count_if(~valid).alias("skipped"))
 
 
+def use_rocksdb(spark: SparkSession) -> None:
+    """The state store that ``stream_cap`` needs."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 class _FirstRows(StatefulProcessor):
     """Passes a key's rows on until it has given its target."""
 
@@ -61,7 +69,7 @@ def stream_cap(rows: DataFrame, keys: list[str], target: int) -> DataFrame:
 
     Rows beyond the target within one task of one micro-batch can never be among
     the first, so they go before the shuffle: a key with very many rows sends at
-    most ``target`` per task. Needs the RocksDB state store.
+    most ``target`` per task. The state needs the RocksDB store (``use_rocksdb``).
     """
     def before_shuffle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict = {}
