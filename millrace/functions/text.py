@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 # What Python's str.strip() removes, as characters and as a regex class.
@@ -13,6 +16,7 @@ SPACES = (
 SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 # What Python's str.splitlines() breaks on.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 CODE_FENCE = "```"
 TRUNCATION_MARK = "\n... [truncated at {limit} chars]"
 
@@ -22,7 +26,13 @@ def strip(text: Column) -> Column:
 
 
 def split_lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAK)
+    """Lines as Python's str.splitlines() finds them.
+
+    Most texts break at newlines alone; splitting those at the one character is
+    several times as fast as the regex.
+    """
+    rare = reduce(or_, [text.contains(mark) for mark in RARE_BREAKS])
+    return F.when(rare, F.split(text, LINE_BREAK)).otherwise(F.split(text, "\n"))
 
 
 def is_blank(text: Column) -> Column:
@@ -30,8 +40,12 @@ def is_blank(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Whitespace-separated words; an empty string has none."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE_CLASS}]+"))
+    """Whitespace-separated words; an empty string has none.
+
+    Splitting at one literal character is several times as fast as a regex here.
+    """
+    words = F.split(F.translate(text, SPACES, " " * len(SPACES)), " ")
+    return F.size(F.array_remove(words, ""))
 
 
 def chunk_tokens(tokens: Column, chunk: Column) -> Column:

@@ -83,20 +83,30 @@ def provider_route(configs: DataFrame, prefixes: dict[str, str] | None = None, d
     return configs.withColumns({"provider": provider, "slug": slug})
 
 
-def missing_keys(configs: DataFrame, providers: DataFrame) -> DataFrame:
+def _with_key(providers: DataFrame, prefixes: dict[str, str] | None, default: str) -> DataFrame:
+    """The providers with a key that a model can route to: no more than there are routes."""
+    routes = {*(PROVIDER_PREFIXES if prefixes is None else prefixes).values(), default}
+    return F.broadcast(providers.filter(F.col("provider").isin(*routes)).select("provider").distinct())
+
+
+def missing_keys(
+    configs: DataFrame, providers: DataFrame, prefixes: dict[str, str] | None = None, default: str = DEFAULT_PROVIDER
+) -> DataFrame:
     """Configs whose provider has no key. ``providers`` holds the ``provider`` names that have one."""
-    routed = configs if "provider" in configs.columns else provider_route(configs)
-    return routed.join(providers.select("provider"), "provider", "left_anti").select("name", "provider")
+    routed = provider_route(configs, prefixes, default)
+    return routed.join(_with_key(providers, prefixes, default), "provider", "left_anti").select("name", "provider")
 
 
-def preflight(requested: DataFrame, configs: DataFrame, providers: DataFrame, **routing) -> DataFrame:
+def preflight(
+    requested: DataFrame, configs: DataFrame, providers: DataFrame,
+    prefixes: dict[str, str] | None = None, default: str = DEFAULT_PROVIDER,
+) -> DataFrame:
     """What stops a run before any work: ``(name, problem)`` for each requested config that fails."""
     names = requested.select("name")
     unknown = names.join(configs.select("name"), "name", "left_anti").select("name", F.lit("not_found").alias("problem"))
     wanted = configs.join(names, "name", "left_semi")
-    checked = provider_route(wanted, **routing).join(validate_configs(wanted), "name")
-    # the few providers with a key are joined by name; their number is what Spark measures
-    keyed = checked.join(providers.select("provider", F.lit(True).alias("_keyed")), "provider", "left")
+    checked = provider_route(wanted, prefixes, default).join(validate_configs(wanted), "name")
+    keyed = checked.join(_with_key(providers, prefixes, default).withColumn("_keyed", F.lit(True)), "provider", "left")
     problem = F.when(~F.col("ok"), F.concat(F.lit("invalid_"), F.col("code"))).when(F.col("_keyed").isNull(), F.lit("no_key"))
     return unknown.unionByName(keyed.select("name", problem.alias("problem")).filter(F.col("problem").isNotNull()))
 

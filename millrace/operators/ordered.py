@@ -3,6 +3,9 @@
 A plain window puts each key into one task. Here a key's rows are cut into blocks
 by a whole number that grows with the order; each block is its own window group,
 and what earlier blocks hand over is worked out on one row per block.
+
+The rows are read twice: once whole, once for the blocks' sums with the few columns
+these need. Write an input first (``settle``) when it is costly to compute.
 """
 
 from __future__ import annotations
@@ -25,52 +28,53 @@ def ordered_scan(
     block: Column,
     totals: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
+    least: dict[str, Column] | None = None,
     attach: DataFrame | None = None,
 ) -> DataFrame:
-    """Add running totals and previous values per key, in order.
+    """Add values per key, in order, without one task per key.
 
-    ``totals`` are sums up to and including the row; ``previous`` are values of the
-    row before, NULL on a key's first. ``attach`` (unique on ``keys``) is joined at
+    ``totals`` are sums up to and including the row; ``previous`` is the last
+    non-NULL value of the rows before, NULL when there is none; ``least`` is the
+    smallest value of the whole key. ``attach`` (unique on ``keys``) is joined at
     block level, so that a key with very many rows does not meet in one task. Keys
-    must not be null, and ``block`` must not decrease along ``order``.
+    must not be NULL, and ``block`` must not decrease along ``order``.
     """
-    totals, previous = totals or {}, previous or {}
+    totals, previous, least = totals or {}, previous or {}, least or {}
     slots = [*keys, BLOCK]
     rows = df.withColumn(BLOCK, block).withColumns(
-        {f"_of_{name}": value for name, value in {**totals, **previous}.items()}
+        {f"_of_{name}": value for name, value in {**totals, **previous, **least}.items()}
     )
-    position = F.struct(*order)
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    last = {
+        name: F.max_by(f"_of_{name}", F.when(F.col(f"_of_{name}").isNotNull(), position)) for name in previous
+    }
     summary = rows.groupBy(*slots).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_of_{name}").alias(f"_sum_{name}") for name in totals],
-        # wrapped, so that a last value that is NULL is handed over as NULL
-        *[F.max_by(F.struct(F.col(f"_of_{name}").alias("v")), position).alias(f"_end_{name}") for name in previous],
+        *[value.alias(f"_end_{name}") for name, value in last.items()],
+        *[F.min(f"_of_{name}").alias(f"_min_{name}") for name in least],
     )
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
-    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         *slots,
         *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_sum_{name}") for name in totals],
-        *[F.lag(f"_end_{name}").over(across)["v"].alias(f"_end_{name}") for name in previous],
+        *[F.last(f"_end_{name}", ignorenulls=True).over(earlier).alias(f"_end_{name}") for name in previous],
+        *[F.min(f"_min_{name}").over(whole).alias(name) for name in least],
     )
     if attach is not None:
         carry = carry.join(attach, keys, "left")
-    inside = Window.partitionBy(*slots).orderBy(*order)
-    local = rows.withColumns(
-        {
-            **{f"_run_{name}": F.sum(f"_of_{name}").over(inside.rowsBetween(Window.unboundedPreceding, 0)) for name in totals},
-            **{f"_lag_{name}": F.lag(F.struct(F.col(f"_of_{name}").alias("v"))).over(inside) for name in previous},
-        }
-    )
-    joined = local.join(carry, slots, "left")
+    inside = Window.partitionBy(*slots).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({
+        **{f"_run_{name}": F.sum(f"_of_{name}").over(inside) for name in totals},
+        **{f"_lag_{name}": F.last(f"_of_{name}", ignorenulls=True).over(before) for name in previous},
+    })
     attached = [c for c in (attach.columns if attach is not None else []) if c not in keys]
-    return joined.select(
+    return local.join(carry, slots, "left").select(
         *df.columns,
         *[(F.col(f"_run_{name}") + F.col(f"_sum_{name}")).alias(name) for name in totals],
-        *[
-            F.when(F.col(f"_lag_{name}").isNotNull(), F.col(f"_lag_{name}")["v"])
-            .otherwise(F.col(f"_end_{name}")).alias(name)
-            for name in previous
-        ],
+        *[F.coalesce(f"_lag_{name}", f"_end_{name}").alias(name) for name in previous],
+        *least,
         *attached,
     )

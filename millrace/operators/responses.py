@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import jsonrow
 from millrace.functions.text import CODE_FENCE, split_lines, strip
 from millrace.operators.ordered import block_of, ordered_scan
 
 VALID, WRONG_TASK = "valid", "wrong_task"
+# Up to this many rows per key Spark limits a ranking before the shuffle
+# (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
+EARLY_LIMIT = 1000
 
 
 def candidate_lines(responses: DataFrame, response: str = "response") -> DataFrame:
@@ -53,9 +56,14 @@ def cap_to_target(
 ) -> DataFrame:
     """Keep each key's first ``target`` rows in batch and line order.
 
-    A late batch fills what an earlier one left open. Blocks of batches keep a key
-    with very many rows spread over tasks.
+    A late batch fills what an earlier one left open. A small target is cut before
+    the shuffle; otherwise blocks of batches keep a key with very many rows spread
+    over tasks.
     """
+    if isinstance(target, int) and target <= EARLY_LIMIT:
+        # Spark keeps at most the target per key and task before it shuffles
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(batch, line))
+        return rows.withColumn("_rank", first).filter(F.col("_rank") <= target).drop("_rank")
     target = F.lit(target) if isinstance(target, int) else target
     ranked = ordered_scan(
         rows, keys, [batch, line], block_of(F.col(batch), block_batches), totals={"_rank": F.lit(1)}

@@ -27,34 +27,46 @@ def run_bounds(trace: DataFrame, lead_us: int = 0) -> DataFrame:
     )
 
 
-def trace_steps(trace: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every chunk with its tokens, cumulative tokens, seconds since the run start and its speed.
-
-    The first chunk is measured from the run start. ``tps`` is NULL where no token
-    or no time passed: such chunks are no trace entries. ``runs`` holds
-    ``(run_id, started_us)``.
+def trace_steps(
+    trace: DataFrame, runs: DataFrame | None = None, lead_us: int = 0, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Every chunk with its place, tokens, cumulative tokens, seconds since the run start and speed.
+
+    The first chunk is measured from the run start: that of ``runs`` (``run_id,
+    started_us``), else ``lead_us`` before the run's first chunk. ``tps`` is NULL
+    where no token or no time passed: such chunks are no trace entries. ``words``
+    adds up to the words of the whole response: a chunk's own, less one where it
+    goes on with the word that the text before it ended in.
     """
+    spaced = f"[{SPACE_CLASS}]"
+    text = F.col("chunk") != ""
     rows = trace.withColumns({
         "tokens": chunk_tokens(F.col("tokens"), F.col("chunk")),
         "_us": micros(F.col("ts")),
     })
     scanned = ordered_scan(
         rows, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
-        totals={"cumulative_tokens": F.col("tokens")},
-        previous={"_before": F.col("_us")},
-        attach=runs.select("run_id", "started_us"),
+        totals={"place": F.lit(1), "cumulative_tokens": F.col("tokens")},
+        previous={"_before": F.col("_us"), "_open": F.when(text, ~F.right("chunk", F.lit(1)).rlike(spaced))},
+        least={"_first": F.col("_us")} if runs is None else None,
+        attach=None if runs is None else runs.select("run_id", "started_us"),
     )
-    passed = F.col("_us") - F.coalesce(F.col("_before"), F.col("started_us"))
+    if runs is None:
+        scanned = scanned.withColumn("started_us", F.col("_first") - lead_us)
+    passed = F.col("_us") - F.coalesce("_before", "started_us")
+    goes_on = text & F.coalesce("_open", F.lit(False)) & ~F.left("chunk", F.lit(1)).rlike(spaced)
     return scanned.select(
-        "run_id", "seq", "chunk", "tokens", "cumulative_tokens",
+        "run_id", "seq", F.col("place").cast("long").alias("place"), "chunk", "tokens", "cumulative_tokens",
         ((F.col("_us") - F.col("started_us")) / 1e6).alias("elapsed_s"),
         F.when((F.col("tokens") > 0) & (passed > 0), F.col("tokens") / (passed / 1e6)).alias("tps"),
+        (token_count(F.col("chunk")) - goes_on.cast("int")).alias("words"),
     )
 
 
-def chunk_tps(trace: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def chunk_tps(trace: DataFrame, runs: DataFrame | None = None, **options) -> DataFrame:
     """Trace entries: chunks that hold tokens and took time."""
-    return trace_steps(trace, runs, block_rows).filter(F.col("tps").isNotNull()).drop("cumulative_tokens")
+    steps = trace_steps(trace, runs, **options).filter(F.col("tps").isNotNull())
+    return steps.select("run_id", "seq", "chunk", "tokens", "elapsed_s", "tps")
 
 
 def cumulative_tokens(trace: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -74,43 +86,44 @@ def elapsed(trace: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) ->
     ).select("run_id", "seq", ((F.col("_us") - F.col("started_us")) / 1e6).alias("elapsed_s"))
 
 
-def response_tokens(trace: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Words of each run's whole response, without joining its chunks.
+def throughput(steps: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Overall, peak and lowest speed per run, from ``trace_steps``.
 
-    The chunks' own words are added up; a word that runs across a chunk border was
-    counted on both sides and is taken off once.
+    The response's tokens are its words, or what ``counts`` (``run_id,
+    response_tokens``) says. Peak and lowest fall back to overall where a run has
+    no trace entry; a run without duration has overall speed 0.
     """
-    text = trace.filter(F.col("chunk") != "")
-    rows = ordered_scan(
-        text, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
-        previous={"_open": ~F.right("chunk", F.lit(1)).rlike(f"[{SPACE_CLASS}]")},
+    runs = steps.groupBy("run_id").agg(
+        F.max("elapsed_s").alias("time_s"), F.sum("words").alias("response_tokens"),
+        F.max("tps").alias("_peak"), F.min("tps").alias("_lowest"),
     )
-    continues = F.coalesce(F.col("_open"), F.lit(False)) & ~F.left("chunk", F.lit(1)).rlike(f"[{SPACE_CLASS}]")
-    return rows.groupBy("run_id").agg(
-        (F.sum(token_count(F.col("chunk"))) - F.count_if(continues)).alias("response_tokens")
+    if counts is not None:
+        runs = runs.drop("response_tokens").join(counts.select("run_id", "response_tokens"), "run_id", "left")
+    overall = F.when(F.col("time_s") > 0, F.col("response_tokens") / F.col("time_s")).otherwise(F.lit(0.0))
+    return runs.withColumn("tps_overall", overall).select(
+        "run_id", "time_s", "response_tokens", "tps_overall",
+        F.coalesce("_peak", "tps_overall").alias("tps_peak"),
+        F.coalesce("_lowest", "tps_overall").alias("tps_lowest"),
     )
 
 
-def throughput(steps: DataFrame, runs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Overall, peak and lowest speed per run.
+def in_parts(steps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """Add ``part``: 0 for a run's first ``part_rows`` chunks, 1 for the next, and so on."""
+    return steps.withColumn("part", block_of(F.col("place") - 1, part_rows))
+
+
+def assemble_response(trace: DataFrame, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The response text of each run, its chunks joined in arrival order.
 
-    ``steps`` is ``trace_steps``, ``runs`` holds ``started_us`` and ``ended_us``,
-    ``tokens`` the response's token count. Peak and lowest fall back to overall
-    where a run has no trace entry; a run without duration has overall speed 0.
+    A response of more than ``part_rows`` chunks comes in parts whose texts follow
+    one another, so that no task has to hold a response of any length.
     """
-    speeds = steps.groupBy("run_id").agg(F.max("tps").alias("_peak"), F.min("tps").alias("_lowest"))
-    joined = runs.join(speeds, "run_id", "left").join(tokens, "run_id", "left")
-    time_s = (F.col("ended_us") - F.col("started_us")) / 1e6
-    count = F.coalesce(F.col("response_tokens"), F.lit(0))
-    overall = F.when(F.col("time_s") > 0, F.col("response_tokens") / F.col("time_s")).otherwise(F.lit(0.0))
-    return (
-        joined.withColumns({"time_s": time_s, "response_tokens": count})
-        .withColumn("tps_overall", overall)
-        .select(
-            "run_id", "time_s", "response_tokens", "tps_overall",
-            F.coalesce("_peak", "tps_overall").alias("tps_peak"),
-            F.coalesce("_lowest", "tps_overall").alias("tps_lowest"),
-        )
+    places = ordered_scan(
+        trace.select("run_id", "seq", "chunk"), ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
+        totals={"place": F.lit(1)},
+    )
+    return in_parts(places, part_rows).groupBy("run_id", "part").agg(
+        F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("response")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import jsonrow
 from millrace.functions.text import fill_template
+from millrace.operators.skew import ROWS_PER_TASK, spread_join
 
 # Row shapes that the tasks stand for, shown to a model; callers may pass their own.
 SCHEMA_HINTS = {
@@ -38,15 +39,9 @@ def unit_prompts(units: DataFrame, prompts: list[str] | Column) -> DataFrame:
     return units.select(*units.columns, F.posexplode(listed).alias("prompt_idx", "prompt"))
 
 
-def attach_units(configs: DataFrame, units: DataFrame, salts: int = 16) -> DataFrame:
-    """Each grounded config with the units of its own source.
-
-    A source may hold a large part of all units, so its rows are spread over
-    ``salts`` groups and the config rows repeated for each.
-    """
-    salted = units.withColumn("_salt", F.pmod(F.xxhash64("unit_idx"), F.lit(salts)).cast("int"))
-    repeated = configs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return repeated.join(salted, ["source", "_salt"]).drop("_salt")
+def attach_units(configs: DataFrame, units: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Each grounded config with the units of its own source, however large that source is."""
+    return spread_join(units, configs, ["source"], rows_per_task)
 
 
 def batch_total(count: Column, existing: Column, batch: Column) -> Column:

@@ -123,8 +123,7 @@ CLASSIFIED = (
 
 # Responses: eight lines of those kinds, the first kind moving with unit and batch.
 def spark_response(t: str, start: str, breaks: str) -> str:
-    kinds = quoted(f"ARRAY({', '.join(shapes(t))})")
-    eight = f"transform(sequence(0, 7), i -> element_at({kinds}, cast((({start}) + i) % 16 + 1 as int)))"
+    eight = "ARRAY(" + ", ".join(quoted(shape_case(t, f"(({start}) + {i}) % 16")) for i in range(8)) + ")"
     return f"array_join({eight}, CASE WHEN ({breaks}) % 7 = 0 THEN '\\r\\n' ELSE '\\n' END)"
 
 

@@ -22,7 +22,8 @@ def units(spark, folder):
 
 
 def pairs(spark, folder):
-    return rq.unit_prompts(units(spark, folder).select("source", "unit_idx"), fx.PROMPTS).drop("prompt")
+    named = fx.spread(units(spark, folder).select("source", "unit_idx"))
+    return rq.unit_prompts(named, fx.PROMPTS).drop("prompt")
 
 
 def plan(spark, folder):
@@ -109,7 +110,7 @@ def limited(spark, folder):
     valid = parsed_answers(spark, folder).filter("status = 'valid'")
     # a source's rows in unit order, so a unit's place is the batch
     rows = valid.withColumn("place", (F.col("unit_idx") * 8 + F.col("prompt_idx") * 4 + F.col("batch_idx")))
-    return rs.cap_to_target(rows, ["source"], 100, batch="place", block_batches=1 << 12).select(
+    return rs.cap_to_target(rows, ["source"], F.lit(100), batch="place", block_batches=1 << 12).select(
         "source", "unit_idx", "prompt_idx", "batch_idx", "line_idx"
     )
 
@@ -234,7 +235,8 @@ QUERIES = {
         "CAST(sum(g) AS BIGINT) AS generated, CAST(sum(s) AS BIGINT) AS skipped, count(DISTINCT unit_idx) AS sources FROM fills GROUP BY source",
     ),
     "token_count": Query(
-        lambda spark, folder: table(spark, folder, "documents").select("doc_id", token_count(F.col("text")).cast("long").alias("tokens")),
+        lambda spark, folder: fx.spread(table(spark, folder, "documents").select("doc_id", "text")).select(
+            "doc_id", token_count(F.col("text")).cast("long").alias("tokens")),
         "SELECT doc_id, len(regexp_extract_all(text, '[^\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}"
         "\\x{202f}\\x{205f}\\x{3000}]+')) AS tokens FROM documents",
     ),

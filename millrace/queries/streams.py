@@ -69,7 +69,8 @@ def capped(spark, folder):
 
 def sensed(spark, folder):
     samples = table_stream(spark, folder, "events").selectExpr("user_id AS run_id", "CAST(ts AS TIMESTAMP) AS ts", "value AS celsius")
-    return through_files(spark, tm.sensor_windows(samples, "1 hour", "2 hours"), "sensors")
+    found = through_files(spark, tm.sensor_windows(samples, "1 hour", "2 hours"), "sensors")
+    return found.withColumn("avg", F.round("avg", 6))
 
 
 def traced(spark, folder):
@@ -114,7 +115,12 @@ QUERIES = {
     "stream_cap": Query(
         capped, f"{VALID} SELECT source, least(count(*), {CAP}) AS n_rows FROM parsed WHERE status = 'valid' GROUP BY source"
     ),
-    "stream_sensor_windows": Query(sensed),
+    "stream_sensor_windows": Query(
+        sensed,
+        "WITH w AS (SELECT user_id AS run_id, date_trunc('hour', ts) AS window_start, round(avg(value), 6) AS avg, max(value) AS peak, min(value) AS lowest, "
+        "count(*) AS samples FROM events GROUP BY user_id, date_trunc('hour', ts)) SELECT * FROM w "
+        "WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR",
+    ),
     "stream_chunk_trace": Query(
         traced,
         f"WITH {fx.TRACE.replace(f'min(us) - {fx.LEAD_US}', 'min(us)')} SELECT run_id, seq, tokens, cumulative_tokens, elapsed_s, tps FROM steps",

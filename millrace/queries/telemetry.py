@@ -22,11 +22,11 @@ def runs(spark, folder):
 
 
 def steps(spark, folder):
-    return tm.trace_steps(fx.trace(spark, folder), runs(spark, folder))
+    return tm.trace_steps(fx.trace(spark, folder), lead_us=fx.LEAD_US)
 
 
 def speeds(spark, folder):
-    return tm.throughput(steps(spark, folder), runs(spark, folder), tm.response_tokens(fx.trace(spark, folder)))
+    return tm.throughput(steps(spark, folder))
 
 
 WORD = "[^\\x09-\\x0d\\x1c-\\x20]+"
@@ -46,7 +46,7 @@ def two(expression: str, places: int) -> str:
 
 
 def documents(spark, folder):
-    return build_run_logs(tm.round_stats(speeds(spark, folder)), tm.chunk_tps(fx.trace(spark, folder), runs(spark, folder)), PART_ROWS)
+    return build_run_logs(tm.round_stats(speeds(spark, folder)), steps(spark, folder), PART_ROWS)
 
 
 def logged(spark, folder):
@@ -60,7 +60,8 @@ def scanned(spark, folder):
 
 
 ENTRIES = (
-    f"entries AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1) // {PART_ROWS} AS part FROM steps WHERE tps IS NOT NULL), "
+    f"placed AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1) // {PART_ROWS} AS part FROM steps), "
+    "entries AS (SELECT * FROM placed WHERE tps IS NOT NULL), "
     "numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, part ORDER BY seq) - 1 AS INTEGER) AS entry_idx FROM entries)"
 )
 
@@ -134,7 +135,7 @@ def by_path(spark, folder):
 
 QUERIES = {
     "chunk_tps": Query(
-        lambda spark, folder: tm.chunk_tps(fx.trace(spark, folder), runs(spark, folder)),
+        lambda spark, folder: tm.chunk_tps(fx.trace(spark, folder), lead_us=fx.LEAD_US),
         f"WITH {fx.TRACE} SELECT run_id, seq, chunk, tokens, elapsed_s, tps FROM steps WHERE tps IS NOT NULL",
     ),
     "cumulative_tokens": Query(
@@ -153,9 +154,10 @@ QUERIES = {
     ),
     "run_log_sink": Query(
         logged,
-        f"WITH {fx.TRACE}, {SPEEDS}, {ENTRIES}, parts AS (SELECT run_id, part, count(*) AS n FROM entries GROUP BY run_id, part) "
-        f"SELECT run_id, coalesce(part, 0) AS part, {two('time_s', 4)} AS time_s, response_tokens, {two('tps_overall', 4)} AS tps_overall, "
-        f"{two('tps_peak', 4)} AS tps_peak, {two('tps_lowest', 4)} AS tps_lowest, CAST(coalesce(n, 0) AS INTEGER) AS entries FROM speeds LEFT JOIN parts USING (run_id)",
+        f"WITH {fx.TRACE}, {SPEEDS}, {ENTRIES}, parts AS (SELECT run_id, part, count(tps) AS n FROM placed GROUP BY run_id, part) "
+        f"SELECT parts.run_id, part, {two('time_s', 4)} AS time_s, response_tokens, {two('tps_overall', 4)} AS tps_overall, "
+        f"{two('tps_peak', 4)} AS tps_peak, {two('tps_lowest', 4)} AS tps_lowest, CAST(n AS INTEGER) AS entries "
+        "FROM parts LEFT JOIN speeds ON parts.run_id = speeds.run_id AND part = 0",
     ),
     "run_log_scan": Query(
         scanned,

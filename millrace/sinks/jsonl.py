@@ -43,26 +43,27 @@ def to_training_table(classified: DataFrame, task: str, path: str | None = None)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def build_run_logs(stats: DataFrame, entries: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def build_run_logs(stats: DataFrame, steps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """Run-log documents ``(run_id, part, document)``: rounded stats and the chunk trace.
 
-    A trace of more than ``part_rows`` entries is cut into parts, each a whole
-    document that repeats the stats; other runs have part 0 alone. ``stats`` has one
-    row per run, ``entries`` is ``(run_id, seq, chunk, tokens, tps, elapsed_s)``.
+    A run of more than ``part_rows`` chunks is cut into parts, each a document of
+    its own; the stats stand in part 0. ``stats`` has one row per run, ``steps`` is
+    ``trace_steps``; chunks without a speed are no entries.
     """
     entry = F.struct(
         "seq", "chunk", "tokens", F.round("tps", 2).alias("tps"), F.round("elapsed_s", 3).alias("elapsed_s")
     )
-    parts = in_parts(entries, part_rows).groupBy("run_id", "part").agg(
-        F.array_sort(F.collect_list(entry)).alias("_entries")
+    parts = in_parts(steps, part_rows).groupBy("run_id", "part").agg(
+        F.array_sort(F.collect_list(F.when(F.col("tps").isNotNull(), entry))).alias("_entries")
     )
     trace = F.transform(
         "_entries", lambda e: F.struct(e["chunk"].alias("chunk"), e["tokens"].alias("tokens"), e["tps"].alias("tps"), e["elapsed_s"].alias("elapsed_s"))
     )
     shown = [c for c in stats.columns if c != "run_id"]
-    joined = stats.join(parts, "run_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    # both sides have one row per run and part: a run of many parts does not meet in one task
+    joined = stats.withColumns({"part": F.lit(0).cast("long"), "_has": F.lit(True)}).join(parts, ["run_id", "part"], "full")
     document = F.struct(
-        F.struct(*shown).alias("stats"),
+        F.when(F.col("_has"), F.struct(*shown)).alias("stats"),
         F.coalesce(trace, F.array().cast("array<struct<chunk:string,tokens:bigint,tps:double,elapsed_s:double>>")).alias("chunk_trace"),
     )
     return joined.select("run_id", "part", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

@@ -72,14 +72,12 @@ def stream_cap(rows: DataFrame, keys: list[str], target: int) -> DataFrame:
     most ``target`` per task. The state needs the RocksDB store (``use_rocksdb``).
     """
     def before_shuffle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict = {}
+        seen = pd.Series(dtype="int64")
         for batch in batches:
-            place = batch.groupby(keys, dropna=False, sort=False).cumcount()
-            names = list(batch[keys].itertuples(index=False, name=None))
-            keep = [seen.get(name, 0) + at < target for name, at in zip(names, place)]
-            for name in names:
-                seen[name] = min(target, seen.get(name, 0) + 1)
-            yield batch[keep]
+            name = pd.MultiIndex.from_frame(batch[keys]).to_flat_index()
+            place = batch.groupby(keys, dropna=False, sort=False).cumcount().to_numpy()
+            yield batch[seen.reindex(name, fill_value=0).to_numpy() + place < target]
+            seen = seen.add(pd.Series(1, index=name).groupby(level=0).sum(), fill_value=0).clip(upper=target)
 
     few = rows.mapInPandas(before_shuffle, rows.schema)
     return few.groupBy(*keys).transformWithStateInPandas(
