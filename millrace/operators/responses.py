@@ -73,9 +73,12 @@ def cap_to_target(
 
 def progress(
     parsed: DataFrame, keys: list[str], target: int | Column, batch: str = "batch_idx",
-    block_batches: int = 1 << 14,
+    existing: int = 0, block_batches: int = 1 << 14,
 ) -> DataFrame:
-    """After each batch: rows generated so far, at most ``target``, and lines skipped so far."""
+    """After each batch: rows generated so far, at most ``target``, and lines skipped so far.
+
+    ``existing`` rows of a resumed output count as generated.
+    """
     target = F.lit(target) if isinstance(target, int) else target
     per_batch = parse_counts(parsed, *keys, batch)
     running = ordered_scan(
@@ -83,7 +86,7 @@ def progress(
         totals={"_valid": F.col("valid"), "total_skipped": F.col("skipped")},
     )
     return running.select(
-        *keys, batch, F.least(F.col("_valid"), target).alias("generated"), "total_skipped"
+        *keys, batch, F.least(F.col("_valid") + existing, target).alias("generated"), "total_skipped"
     )
 
 

@@ -13,6 +13,12 @@ from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
 
 # Chunks of one run that are put into one text or document.
 PART_ROWS = 1 << 12
+# Decimal places of a run log's numbers.
+PLACES = {
+    "time_s": 4, "tps_overall": 4, "tps_peak": 4, "tps_lowest": 4, "tps": 2, "elapsed_s": 3,
+    "temp_avg_c": 2, "temp_peak_c": 2, "temp_lowest_c": 2, "ram_mb": 2, "device_util_pct": 1,
+    "before_mb": 2, "after_load_mb": 2, "after_inference_mb": 2, "load_delta_mb": 2, "inference_delta_mb": 2,
+}
 
 
 def micros(ts: Column) -> Column:
@@ -28,7 +34,8 @@ def run_bounds(trace: DataFrame, lead_us: int = 0) -> DataFrame:
 
 
 def trace_steps(
-    trace: DataFrame, runs: DataFrame | None = None, lead_us: int = 0, block_rows: int = BLOCK_ROWS
+    trace: DataFrame, runs: DataFrame | None = None, lead_us: int = 0, block_rows: int = BLOCK_ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every chunk with its place, tokens, cumulative tokens, seconds since the run start and speed.
 
@@ -36,7 +43,8 @@ def trace_steps(
     started_us``), else ``lead_us`` before the run's first chunk. ``tps`` is NULL
     where no token or no time passed: such chunks are no trace entries. ``words``
     adds up to the words of the whole response: a chunk's own, less one where it
-    goes on with the word that the text before it ended in.
+    goes on with the word that the text before it ended in. ``keep`` names further
+    columns of the trace, such as memory and utilisation readings.
     """
     spaced = f"[{SPACE_CLASS}]"
     text = F.col("chunk") != ""
@@ -59,7 +67,7 @@ def trace_steps(
         "run_id", "seq", F.col("place").cast("long").alias("place"), "chunk", "tokens", "cumulative_tokens",
         ((F.col("_us") - F.col("started_us")) / 1e6).alias("elapsed_s"),
         F.when((F.col("tokens") > 0) & (passed > 0), F.col("tokens") / (passed / 1e6)).alias("tps"),
-        (token_count(F.col("chunk")) - goes_on.cast("int")).alias("words"),
+        (token_count(F.col("chunk")) - goes_on.cast("int")).alias("words"), *keep,
     )
 
 
@@ -174,12 +182,7 @@ def assemble_response(trace: DataFrame, part_rows: int = PART_ROWS) -> DataFrame
 
 def round_stats(stats: DataFrame) -> DataFrame:
     """The rounding that run logs use, for the columns that are there."""
-    places = {
-        "time_s": 4, "tps_overall": 4, "tps_peak": 4, "tps_lowest": 4, "tps": 2, "elapsed_s": 3,
-        "temp_avg_c": 2, "temp_peak_c": 2, "temp_lowest_c": 2, "ram_mb": 2, "device_util_pct": 1,
-        "before_mb": 2, "after_load_mb": 2, "after_inference_mb": 2, "load_delta_mb": 2, "inference_delta_mb": 2,
-    }
-    return stats.withColumns({c: F.round(c, places[c]) for c in stats.columns if c in places})
+    return stats.withColumns({c: F.round(c, PLACES[c]) for c in stats.columns if c in PLACES})
 
 
 def sensor_windows(samples: DataFrame, width: str, delay: str | None = None, value: str = "celsius") -> DataFrame:

@@ -9,7 +9,11 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import jsonrow
-from millrace.operators.telemetry import PART_ROWS, in_parts
+from millrace.operators.telemetry import PART_ROWS, PLACES, in_parts
+from millrace.sources.units import spaced_json
+
+# Fields of a run log besides its stats, response and trace.
+RUN_FIELDS = ("model", "device", "prompt", "args", "timestamp")
 
 
 def as_json_lines(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
@@ -18,6 +22,14 @@ def as_json_lines(df: DataFrame, keep_nulls: bool = True) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), options).alias("raw"))
 
 
+def spaced_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """JSON lines with a space after commas and colons and each key once.
+
+    Lines can be written as they came; this form is for readers that compare bytes.
+    """
+    return df.withColumn(raw, spaced_json(raw))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", raw: str = "raw", by: list[str] | None = None) -> None:
     """One line per row, UTF-8, as the text stands; ``mode='append'`` resumes an output."""
     writer = df.select(*(by or []), raw).write.mode(mode)
@@ -44,26 +56,30 @@ def to_training_table(classified: DataFrame, task: str, path: str | None = None)
 
 
 def build_run_logs(stats: DataFrame, steps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Run-log documents ``(run_id, part, document)``: rounded stats and the chunk trace.
+    """Run-log documents ``(run_id, part, document)``: rounded stats, response and chunk trace.
 
-    A run of more than ``part_rows`` chunks is cut into parts, each a document of
-    its own; the stats stand in part 0. ``stats`` has one row per run, ``steps`` is
-    ``trace_steps``; chunks without a speed are no entries.
+    A run of more than ``part_rows`` chunks is cut into parts, each a document with
+    its piece of the response and the trace; the stats stand in part 0. ``stats``
+    has one row per run, and what of ``RUN_FIELDS`` it holds (model, prompt, ...)
+    goes beside the stats. ``steps`` is ``trace_steps``; chunks without a speed are
+    no entries.
     """
-    entry = F.struct(
-        "seq", "chunk", "tokens", F.round("tps", 2).alias("tps"), F.round("elapsed_s", 3).alias("elapsed_s")
-    )
+    shown = ["chunk", "tokens", *[c for c in ("tps", "elapsed_s", "ram_mb", "device_util_pct") if c in steps.columns]]
+    entry = F.struct("seq", *[F.round(c, PLACES[c]).alias(c) if c in PLACES else F.col(c) for c in shown])
     parts = in_parts(steps, part_rows).groupBy("run_id", "part").agg(
-        F.array_sort(F.collect_list(F.when(F.col("tps").isNotNull(), entry))).alias("_entries")
+        F.array_sort(F.collect_list(F.when(F.col("tps").isNotNull(), entry))).alias("_entries"),
+        F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("response"),
     )
-    trace = F.transform(
-        "_entries", lambda e: F.struct(e["chunk"].alias("chunk"), e["tokens"].alias("tokens"), e["tps"].alias("tps"), e["elapsed_s"].alias("elapsed_s"))
-    )
-    shown = [c for c in stats.columns if c != "run_id"]
     # both sides have one row per run and part: a run of many parts does not meet in one task
-    joined = stats.withColumns({"part": F.lit(0).cast("long"), "_has": F.lit(True)}).join(parts, ["run_id", "part"], "full")
-    document = F.struct(
-        F.when(F.col("_has"), F.struct(*shown)).alias("stats"),
-        F.coalesce(trace, F.array().cast("array<struct<chunk:string,tokens:bigint,tps:double,elapsed_s:double>>")).alias("chunk_trace"),
-    )
+    heads = stats.withColumns({"part": F.lit(0).cast("long"), "_has": F.lit(True)})
+    joined = heads.join(parts, ["run_id", "part"], "full")
+    trace = F.transform("_entries", lambda e: F.struct(*[e[c].alias(c) for c in shown]))
+    beside = {c: F.col(c) for c in RUN_FIELDS if c in stats.columns}
+    numbers = [c for c in stats.columns if c not in ("run_id", *RUN_FIELDS)]
+    cells = {
+        **beside, "response": F.coalesce("response", F.lit("")),
+        "stats": F.when(F.col("_has"), F.struct(*numbers)),
+        "chunk_trace": F.coalesce(trace, F.from_json(F.lit("[]"), parts.select(trace.alias("t")).schema["t"].dataType)),
+    }
+    document = F.struct(*[cells[c].alias(c) for c in (*RUN_FIELDS[:3], "response", "args", "stats", "chunk_trace", "timestamp") if c in cells])
     return joined.select("run_id", "part", F.to_json(document, {"ignoreNullFields": "false"}).alias("document"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob as globs
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -56,12 +57,10 @@ def units_from_dir(spark: SparkSession, path: str, glob: str = "", hidden: bool
             raise ValueError(f"no file below {path} matches {glob or EVERY_FILE}")
         rows = read_paths(spark, [os.path.join(path, p) for p in found])
     else:
-        root = path.rstrip("/")
-        rows = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .withColumn("_relative", F.expr(f"substring_index(path, '{root}/', -1)"))
-            .filter(F.col("_relative").rlike(glob_regex(glob)))
-        )
+        root = path.rstrip("/") + "/"
+        below = F.substr("path", F.instr("path", root) + len(root))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        rows = files.filter(below.rlike(glob_regex(glob)))
         if rows.select("path").isEmpty():
             raise ValueError(f"no file below {path} matches {glob or EVERY_FILE}")
     return rows.select(F.lit(path).alias("source"), "path", plain_text(F.col("content")).alias("unit"))
@@ -79,11 +78,10 @@ class PathGroup(InputPartition):
 
 
 class PathsReader(DataSourceReader):
-    """Reads the files named in a list, a bounded number of bytes per task."""
+    """Reads the files named in a JSON list, a bounded number of bytes per task."""
 
     def __init__(self, options):
-        with open(options["list"], encoding="utf-8") as lines:
-            self.paths = [line.rstrip("\n") for line in lines if line.strip()]
+        self.paths = json.loads(options["list"])
         self.group_bytes = int(options.get("groupBytes", 64 << 20))
 
     def partitions(self):
@@ -104,7 +102,7 @@ class PathsReader(DataSourceReader):
 
 
 class PathsSource(DataSource):
-    """``format("paths").option("list", file)``: one row per listed file, hidden ones too."""
+    """``format("paths").option("list", json)``: one row per listed file, hidden ones too."""
 
     @classmethod
     def name(cls):
@@ -119,11 +117,5 @@ class PathsSource(DataSource):
 
 def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``(path, content)`` of exactly these files, on storage that all executors mount."""
-    from millrace.session import scratch_path
-
     spark.dataSource.register(PathsSource)
-    listing = scratch_path(spark, "paths").removeprefix("file:")
-    os.makedirs(os.path.dirname(listing), exist_ok=True)
-    with open(listing, "w", encoding="utf-8") as out:
-        out.writelines(f"{path}\n" for path in paths)
-    return spark.read.format("paths").option("list", listing).load()
+    return spark.read.format("paths").option("list", json.dumps(paths)).load()

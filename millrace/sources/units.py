@@ -27,7 +27,8 @@ def _json_units(texts: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(StringType())
-def _json_line(lines: pd.Series) -> pd.Series:
+def spaced_json(lines: pd.Series) -> pd.Series:
+    """JSON texts in Python's default form; others as they stand."""
     def unit(line):
         try:
             return _dump(json.loads(line))
@@ -74,7 +75,7 @@ def units_from_jsonl(lines: DataFrame, raw: str = "raw", compact: bool = False)
     if compact:
         unit: Column = F.coalesce(F.to_json(jsonrow.parse_strict("_line")), F.col("_line"))
     else:
-        unit = _json_line("_line")
+        unit = spaced_json("_line")
     return pieces.select(*rest, "part", unit.alias("unit"))
 
 
