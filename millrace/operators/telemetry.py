@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.text import SPACE_CLASS, chunk_tokens, token_count
+from millrace.functions.units import round_exact
 from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
 
 # Chunks of one run that are put into one text or document.
@@ -182,7 +183,7 @@ def assemble_response(trace: DataFrame, part_rows: int = PART_ROWS) -> DataFrame
 
 def round_stats(stats: DataFrame) -> DataFrame:
     """The rounding that run logs use, for the columns that are there."""
-    return stats.withColumns({c: F.round(c, PLACES[c]) for c in stats.columns if c in PLACES})
+    return stats.withColumns({c: round_exact(F.col(c), PLACES[c]) for c in stats.columns if c in PLACES})
 
 
 def sensor_windows(samples: DataFrame, width: str, delay: str | None = None, value: str = "celsius") -> DataFrame:

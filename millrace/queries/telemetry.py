@@ -41,8 +41,8 @@ SPEEDS = (
 
 
 def two(expression: str, places: int) -> str:
-    """Half-up rounding of a double's decimal form."""
-    return f"CAST(round(CAST({expression} AS DECIMAL(30, 12)), {places}) AS DOUBLE)"
+    """Rounding of a double's exact value."""
+    return f"CAST(printf('%.{places}f', {expression}) AS DOUBLE)"
 
 
 def documents(spark, folder):

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import jsonrow
-from millrace.operators.telemetry import PART_ROWS, PLACES, in_parts
+from millrace.operators.telemetry import PART_ROWS, in_parts, round_stats
 from millrace.sources.units import spaced_json
 
 # Fields of a run log besides its stats, response and trace.
@@ -65,8 +65,8 @@ def build_run_logs(stats: DataFrame, steps: DataFrame, part_rows: int = PART_ROW
     no entries.
     """
     shown = ["chunk", "tokens", *[c for c in ("tps", "elapsed_s", "ram_mb", "device_util_pct") if c in steps.columns]]
-    entry = F.struct("seq", *[F.round(c, PLACES[c]).alias(c) if c in PLACES else F.col(c) for c in shown])
-    parts = in_parts(steps, part_rows).groupBy("run_id", "part").agg(
+    entry = F.struct("seq", *shown)
+    parts = in_parts(round_stats(steps), part_rows).groupBy("run_id", "part").agg(
         F.array_sort(F.collect_list(F.when(F.col("tps").isNotNull(), entry))).alias("_entries"),
         F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("response"),
     )

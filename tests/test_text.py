@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import text as tx
-from millrace.functions.units import celsius, mebibytes
+from millrace.functions.units import celsius, mebibytes, round_exact
 
 SPACED = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
 BREAKS = [chr(c) for c in range(sys.maxunicode + 1) if len(f"a{chr(c)}b".splitlines()) == 2]
@@ -70,3 +70,11 @@ def test_sensor_units(spark):
     got = [round(r.c, 9) for r in rows.select(celsius(F.col("m"), F.col("t"), F.col("k")).alias("c")).collect()]
     assert got == [45.0, 45.0, 45.0]
     assert column(spark, [1 << 20], mebibytes, "long") == [1.0]
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(values=st.lists(st.floats(-1e9, 1e9) | st.integers(-10**7, 10**7).map(lambda n: n / 2000) | st.sampled_from(
+    [2.675, 0.125, 0.375, -2.5, 1e-7, 2572857.27325, 0.0]), min_size=50, max_size=100), places=st.integers(1, 4))
+def test_rounding_is_python_rounding(spark, values, places):
+    got = column(spark, values, lambda x: round_exact(x, places), "double")
+    assert got == [round(v, places) for v in values]
