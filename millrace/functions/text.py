@@ -17,6 +17,7 @@ SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 # What Python's str.splitlines() breaks on.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+# The start of lines that are left out of responses, and the mark of a cut text.
 CODE_FENCE = "```"
 TRUNCATION_MARK = "\n... [truncated at {limit} chars]"
 
@@ -67,7 +68,8 @@ def plain_text(raw: Column) -> Column:
 
 
 def format_sft(prompt: Column, completion: Column) -> Column:
-    return F.concat(prompt, completion)
+    """Prompt and completion as one text; a NULL one is empty."""
+    return F.concat(F.coalesce(prompt, F.lit("")), F.coalesce(completion, F.lit("")))
 
 
 def format_chat(messages: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import jsonrow
 from millrace.functions.text import strip
+from millrace.operators.skew import ROWS_PER_TASK, spread_join
+from millrace.session import settle
 
 BLANK = "blank"
 
@@ -86,21 +88,23 @@ def validate_datasets(classified: DataFrame, dataset: str = "source", line: str
     return verdicts(status_positions(classified, dataset, line), dataset)
 
 
-def load_dataset(classified: DataFrame, dataset: str = "source", line: str = "line_no", strict: bool = True):
+def load_dataset(classified: DataFrame, dataset: str = "source", line: str = "line_no", strict: bool = True, rows_per_task: int = ROWS_PER_TASK):
     """``(rows, verdicts)``: the recognised lines of valid datasets, and a verdict per dataset.
 
-    With ``strict`` an invalid dataset stops the job; otherwise its rows are left out.
+    With ``strict`` an invalid dataset is an error; otherwise its rows are left out.
+    The lines are read twice, for the verdicts, which are written, and for the rows:
+    write them first (``settle``) when they are costly to compute.
     """
-    found = validate_datasets(classified, dataset, line)
+    found = settle(validate_datasets(classified, dataset, line), "verdicts")
     if strict:
-        # the verdict is the same for all lines of a dataset; reading a row of a bad one fails
-        message = F.concat_ws(
-            " ", F.lit("dataset"), F.col(dataset), F.lit("is invalid:"), F.col("error"),
-            F.lit("at line"), F.col("error_line").cast("string"),
-        )
-        found = found.withColumn("ok", F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
+        worst = found.filter("NOT ok").orderBy(dataset).first()
+        if worst:
+            at = f" at line {worst.error_line}" if worst.error_line is not None else ""
+            raise ValueError(f"dataset {worst[dataset]} is invalid: {worst.error}{at}")
     good = found.filter("ok").select(dataset)
-    return classified.filter(recognised()).join(good, dataset, "left_semi"), found
+    rows = classified.filter(recognised())
+    sizes = found.select(dataset, F.col("count").alias("n"))
+    return spread_join(rows, good, [dataset], [line], rows_per_task, sizes).select(*classified.columns), found
 
 
 def dataset_summary(classified: DataFrame, *keys: str) -> DataFrame:

@@ -7,19 +7,25 @@ from pyspark.sql import DataFrame, functions as F
 ROWS_PER_TASK = 2_000_000
 
 
-def spread_join(big: DataFrame, small: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def spread_join(
+    big: DataFrame, small: DataFrame, keys: list[str], by: list[str],
+    rows_per_task: int = ROWS_PER_TASK, sizes: DataFrame | None = None,
+) -> DataFrame:
     """Inner join whose large keys are spread over several tasks.
 
-    Keys with more than ``rows_per_task`` rows in ``big`` are counted first. There
-    are at most ``rows(big) / rows_per_task`` of them, which bounds what is
-    broadcast. Their rows get one of several salts, their partners one copy for
-    each; all other keys join as they are.
+    Keys with more than ``rows_per_task`` rows in ``big`` are found first, by
+    counting or from ``sizes`` (the keys and ``n``). There are at most
+    ``rows(big) / rows_per_task`` of them, which bounds what is broadcast. Their
+    rows are salted by the columns ``by``, their partners copied once per salt; all
+    other keys join as they are.
     """
+    if sizes is None:
+        sizes = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     large = F.broadcast(
-        big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+        sizes.filter(F.col("n") > rows_per_task)
+        .select(*keys, F.ceil(F.col("n") / rows_per_task).cast("int").alias("_salts"))
     )
     salts = F.coalesce("_salts", F.lit(1))
-    salted = big.join(large, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*big.columns), salts).cast("int"))
+    salted = big.join(large, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int"))
     copies = small.join(large, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return copies.drop("_salts").join(salted.drop("_salts"), [*keys, "_salt"]).drop("_salt")

@@ -41,7 +41,7 @@ def unit_prompts(units: DataFrame, prompts: list[str] | Column) -> DataFrame:
 
 def attach_units(configs: DataFrame, units: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Each grounded config with the units of its own source, however large that source is."""
-    return spread_join(units, configs, ["source"], rows_per_task)
+    return spread_join(units, configs, ["source"], ["unit_idx"], rows_per_task)
 
 
 def batch_total(count: Column, existing: Column, batch: Column) -> Column:

@@ -93,7 +93,7 @@ QUERIES = {
     ),
     "format_sft": Query(
         lambda spark, folder: sft_rows(spark, folder).select("line_no", format_sft(F.col("prompt"), F.col("completion")).alias("text")),
-        f"WITH {fx.CLASSIFIED} SELECT line_no, (raw->>'$.prompt') || (raw->>'$.completion') AS text FROM classified WHERE status = 'sft'",
+        f"WITH {fx.CLASSIFIED} SELECT line_no, coalesce(raw->>'$.prompt', '') || coalesce(raw->>'$.completion', '') AS text FROM classified WHERE status = 'sft'",
     ),
     "format_chat": Query(
         formatted_chats,

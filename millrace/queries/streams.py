@@ -70,7 +70,7 @@ def capped(spark, folder):
 def sensed(spark, folder):
     samples = table_stream(spark, folder, "events").selectExpr("user_id AS run_id", "CAST(ts AS TIMESTAMP) AS ts", "value AS celsius")
     found = through_files(spark, tm.sensor_windows(samples, "1 hour", "2 hours"), "sensors")
-    return found.withColumn("avg", F.round("avg", 6))
+    return found.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "avg": F.round("avg", 6)})
 
 
 def traced(spark, folder):

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import random
-import string
 from datetime import datetime, timezone
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,8 +37,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", raw: str = "r
 
 def run_id() -> str:
     """A new output's name: UTC time and six random characters."""
-    now = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-    return f"{now}_{''.join(random.choices(string.ascii_lowercase + string.digits, k=6))}"
+    return f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S}_{uuid4().hex[:6]}"
 
 
 def with_run_id(df: DataFrame, name: str | None = None) -> DataFrame:

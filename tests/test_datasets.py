@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import datasets as ds
 from millrace.operators import responses as rs
+from millrace.plans import jobs
 from millrace.sources import jsonl as src
 
 SFT, RL, DPO = '{"prompt":"p","completion":"c"}', '{"prompt":"p"}', '{"prompt":1,"chosen":2,"rejected":3}'
@@ -76,10 +77,10 @@ def test_datasets_need_the_suffix(spark, tmp_path):
 
 def test_load_keeps_rows_of_valid_datasets(spark):
     classified = ds.classify_lines(as_lines(spark))
-    rows, _ = ds.load_dataset(classified, strict=False)
+    rows, _ = ds.load_dataset(classified, strict=False, rows_per_task=1)
     assert sorted((r.source, r.line_no) for r in rows.collect()) == [("clean", 1), ("clean", 4), ("dpo", 1)]
-    with pytest.raises(Exception, match="is invalid"):
-        ds.load_dataset(classified)[0].collect()
+    with pytest.raises(ValueError, match="dataset broken is invalid: bad_json at line 2"):
+        ds.load_dataset(classified)
 
 
 def test_response_lines(spark):
@@ -108,3 +109,10 @@ def test_synth_summary_times_runs(spark):
     )
     row = rs.synth_summary(rows, "config", ["config", "unit_idx"], 1, unit="unit_idx").first()
     assert (row.generated, row.skipped, row.sources, row.elapsed_s) == (1, 1, 2, 4.5)
+
+
+def test_training_text(spark):
+    lines = spark.createDataFrame([("d", 1, SFT), ("d", 2, '{"prompt":"a","completion":null}')], "source string, line_no long, raw string")
+    assert sorted(str(r.text) for r in jobs.training_text(lines, "sft").collect()) == ["a", "pc"]
+    with pytest.raises(ValueError):
+        jobs.training_text(lines, "rl")

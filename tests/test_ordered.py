@@ -53,7 +53,7 @@ def test_small_cap_is_limited_before_the_shuffle(spark):
 def test_spread_join_equals_plain_join(spark):
     big = hot(spark).withColumnRenamed("v", "x")
     small = spark.range(60).select(F.col("id").alias("k"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("c"))
-    got = spread_join(big, small, ["k"], rows_per_task=50)
+    got = spread_join(big, small, ["k"], ["seq"], rows_per_task=50)
     want = small.join(big, "k")
     assert got.count() == want.count()
     assert got.select(want.columns).exceptAll(want).count() == 0

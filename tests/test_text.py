@@ -48,10 +48,10 @@ def test_plain_text_replaces_bad_bytes_and_line_ends(spark):
 
 def test_small_formats(spark):
     sizes = [0, 1023, 1024, 1075, 1076, 1536, 10**6, 12595]
-    want = [f"{n} B" if n < 1024 else f"{n / 1024:.1f} KB" for n in sizes]
+    want = [f"{n} B" if n < 1024 else "%.1f KB" % (n / 1024) for n in sizes]
     assert column(spark, sizes, tx.human_size, "long") == want
     many = list(range(1024, 60_000, 1))
-    assert column(spark, many, tx.human_size, "long") == [f"{n / 1024:.1f} KB" for n in many]
+    assert column(spark, many, tx.human_size, "long") == ["%.1f KB" % (n / 1024) for n in many]
     secrets = ["", "x" * 12, "sk-abcdefghijk"]
     assert column(spark, secrets, tx.mask_secret) == ["****", "****", "sk-abcde...hijk"]
     assert column(spark, ["o/r/s"], tx.safe_name) == ["o--r--s"]
