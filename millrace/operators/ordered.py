@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK = "_block"
+BLOCK, SLOT = "_block", "_slot"
 BLOCK_ROWS = 1 << 17
 
 
@@ -36,43 +36,45 @@ def ordered_scan(
     ``totals`` are sums up to and including the row; ``previous`` is the last
     non-NULL value of the rows before, NULL when there is none; ``least`` is the
     smallest value of the whole key. ``attach`` (unique on ``keys``) is joined at
-    block level, so that a key with very many rows does not meet in one task. Keys
-    must not be NULL, and ``block`` must not decrease along ``order``.
+    block level, so that a key with very many rows does not meet in one task.
+    ``block`` must not decrease along ``order``.
     """
     totals, previous, least = totals or {}, previous or {}, least or {}
-    slots = [*keys, BLOCK]
-    rows = df.withColumn(BLOCK, block).withColumns(
+    # a struct is never NULL, so the join below matches NULL keys and infers no filters
+    # that would keep both of its sides from sharing a shuffle
+    rows = df.withColumn(SLOT, F.struct(*keys, block.alias(BLOCK))).withColumns(
         {f"_of_{name}": value for name, value in {**totals, **previous, **least}.items()}
     )
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     last = {
         name: F.max_by(f"_of_{name}", F.when(F.col(f"_of_{name}").isNotNull(), position)) for name in previous
     }
-    summary = rows.groupBy(*slots).agg(
+    summary = rows.groupBy(SLOT).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_of_{name}").alias(f"_sum_{name}") for name in totals],
         *[value.alias(f"_end_{name}") for name, value in last.items()],
         *[F.min(f"_of_{name}").alias(f"_min_{name}") for name in least],
     )
-    whole = Window.partitionBy(*keys)
-    earlier = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*[F.col(SLOT)[key] for key in keys])
+    earlier = whole.orderBy(F.col(SLOT)[BLOCK]).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *slots,
+        SLOT,
         *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_sum_{name}") for name in totals],
         *[F.last(f"_end_{name}", ignorenulls=True).over(earlier).alias(f"_end_{name}") for name in previous],
         *[F.min(f"_min_{name}").over(whole).alias(name) for name in least],
     )
+    attached = [c for c in (attach.columns if attach is not None else []) if c not in keys]
     if attach is not None:
-        carry = carry.join(attach, keys, "left")
-    inside = Window.partitionBy(*slots).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        same = [F.col(SLOT)[key] == attach[key] for key in keys]
+        carry = carry.join(attach, same, "left").drop(*[attach[key] for key in keys])
+    inside = Window.partitionBy(SLOT).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    local = rows.withColumns({
+    local = rows.drop(*[key for key in keys if key not in order]).withColumns({
         **{f"_run_{name}": F.sum(f"_of_{name}").over(inside) for name in totals},
         **{f"_lag_{name}": F.last(f"_of_{name}", ignorenulls=True).over(before) for name in previous},
     })
-    attached = [c for c in (attach.columns if attach is not None else []) if c not in keys]
-    return local.join(carry, slots, "left").select(
-        *df.columns,
+    return local.join(carry, SLOT, "left").select(
+        *[F.col(SLOT)[c].alias(c) if c in keys else F.col(c) for c in df.columns],
         *[(F.col(f"_run_{name}") + F.col(f"_sum_{name}")).alias(name) for name in totals],
         *[F.coalesce(f"_lag_{name}", f"_end_{name}").alias(name) for name in previous],
         *least,

@@ -1,7 +1,7 @@
 from pyspark.sql import Window, functions as F
 
 from millrace.operators.ordered import block_of, ordered_scan
-from millrace.operators.responses import cap_to_target
+from millrace.operators.responses import cap_to_target, progress
 from millrace.operators.skew import spread_join
 
 
@@ -57,3 +57,17 @@ def test_spread_join_equals_plain_join(spark):
     want = small.join(big, "k")
     assert got.count() == want.count()
     assert got.select(want.columns).exceptAll(want).count() == 0
+
+
+def test_null_keys_are_a_group_of_their_own(spark):
+    rows = hot(spark, 300).withColumn("k", F.when(F.col("k") != 0, F.col("k")))
+    got = ordered_scan(rows, ["k"], ["seq"], block_of(F.col("seq"), 16), totals={"n": F.lit(1)})
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("seq")).cast("long"))
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 300
+
+
+def test_progress_computes_the_batches_once(spark):
+    parsed = hot(spark).select("k", F.expr("seq div 10").alias("batch_idx"), F.lit("valid").alias("status"))
+    df = progress(parsed, ["k"], 100)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
