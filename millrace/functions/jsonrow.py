@@ -9,10 +9,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SFT, CHAT, DPO, RL = "sft", "chat", "dpo", "rl"
 TASKS = (SFT, CHAT, DPO, RL)
-BAD_JSON, NON_OBJECT, UNRECOGNISED = "bad_json", "non_object", "unrecognised"
+BAD_JSON, NON_OBJECT, UNRECOGNISED, TOO_LARGE = "bad_json", "non_object", "unrecognised", "too_large"
+# What makes a whole dataset invalid.
+INVALID = (BAD_JSON, NON_OBJECT, TOO_LARGE)
+# A VARIANT holds 128 MiB; many small values need several times their text. Longer lines
+# without a value may be valid, so they are told apart from broken ones.
+LARGE_LINE = 32 << 20
 
 _GUARD = '"\\u0001~end"'
-_OPTIONS = "map('allowSingleQuotes', 'false')"
+_OPTIONS = "map('allowSingleQuotes', 'false', 'maxStringLen', '2147483647')"
 
 
 def _guarded(raw: str) -> Column:
@@ -85,7 +90,8 @@ def task_of(value: Column) -> Column:
 def line_status(raw: Column, value: Column) -> Column:
     """The task of a stripped line, or why it has none."""
     return (
-        F.when(value.isNull(), BAD_JSON)
+        F.when(value.isNull() & (F.octet_length(raw) > LARGE_LINE), TOO_LARGE)
+        .when(value.isNull(), BAD_JSON)
         .when(~is_object(raw, value), NON_OBJECT)
         .otherwise(F.coalesce(task_of(value), F.lit(UNRECOGNISED)))
     )

@@ -51,7 +51,7 @@ def verdicts(positions: DataFrame, dataset: str = "source") -> DataFrame:
     at = F.struct(first_line.alias("line"), status.alias("status"))
     per_status = positions.groupBy(dataset).agg(
         F.min(F.when(is_task, at)).alias("lead"),
-        F.min(F.when(status.isin(jsonrow.BAD_JSON, jsonrow.NON_OBJECT), at)).alias("broken"),
+        F.min(F.when(status.isin(*jsonrow.INVALID), at)).alias("broken"),
         F.array_sort(F.collect_list(F.when(is_task, at))).alias("tasks"),
         F.coalesce(F.sum(F.when(is_task, n)), F.lit(0)).alias("count"),
         F.coalesce(F.sum(F.when(status == jsonrow.UNRECOGNISED, n)), F.lit(0)).alias("skipped"),
@@ -113,7 +113,7 @@ def dataset_summary(classified: DataFrame, *keys: str) -> DataFrame:
     return classified.groupBy(*keys).agg(
         F.count_if(recognised()).alias("count"),
         F.count_if(status == jsonrow.UNRECOGNISED).alias("skipped"),
-        F.count_if(status.isin(jsonrow.BAD_JSON, jsonrow.NON_OBJECT)).alias("invalid"),
+        F.count_if(status.isin(*jsonrow.INVALID)).alias("invalid"),
         *[F.count_if(status == task).alias(f"n_{task}") for task in jsonrow.TASKS],
     )
 

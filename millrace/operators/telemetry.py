@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.text import SPACE_CLASS, chunk_tokens, token_count
+from millrace.functions.text import chunk_tokens, is_blank, token_count
 from millrace.functions.units import round_exact
 from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
 
@@ -47,7 +47,6 @@ def trace_steps(
     goes on with the word that the text before it ended in. ``keep`` names further
     columns of the trace, such as memory and utilisation readings.
     """
-    spaced = f"[{SPACE_CLASS}]"
     text = F.col("chunk") != ""
     rows = trace.withColumns({
         "tokens": chunk_tokens(F.col("tokens"), F.col("chunk")),
@@ -56,14 +55,14 @@ def trace_steps(
     scanned = ordered_scan(
         rows, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
         totals={"place": F.lit(1), "cumulative_tokens": F.col("tokens")},
-        previous={"_before": F.col("_us"), "_open": F.when(text, ~F.right("chunk", F.lit(1)).rlike(spaced))},
+        previous={"_before": F.col("_us"), "_open": F.when(text, ~is_blank(F.right("chunk", F.lit(1))))},
         least={"_first": F.col("_us")} if runs is None else None,
         attach=None if runs is None else runs.select("run_id", "started_us"),
     )
     if runs is None:
         scanned = scanned.withColumn("started_us", F.col("_first") - lead_us)
     passed = F.col("_us") - F.coalesce("_before", "started_us")
-    goes_on = text & F.coalesce("_open", F.lit(False)) & ~F.left("chunk", F.lit(1)).rlike(spaced)
+    goes_on = text & F.coalesce("_open", F.lit(False)) & ~is_blank(F.left("chunk", F.lit(1)))
     return scanned.select(
         "run_id", "seq", F.col("place").cast("long").alias("place"), "chunk", "tokens", "cumulative_tokens",
         ((F.col("_us") - F.col("started_us")) / 1e6).alias("elapsed_s"),

@@ -116,3 +116,11 @@ def test_training_text(spark):
     assert sorted(str(r.text) for r in jobs.training_text(lines, "sft").collect()) == ["a", "pc"]
     with pytest.raises(ValueError):
         jobs.training_text(lines, "rl")
+
+
+def test_large_lines_are_parsed_whole_or_reported(spark):
+    sizes = spark.createDataFrame([(1, 40), (2, 140)], "line_no int, mb int").withColumn("source", F.lit("s"))
+    text = F.concat(F.lit('{"prompt":"'), F.repeat(F.lit("x"), F.col("mb") * (1 << 20)), F.lit('"}'))
+    rows = ds.classify_lines(sizes.withColumn("raw", text)).select("line_no", "status", "source")
+    assert {r.line_no: r.status for r in rows.collect()} == {1: "rl", 2: "too_large"}
+    assert ds.validate_datasets(rows).first().error == "too_large"
