@@ -7,13 +7,12 @@ from operator import or_
 
 from pyspark.sql import Column, functions as F
 
-# What Python's str.strip() removes, as characters and as a regex class.
+# What Python's str.strip() removes.
 SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
     "           "
     "    　"
 )
-SPACE_CLASS = r"\t-\r\x1c-\x20\x85\xa0  -     　"
 # What Python's str.splitlines() breaks on.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 RARE_BREAKS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"

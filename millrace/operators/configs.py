@@ -72,8 +72,12 @@ def split_names(df: DataFrame, names: str = "names") -> DataFrame:
 
 
 def provider_route(configs: DataFrame, prefixes: dict[str, str] | None = None, default: str = DEFAULT_PROVIDER) -> DataFrame:
-    """Add the ``provider`` that a model's prefix picks and the ``slug`` without that prefix."""
+    """Add the ``provider`` that a model's prefix picks and the ``slug`` without that prefix.
+
+    Of several prefixes that fit, the longest one counts.
+    """
     prefixes = PROVIDER_PREFIXES if prefixes is None else prefixes
+    prefixes = {prefix: prefixes[prefix] for prefix in sorted(prefixes, key=len)}
     model = F.col("model")
     provider = reduce(lambda rest, p: F.when(model.startswith(p), prefixes[p]).otherwise(rest), prefixes, F.lit(default))
     slug = reduce(

@@ -40,7 +40,10 @@ def unit_prompts(units: DataFrame, prompts: list[str] | Column) -> DataFrame:
 
 
 def attach_units(configs: DataFrame, units: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Each grounded config with the units of its own source, however large that source is."""
+    """Each grounded config with the units of its own source, however large that source is.
+
+    ``units`` is ``(source, unit_idx, unit)``; the index is unique within a source.
+    """
     return spread_join(units, configs, ["source"], ["unit_idx"], rows_per_task)
 
 
@@ -65,7 +68,9 @@ def request_plan(
     last_block = F.floor((F.col("_batches") - 1) / PLAN_BLOCK).cast("long")
     blocks = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("_plan_block"))
     if spread:
-        blocks = blocks.repartition(F.xxhash64(*df.columns), F.col("_plan_block"))
+        # a fixed number: the few rows here would be put together, but not what they grow into
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(tasks, F.xxhash64(*df.columns), F.col("_plan_block"))
     first = F.col("_plan_block") * PLAN_BLOCK
     end = F.least(first + PLAN_BLOCK, F.col("_batches")) - 1
     plan = blocks.select("*", F.explode(F.sequence(first, end)).alias("batch_idx"))

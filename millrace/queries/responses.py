@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import token_count
 from millrace.operators import responses as rs
-from millrace.operators.ordered import block_of
 from millrace.operators.udtfs import register_parse_rows
 from millrace.plans import requests as rq
 from millrace.queries import fixtures as fx

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 from millrace.functions import jsonrow
 from millrace.functions.text import plain_text, split_lines, strip, truncate
 from millrace.operators.configs import MAX_SOURCE_CHARS
+from millrace.sources.files import read_paths, units_from_dir, units_from_file
+from millrace.sources.jsonl import read_lines
 
 
 def _dump(value) -> str:
@@ -79,6 +82,41 @@ def units_from_jsonl(lines: DataFrame, raw: str = "raw", compact: bool = False)
     return pieces.select(*rest, "part", unit.alias("unit"))
 
 
+def load_units(spark: SparkSession, source: str, glob: str = "", hidden: bool = True, compact: bool = False) -> DataFrame:
+    """A config's source as ``(source, unit_idx, unit)``, by what the path is.
+
+    A ``.json`` file gives its array elements, a ``.jsonl`` file its lines, any other
+    file its text, a folder each file that matches ``glob``. ``unit_idx`` is a text
+    that sorts in unit order. Folders are looked for on mounted storage.
+    """
+    path = os.path.expanduser(source)
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no source at {source}")
+    kind = os.path.splitext(path)[1].lower()
+    # Spark's own file sources see no names that start like this
+    unseen = os.path.basename(path)[:1] in (".", "_")
+    text = read_paths(spark, [path]).select(plain_text(F.col("content")).alias("text")) if unseen else None
+    if os.path.isdir(path):
+        units = units_from_dir(spark, path, glob, hidden)
+        # components sort before longer names that start like them
+        units = units.withColumn("unit_idx", F.replace("path", F.lit("/"), F.lit("\x01")))
+    elif kind == ".json":
+        units = units_from_json(text if unseen else json_texts(spark, path), compact=compact)
+        units = units.withColumn("unit_idx", _padded("unit_idx", 12))
+    elif kind == ".jsonl":
+        lines = text.select(F.posexplode(F.split("text", "\n")).alias("line_no", "raw")) if unseen else read_lines(spark, path)
+        units = units_from_jsonl(lines, compact=compact)
+        units = units.withColumn("unit_idx", F.concat(_padded("line_no", 15), F.lit("."), _padded("part", 9)))
+    else:
+        units = text.withColumnRenamed("text", "unit") if unseen else units_from_file(spark, path)
+        units = units.withColumn("unit_idx", F.lit(""))
+    return units.select(F.lit(source).alias("source"), "unit_idx", "unit")
+
+
+def _padded(name: str, width: int) -> Column:
+    return F.lpad(F.col(name).cast("string"), width, "0")
+
+
 def truncate_units(units: DataFrame, limit: int | Column = MAX_SOURCE_CHARS, **mark) -> DataFrame:
     return units.withColumn("unit", truncate(F.col("unit"), limit, **mark))
 

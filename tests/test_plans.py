@@ -1,8 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.plans import generate as gen
+from millrace.plans import jobs
 from millrace.plans import requests as rq
+from millrace.operators import configs as cf
+from millrace.sources.units import load_units
 
 
 def test_plan_asks_add_up_to_the_target(spark):
@@ -105,3 +110,77 @@ def test_remaining_and_resume(spark):
     done = spark.createDataFrame([("3",), ("4",), ("99",)], "request_id string")
     assert rq.remaining_requests(plan, done).count() == 8
     assert rq.resume_union(plan, done).count() == 13
+
+
+def test_one_huge_config_fills_many_tasks(spark):
+    df = spark.sql("SELECT 'c' AS name, 300000L AS target")
+    plan = rq.request_plan(df, F.col("target"), F.lit(1), spread=True)
+    sizes = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 300_000 and len(sizes) >= 6 and max(sizes) < 150_000
+
+
+def echo():
+    """Two good rows and a bad line for each request; the row tells what was asked."""
+    def respond(requests):
+        for message, model in zip(requests.message, requests.model):
+            row = json.dumps({"prompt": f"{model}: {message}", "completion": "x"})
+            yield "\n".join([row, "bad", row])
+
+    return lambda requests: list(respond(requests))
+
+
+CONFIG = dict(
+    name="n", description="", mode="gfs", user_prompt=None, prompts=["P", "Q"], source=None, glob="", max_source_chars=100, model="m",
+    task="sft", count=3, temperature=0.5, batch_size=2, ignore=None,
+)
+
+
+def test_grounded_run_over_files(spark, tmp_path):
+    (tmp_path / "list.json").write_text('[{"b": 1, "a": "é"}, 2]', encoding="utf-8")
+    (tmp_path / "lines.JSONL").write_text('{"a":1}\n\nno json\n', encoding="utf-8")
+    (tmp_path / "plain.md").write_text("y" * 101)
+    folder = tmp_path / "dir"
+    (folder / "a").mkdir(parents=True)
+    (folder / "a" / "b.txt").write_text("ab")
+    (folder / "a-b.txt").write_text("a-b")
+    (folder / "skip.py").write_text("skip")
+    sources = {
+        str(tmp_path / "list.json"): ['{"b": 1, "a": "é"}', "2"], str(tmp_path / "lines.JSONL"): ['{"a": 1}', "no json"],
+        str(tmp_path / "plain.md"): ["y" * 100 + "\n... [truncated at 100 chars]"], str(folder): ["ab", "a-b"],
+    }
+    rows = [{**CONFIG, "name": f"c{i}", "source": source} for i, source in enumerate(sources)]
+    configs = spark.createDataFrame(rows, cf.CONFIG_SCHEMA)
+    units = None
+    for source, want in sources.items():
+        found = load_units(spark, source, "**/*.txt" if source == str(folder) else "")
+        got = [r.unit for r in found.orderBy("unit_idx").collect()]
+        assert got == [u.replace("\n... [truncated at 100 chars]", "y") for u in want]
+        units = found if units is None else units.unionByName(found)
+    out = str(tmp_path / "out")
+    summary = jobs.synthesize_grounded(configs, units, echo, out, max_rounds=5, template="{instruction}|{unit}|{ask}")
+    got = {r.name: (r.generated, r.skipped, r.sources) for r in summary.collect()}
+    # three rows a pair in two requests: two rows, then one; each answer has one bad line
+    assert got == {f"c{i}": (3 * 2 * len(u), 2 * 2 * len(u), len(u)) for i, u in enumerate(sources.values())}
+    written = spark.read.text(out).selectExpr("name", "get_json_object(value, '$.prompt') AS p").collect()
+    want = [
+        (f"c{i}", f"m: {prompt}|{unit}|{ask}")
+        for i, units_of in enumerate(sources.values()) for unit in units_of for prompt in "PQ" for ask in (2, 2, 1)
+    ]
+    assert sorted((r.name, r.p) for r in written) == sorted(want)
+    with pytest.raises(FileNotFoundError):
+        load_units(spark, str(tmp_path / "none.json"))
+
+
+def test_standard_run_and_resume(spark, tmp_path):
+    rows = [{**CONFIG, "mode": None, "prompts": None, "user_prompt": "U", "name": "a", "count": 5}]
+    rows.append({**rows[0], "name": "b", "task": "rl", "count": 4})
+    configs = spark.createDataFrame(rows, cf.CONFIG_SCHEMA)
+    out = str(tmp_path / "out")
+    first = {r.name: (r.generated, r.skipped) for r in jobs.synthesize(configs, echo, out, workers=2).collect()}
+    # rows of another task than the config's are skipped
+    assert first == {"a": (5, 3), "b": (0, 6)}
+    assert spark.read.text(out).count() == 5
+    more = configs.filter("name = 'a'").withColumn("count", F.lit(8))
+    (again,) = jobs.synthesize(more, echo, out, existing=5).collect()
+    assert (again.generated, again.skipped) == (8, 2)
+    assert spark.read.text(out).count() == 8

@@ -174,3 +174,14 @@ def test_model_inventory_and_checkpoints(spark):
     found = spark.createDataFrame(
         [("r", "x/checkpoint-9"), ("r", "x/checkpoint-10/"), ("r", "x/other-99"), ("e", "x/logs")], "run string, path string")
     assert {r.run: (r.checkpoint, r.step) for r in iv.latest_checkpoint(found).collect()} == {"r": ("x/checkpoint-10/", 10), "e": (None, None)}
+
+
+@pytest.mark.parametrize("name", ["{}s.json", "{}s.jsonl", "{}s.txt"])
+def test_unseen_names_load_like_others(spark, tmp_path, name):
+    text = '[{"b": 1},\r\n 2]\n'
+    found = []
+    for start in ("", "_", "."):
+        (tmp_path / name.format(start)).write_bytes(text.encode())
+        rows = un.load_units(spark, str(tmp_path / name.format(start))).orderBy("unit_idx").collect()
+        found.append([r.unit for r in rows])
+    assert found[0] and found[0] == found[1] == found[2]
