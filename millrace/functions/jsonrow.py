@@ -98,9 +98,8 @@ def line_status(raw: Column, value: Column) -> Column:
 
 
 def text_at(value: Column, path: str) -> Column:
-    """A member as text; lists and objects keep their JSON form."""
-    member = F.try_variant_get(value, path, "variant")
-    return F.when(F.is_variant_null(member), None).otherwise(F.try_variant_get(value, path, "string"))
+    """A member as text, a JSON null as NULL; lists and objects keep their JSON form."""
+    return F.try_variant_get(value, path, "string")
 
 
 def messages_of(value: Column) -> Column:
