@@ -17,8 +17,9 @@ EARLY_LIMIT = 1000
 def candidate_lines(responses: DataFrame, response: str = "response") -> DataFrame:
     """One stripped line per row; blanks and code fences are dropped, uncounted."""
     rest = [c for c in responses.columns if c != response]
-    lines = responses.select(*rest, F.posexplode(split_lines(F.col(response))).alias("line_idx", "raw"))
-    return lines.withColumn("raw", strip(F.col("raw"))).filter(
+    # stripped before the explode: after it, every mention in a filter would strip again
+    lines = F.transform(split_lines(F.col(response)), strip)
+    return responses.select(*rest, F.posexplode(lines).alias("line_idx", "raw")).filter(
         (F.col("raw") != "") & ~F.col("raw").startswith(CODE_FENCE)
     )
 
