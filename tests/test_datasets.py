@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,16 @@ def test_large_lines_are_parsed_whole_or_reported(spark):
     rows = ds.classify_lines(sizes.withColumn("raw", text)).select("line_no", "status", "source")
     assert {r.line_no: r.status for r in rows.collect()} == {1: "rl", 2: "too_large"}
     assert ds.validate_datasets(rows).first().error == "too_large"
+
+
+def test_every_line_is_valid_skipped_or_ignored(spark):
+    kinds = [SFT, RL, DPO, NONE, BAD, LIST, "", "   ", "```", "```json", "5", '{"messages":[]}']
+    chooser = random.Random(7)
+    lines = [[chooser.choice(kinds) for _ in range(chooser.randrange(1, 30))] for _ in range(60)]
+    df = spark.createDataFrame([(i, "\n".join(batch)) for i, batch in enumerate(lines)], "i int, response string")
+    for task, good in (("sft", SFT), ("rl", RL), ("dpo", DPO), ("chat", '{"messages":[]}')):
+        counts = {r.i: (r.valid, r.skipped) for r in rs.parse_counts(rs.parse_responses(df, task), "i").collect()}
+        for i, batch in enumerate(lines):
+            ignored = sum(not line.strip() or line.startswith("```") for line in batch)
+            valid, skipped = counts.get(i, (0, 0))
+            assert valid == batch.count(good) and valid + skipped + ignored == len(batch)
