@@ -35,6 +35,9 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MAX_LOST_PERCENT = 50
 WINDOW = 3
+RESULTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_lost_lines", "clean_text", "base_failed", "kept",
+)
 
 
 def without(text: Column, characters: str) -> Column:
@@ -126,6 +129,7 @@ def judge_quality(
         (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeated_percent),
     )
     lost = (F.col("_chars") - F.col("_good_chars")) * 100
-    return step.withColumn(
-        "kept", ~F.col("base_failed") & (lost <= F.col("_chars") * max_lost_percent),
-    ).drop("_chars", "_good_chars")
+    step = step.withColumn("kept", ~F.col("base_failed") & (lost <= F.col("_chars") * max_lost_percent))
+    # An explode of one row: a filter on the results must not be pushed below and repeat the work.
+    others = [c for c in documents.columns if c not in RESULTS]
+    return step.select(*others, F.explode(F.array(F.struct(*RESULTS))).alias("_r")).select(*others, "_r.*")
