@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontam, packing, pii, quality
+from millrace.llm import decontam, jaccard, packing, pii, quality
 from millrace.session import settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -25,6 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return as_documents(kept.withColumn("text", F.col("clean_text")))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: the one with the smallest id."""
+    return as_documents(jaccard.one_per_class(docs))
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -41,7 +46,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
-    ("quality", quality_stage), ("decontaminate", decontaminate_stage), ("privacy", privacy_stage), ("packing", packing_stage),
+    ("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontaminate", decontaminate_stage), ("privacy", privacy_stage), ("packing", packing_stage),
 ]
 ORACLE_SQL = None
 

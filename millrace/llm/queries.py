@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontam, html, licences, packing, pii, quality, urls
+from millrace.llm import chat, decontam, html, jaccard, licences, packing, pii, quality, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def chat_collapse(spark: SparkSession, folder: str) -> DataFrame:
     return chat.collapse_snapshots(table(spark, folder, "conversations"))
 
 
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract_text(table(spark, folder, "pages"))
 
@@ -116,7 +120,7 @@ def passages_sql() -> str:
 
 
 QUERIES = {
-    "op1_quality_rules": quality_rules, "op2_chat_collapse": chat_collapse, "op4_html_text": html_text, "op5_pii_crf": pii_crf,
+    "op1_quality_rules": quality_rules, "op2_chat_collapse": chat_collapse, "op3_ngram_jaccard": ngram_jaccard, "op4_html_text": html_text, "op5_pii_crf": pii_crf,
     "op6_wu_manber": wu_manber, "op8_url_rules": url_rules, "op9_licence_dice": licence_dice, "op10_kk_packing": kk_packing,
 }
 SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql()}
