@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontam, html, jaccard, licences, packing, pii, quality, urls
+from millrace.llm import chat, decontam, html, jaccard, licences, packing, pii, quality, suffix, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents"))
+
+
 def url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filter_urls(table(spark, folder, "pages"), urls.rule_table(spark))
 
@@ -121,6 +125,6 @@ def passages_sql() -> str:
 
 QUERIES = {
     "op1_quality_rules": quality_rules, "op2_chat_collapse": chat_collapse, "op3_ngram_jaccard": ngram_jaccard, "op4_html_text": html_text, "op5_pii_crf": pii_crf,
-    "op6_wu_manber": wu_manber, "op8_url_rules": url_rules, "op9_licence_dice": licence_dice, "op10_kk_packing": kk_packing,
+    "op6_wu_manber": wu_manber, "op7_suffix_repeats": suffix_repeats, "op8_url_rules": url_rules, "op9_licence_dice": licence_dice, "op10_kk_packing": kk_packing,
 }
 SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql()}
