@@ -194,7 +194,7 @@ def find_passages(
     windows = settle(item_windows(items, window), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
     dealt = windows.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks)))
-    df = documents.drop(*FOUND)
+    df = documents.drop(*FOUND, "hit_spans", "items")
     empty = {n: F.lit(None).cast(t) for n, t in FOUND.items()}
     df = df.withColumns(empty)
     context = documents.sparkSession.sparkContext

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 THRESHOLD = 0.8
+#: Bounds are widened by this much, so that rounding excludes nothing at the threshold.
+EDGE = 1e-6
 #: Words of all templates together; larger sets have to be scanned in several calls.
 MAX_TEMPLATE_WORDS = 2_000_000
 
@@ -83,7 +85,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def size_bounds(n: int, threshold: float) -> tuple[float, float]:
     """Sizes that can reach the threshold with ``n`` bigrams."""
-    return n * threshold / (2 - threshold), n * (2 - threshold) / threshold
+    return n * threshold / (2 - threshold) - EDGE, n * (2 - threshold) / threshold + EDGE
 
 
 class Templates:
@@ -134,7 +136,7 @@ class Templates:
             # Within one line the bigrams of the unit are those of the text; feeds only lower the count.
             feeds = 0 if end - start < 2 else int((numbers[start:end] == 1).sum())
             size = end - start - feeds - 1
-            if size < 1 or known[end - 1] - known[start] + feeds < share * size:
+            if size < 1 or known[end - 1] - known[start] + feeds < share * size - EDGE:
                 continue
             own = numbers[start:end]
             found = self.best(Counter(self.bigrams(own[own != 1]).tolist()), size)

@@ -102,7 +102,7 @@ FRAMES = (
 )
 
 
-def examples(count: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
+def examples(count: int = 640, seed: int = 11) -> list[tuple[str, list[Span]]]:
     """The built-in labelled table: ``count`` sentences with their spans, made by rule."""
     r = random.Random(seed)
     digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
@@ -149,7 +149,7 @@ def examples(count: int = 400, seed: int = 11) -> list[tuple[str, list[Span]]]:
     return out
 
 
-def labelled_table(spark: SparkSession, count: int = 400) -> DataFrame:
+def labelled_table(spark: SparkSession, count: int = 640) -> DataFrame:
     rows = [(text, [{"kind": k, "start": a, "end": b} for k, a, b in spans]) for text, spans in examples(count)]
     return spark.createDataFrame(rows, "text string, spans array<struct<kind:string,start:bigint,end:bigint>>")
 
@@ -233,7 +233,7 @@ class Field:
         return out
 
     @classmethod
-    def train(cls, rows: list[tuple[str, list[Span]]], rounds: int = 80, rate: float = 0.3, decay: float = 1e-3) -> Field:
+    def train(cls, rows: list[tuple[str, list[Span]]], rounds: int = 100, rate: float = 0.3, decay: float = 1e-3) -> Field:
         """Maximum likelihood by Adam over all rows at once (forward and backward sums)."""
         names: dict[str, int] = {"": 0}
         lines, gold = [], []

@@ -101,8 +101,9 @@ def judge_quality(
     document that fails the base limits or loses more than ``max_lost_percent`` of the
     characters of its lines.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    step = documents.withColumns({
+    step = documents.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    whole = F.col("_text")
+    step = step.withColumns({
         "_trimmed": F.btrim(whole, F.lit(SPACES)),
         "_lines": F.filter(F.split(whole, "\n"), lambda line: line.rlike(WORD)),
         "word_chars": F.length(without(whole, SPACES)).cast("long"),
@@ -132,4 +133,6 @@ def judge_quality(
     step = step.withColumn("kept", ~F.col("base_failed") & (lost <= F.col("_chars") * max_lost_percent))
     # An explode of one row: a filter on the results must not be pushed below and repeat the work.
     others = [c for c in documents.columns if c not in RESULTS]
-    return step.select(*others, F.explode(F.array(F.struct(*RESULTS))).alias("_r")).select(*others, "_r.*")
+    return step.select("_row", F.explode(F.array(F.struct(*RESULTS))).alias("_r")).select(
+        *[F.col("_row").getField(c).alias(c) for c in others], "_r.*"
+    )
