@@ -1,6 +1,7 @@
 """Documents packed into training windows by Karmarkar-Karp multiway differencing.
 
-A document's ids are cut into full windows and a rest. The rests are dealt into batches of about
+A document's ids are cut into full windows and a rest; the rest of one document in sixteen is cut
+into grains, which level the windows. The rests and grains are dealt into batches of about
 ``batch_pieces`` (a hash of their row number, so no key can make a batch hot), and each
 batch is split into near-equal windows:
 partial partitions are merged, the two with the widest imbalance first, the fullest windows of
@@ -17,6 +18,7 @@ and the text are read, so other columns cannot clash.
 from __future__ import annotations
 
 import heapq
+import itertools
 import os
 import re
 import unicodedata
@@ -32,7 +34,10 @@ from millrace.llm.arrays import Parts
 from millrace.session import settle
 
 CAPACITY = 1024
-BATCH_PIECES = 4000
+BATCH_PIECES = 1000
+#: The rest of one text in so many is cut this small: grains let the windows come out equal.
+EVERY, GRAIN = 16, 32
+MAX_TASKS = 10_000
 #: Parts of texts whose ids a task keeps (about 32 MB), and characters it handles at once.
 CACHE = 1_000_000
 GROUP_CHARS = 1_000_000
@@ -164,12 +169,17 @@ class Tokens:
         return at
 
 
-def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full windows, then the rest."""
-    return [(at, min(capacity, n - at)) for at in range(0, n, capacity)]
+def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces: full windows, then the rest; cut into near-equal
+    parts of at most ``grain`` ids if ``grain`` is not nought."""
+    full = n - n % capacity
+    out = [(at, capacity) for at in range(0, full, capacity)]
+    parts = min(n - full, 1 if not grain else -(-(n - full) // grain))
+    edges = [full + (n - full) * k // parts for k in range(parts + 1)] if parts else []
+    return out + [(a, b - a) for a, b in itertools.pairwise(edges)]
 
 
-def cutter(path: str, capacity: int, key: str, text: str):
+def cutter(path: str, capacity: int, grain: int, every: int, key: str, text: str):
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +190,7 @@ def cutter(path: str, capacity: int, key: str, text: str):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for row, found in enumerate(tokens.ids(texts)):
                 ids = np.append(found, np.uint32(0)).astype("<u4")
-                for start, length in cuts(len(ids), capacity):
+                for start, length in cuts(len(ids), capacity, 0 if row % every else grain):
                     rows.append(row)
                     numbers.append((start, length, zlib.crc32(ids[start:start + length].tobytes()), len(ids)))
             columns = np.array(numbers, np.int64).reshape(-1, 4).T
@@ -231,7 +241,7 @@ def near_equal(sizes: list[int], capacity: int) -> list[list[int]]:
         sums, groups = difference(sizes, windows)
         if sums[-1] <= capacity:
             return groups
-        spread = int(sums[-1]) - total // windows
+        spread = int(sums[-1] - sums[0])  # the rise leaves half of it as room
         windows = max(windows + 1, -(-total // max(1, capacity - spread // 2)))
 
 
@@ -253,13 +263,13 @@ def packer(capacity: int):
 
 
 def pack_documents(
-    documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY,
+    documents: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, grain: int = GRAIN, every: int = EVERY,
     batch_pieces: int = BATCH_PIECES, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row per piece: key, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``,
     ``sequence_id`` (the row number of its first piece) and ``offset``."""
     kind = documents.schema[key].dataType.simpleString()
-    cut = cutter(tokenizer or tokenizer_path(), capacity, key, text)
+    cut = cutter(tokenizer or tokenizer_path(), capacity, grain, every, key, text)
     pieces = documents.select(key, text).mapInArrow(
         cut, f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     )
@@ -268,5 +278,8 @@ def pack_documents(
     rest = pieces.filter(F.col("length") < capacity)
     batches = max(1, round(rest.count() / batch_pieces))
     schema = rest.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id bigint, offset bigint"
-    packed = rest.withColumn("_batch", F.pmod(F.xxhash64("_row"), F.lit(batches))).groupBy("_batch").applyInPandas(packer(capacity), schema)
+    dealt = rest.withColumn("_batch", F.pmod(F.xxhash64("_row"), F.lit(batches)))
+    # The rows are few and the work on them is not: as many tasks as there are batches for.
+    dealt = dealt.repartition(min(batches, MAX_TASKS), "_batch")
+    packed = dealt.groupBy("_batch").applyInPandas(packer(capacity), schema)
     return full.unionByName(packed).drop("_row")
