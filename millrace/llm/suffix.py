@@ -38,7 +38,7 @@ from millrace.session import settle
 LENGTH = 400
 ANCHOR = 32
 HOT = 256
-CELL = 24
+CELL = 12
 #: Bytes of texts, or of runs, that are handled at once.
 GROUP_BYTES = 1_000_000
 RUN = "cid binary, f bigint, s bigint, n bigint, m bigint, h bigint"
@@ -271,6 +271,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, hot: int = HOT, c
     texts = documents.select(F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("cid"), F.col(text).alias("text"))
     anchors = texts.mapInArrow(lambda batches: run_rows(batches, length, False), "f bigint")
     anchors = anchors.groupBy("f").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("f")
+    anchors = settle(anchors, "anchors")  # with an exchange of its own on either side the join can split a hot anchor
     runs = settle(texts.mapInArrow(lambda batches: run_rows(batches, length, True), RUN).join(anchors, "f"), "runs")
     kinds = settle(runs.groupBy("f", "n", "m", "h").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("cid", "s")).alias("first")), "kinds")
     several = kinds.groupBy("f").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
