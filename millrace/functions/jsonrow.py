@@ -17,7 +17,9 @@ INVALID = (BAD_JSON, NON_OBJECT, TOO_LARGE)
 LARGE_LINE = 32 << 20
 
 _GUARD = '"\\u0001~end"'
-_OPTIONS = "map('allowSingleQuotes', 'false', 'maxStringLen', '2147483647')"
+_OPTIONS = (
+    "map('allowSingleQuotes', 'false', 'maxStringLen', '2147483647', 'maxNumLen', '2147483647', 'maxNestingDepth', '2147483647')"
+)
 
 
 def _guarded(raw: str) -> Column:

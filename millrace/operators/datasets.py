@@ -91,10 +91,14 @@ def validate_datasets(classified: DataFrame, dataset: str = "source", line: str
 def load_dataset(classified: DataFrame, dataset: str = "source", line: str = "line_no", strict: bool = True, rows_per_task: int = ROWS_PER_TASK):
     """``(rows, verdicts)``: the recognised lines of valid datasets, and a verdict per dataset.
 
-    With ``strict`` an invalid dataset is an error; otherwise its rows are left out.
+    With ``strict`` an invalid dataset is an error. Otherwise its rows are left out, and a line that
+    holds a value but no object is skipped and counted, like one without a known task.
     The lines are read twice, for the verdicts, which are written, and for the rows:
     write them first (``settle``) when they are costly to compute.
     """
+    if not strict:
+        skipped = F.when(F.col("status") == jsonrow.NON_OBJECT, jsonrow.UNRECOGNISED).otherwise(F.col("status"))
+        classified = classified.withColumn("status", skipped)
     found = settle(validate_datasets(classified, dataset, line), "verdicts")
     if strict:
         worst = found.filter("NOT ok").orderBy(dataset).first()

@@ -12,8 +12,6 @@ from millrace.functions.text import chunk_tokens, is_blank, token_count
 from millrace.functions.units import round_exact
 from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
 
-# Chunks of one run that are put into one text or document.
-PART_ROWS = 1 << 12
 # Decimal places of a run log's numbers.
 PLACES = {
     "time_s": 4, "tps_overall": 4, "tps_peak": 4, "tps_lowest": 4, "tps": 2, "elapsed_s": 3,
@@ -115,22 +113,23 @@ def throughput(steps: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def in_parts(steps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Add ``part``: 0 for a run's first ``part_rows`` chunks, 1 for the next, and so on."""
-    return steps.withColumn("part", block_of(F.col("place") - 1, part_rows))
+def in_parts(trace: DataFrame, part_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``part``: 0 for all of a run, or with ``part_rows`` 0 for its first chunks, 1 for the next, and so on."""
+    if part_rows is None:
+        return trace.withColumn("part", F.lit(0).cast("long"))
+    rows = ordered_scan(
+        trace, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows), totals={"_place": F.lit(1)}
+    )
+    return rows.withColumn("part", block_of(F.col("_place") - 1, part_rows)).drop("_place")
 
 
-def assemble_response(trace: DataFrame, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def assemble_response(trace: DataFrame, part_rows: int | None = None) -> DataFrame:
     """The response text of each run, its chunks joined in arrival order.
 
-    A response of more than ``part_rows`` chunks comes in parts whose texts follow
-    one another, so that no task has to hold a response of any length.
+    With ``part_rows`` a longer response comes in parts whose texts follow one another.
     """
-    places = ordered_scan(
-        trace.select("run_id", "seq", "chunk"), ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
-        totals={"place": F.lit(1)},
-    )
-    return in_parts(places, part_rows).groupBy("run_id", "part").agg(
+    rows = in_parts(trace.select("run_id", "seq", "chunk"), part_rows)
+    return rows.groupBy("run_id", "part").agg(
         F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("response")
     )
 
@@ -160,26 +159,6 @@ def memory_deltas(snapshots: DataFrame, *keys: str) -> DataFrame:
     })
 
 
-def in_parts(trace: DataFrame, part_rows: int = PART_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Add ``part``: 0 for a run's first ``part_rows`` chunks, 1 for the next, and so on."""
-    rows = ordered_scan(
-        trace, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows), totals={"_place": F.lit(1)}
-    )
-    return rows.withColumn("part", block_of(F.col("_place") - 1, part_rows)).drop("_place")
-
-
-def assemble_response(trace: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """The response text of each run, its chunks joined in arrival order.
-
-    A response of more than ``part_rows`` chunks comes in parts whose texts follow
-    one another, so that no task has to hold a response of any length.
-    """
-    rows = in_parts(trace, part_rows)
-    return rows.groupBy("run_id", "part").agg(
-        F.expr("listagg(chunk) WITHIN GROUP (ORDER BY seq)").alias("response")
-    )
-
-
 def round_stats(stats: DataFrame) -> DataFrame:
     """The rounding that run logs use, for the columns that are there."""
     return stats.withColumns({c: round_exact(F.col(c), PLACES[c]) for c in stats.columns if c in PLACES})

@@ -7,30 +7,27 @@ from pyspark.sql import functions as F
 from millrace.functions import jsonrow
 from millrace.functions.text import format_chat, format_sft, strip
 from millrace.operators import datasets as ds
-from millrace.operators.telemetry import block_of
 from millrace.queries import fixtures as fx
 from millrace.queries.fixtures import Query
 
-CHAT_PART_TURNS = 1024
-
 
 def classified(spark, folder):
     return ds.classify_lines(fx.lines(spark, folder))
 
 
 def chat_rows(turns):
-    """Conversations as chat rows; one of more than 1,024 turns goes on in further parts."""
+    """Conversations as chat rows, one each."""
     turn = F.struct("turn", F.col("role"), F.col("text").alias("content"))
-    rows = turns.withColumn("part", block_of(F.col("turn"), CHAT_PART_TURNS)).groupBy("conv_id", "part").agg(
+    rows = turns.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(turn)).alias("turns")
     )
     messages = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return rows.select("conv_id", "part", messages.alias("messages"))
+    return rows.select("conv_id", messages.alias("messages"))
 
 
 def formatted_chats(spark, folder):
     rows = chat_rows(fx.table(spark, folder, "conversations"))
-    return rows.select("conv_id", "part", format_chat(F.col("messages")).alias("text"))
+    return rows.select("conv_id", format_chat(F.col("messages")).alias("text"))
 
 
 def strict_json(spark, folder):
@@ -56,6 +53,8 @@ dataset_verdicts AS (SELECT dataset, ok, CASE WHEN ok THEN lead END AS task, CAS
   CASE WHEN ok THEN n_skipped END AS skipped, error, fault_line AS error_line,
   CASE WHEN error = 'mixed_tasks' THEN lead END AS expected, CASE WHEN error = 'mixed_tasks' THEN what END AS found FROM verdicts)
 """
+# A lenient load skips values that are no object.
+LENIENT = VERDICTS.replace("status IN ('bad_json', 'non_object') OR", "status = 'bad_json' OR")
 
 QUERIES = {
     "task_detect": Query(
@@ -76,7 +75,7 @@ QUERIES = {
     "dataset_load": Query(
         lambda spark, folder: ds.load_dataset(classified(spark, folder), "dataset", strict=False)[0]
         .select("dataset", "line_no", "status", "raw"),
-        f"WITH {fx.CLASSIFIED}, {VERDICTS} SELECT dataset, line_no, status, raw FROM classified "
+        f"WITH {fx.CLASSIFIED}, {LENIENT} SELECT dataset, line_no, status, raw FROM classified "
         "JOIN dataset_verdicts USING (dataset) WHERE ok AND status IN ('sft', 'chat', 'dpo', 'rl')",
     ),
     "project_task": Query(
@@ -97,8 +96,8 @@ QUERIES = {
     ),
     "format_chat": Query(
         formatted_chats,
-        "SELECT conv_id, turn // 1024 AS part, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) AS text "
-        "FROM conversations GROUP BY conv_id, turn // 1024",
+        "SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) AS text "
+        "FROM conversations GROUP BY conv_id",
     ),
     "dataset_summary": Query(
         lambda spark, folder: ds.dataset_summary(classified(spark, folder), "source"),

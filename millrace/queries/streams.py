@@ -14,8 +14,11 @@ CAP = 5
 
 
 def table_stream(spark, folder, name):
-    """A given table as a stream of its Parquet files."""
+    """A given table, one file or a folder of them, as a stream of its Parquet files."""
     schema = table(spark, folder, name).schema
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 

@@ -13,8 +13,6 @@ from millrace.queries.fixtures import Query, table
 from millrace.sinks.jsonl import build_run_logs
 from millrace.sources.runlogs import explode_trace, parse_run_logs, stat
 
-# Small, so that runs of the given tables take several parts.
-PART_ROWS = 50
 
 
 def runs(spark, folder):
@@ -46,7 +44,7 @@ def two(expression: str, places: int) -> str:
 
 
 def documents(spark, folder):
-    return build_run_logs(tm.round_stats(speeds(spark, folder)), steps(spark, folder), PART_ROWS)
+    return build_run_logs(tm.round_stats(speeds(spark, folder)), steps(spark, folder))
 
 
 def logged(spark, folder):
@@ -60,7 +58,7 @@ def scanned(spark, folder):
 
 
 ENTRIES = (
-    f"placed AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1) // {PART_ROWS} AS part FROM steps), "
+    f"placed AS (SELECT *, 0 AS part FROM steps), "
     "entries AS (SELECT * FROM placed WHERE tps IS NOT NULL), "
     "numbered AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, part ORDER BY seq) - 1 AS INTEGER) AS entry_idx FROM entries)"
 )
@@ -148,8 +146,8 @@ QUERIES = {
     ),
     "throughput_stats": Query(speeds, f"WITH {fx.TRACE}, {SPEEDS} SELECT * FROM speeds"),
     "assemble_response": Query(
-        lambda spark, folder: tm.assemble_response(fx.trace(spark, folder), PART_ROWS),
-        f"WITH {fx.TRACE}, placed AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1) // {PART_ROWS} AS part FROM trace) "
+        lambda spark, folder: tm.assemble_response(fx.trace(spark, folder)),
+        f"WITH {fx.TRACE}, placed AS (SELECT *, 0 AS part FROM trace) "
         "SELECT run_id, part, string_agg(chunk, '' ORDER BY seq) AS response FROM placed GROUP BY run_id, part",
     ),
     "run_log_sink": Query(

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.functions import jsonrow
-from millrace.operators.telemetry import PART_ROWS, in_parts, round_stats
+from millrace.operators.telemetry import in_parts, round_stats
 from millrace.sources.units import spaced_json
 
 # Fields of a run log besides its stats, response and trace.
@@ -53,7 +53,7 @@ def to_training_table(classified: DataFrame, task: str, path: str | None = None)
     return table.sparkSession.read.schema(table.schema).parquet(path)
 
 
-def build_run_logs(stats: DataFrame, steps: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+def build_run_logs(stats: DataFrame, steps: DataFrame, part_rows: int | None = None) -> DataFrame:
     """Run-log documents ``(run_id, part, document)``: rounded stats, response and chunk trace.
 
     A run of more than ``part_rows`` chunks is cut into parts, each a document with

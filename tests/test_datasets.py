@@ -79,7 +79,7 @@ def test_datasets_need_the_suffix(spark, tmp_path):
 def test_load_keeps_rows_of_valid_datasets(spark):
     classified = ds.classify_lines(as_lines(spark))
     rows, _ = ds.load_dataset(classified, strict=False, rows_per_task=1)
-    assert sorted((r.source, r.line_no) for r in rows.collect()) == [("clean", 1), ("clean", 4), ("dpo", 1)]
+    assert sorted((r.source, r.line_no) for r in rows.collect()) == [("clean", 1), ("clean", 4), ("dpo", 1), ("list", 2)]
     with pytest.raises(ValueError, match="dataset broken is invalid: bad_json at line 2"):
         ds.load_dataset(classified)
 
@@ -138,3 +138,12 @@ def test_every_line_is_valid_skipped_or_ignored(spark):
             ignored = sum(not line.strip() or line.startswith("```") for line in batch)
             valid, skipped = counts.get(i, (0, 0))
             assert valid == batch.count(good) and valid + skipped + ignored == len(batch)
+
+
+def test_lenient_load_skips_values_that_are_no_object(spark):
+    df = ds.classify_lines(spark.createDataFrame([("d", 1, SFT), ("d", 2, "[1]"), ("d", 3, SFT)], "source string, line_no long, raw string"))
+    rows, found = ds.load_dataset(df, strict=False)
+    row = found.first()
+    assert rows.count() == 2 and (row.ok, row["count"], row.skipped) == (True, 2, 1)
+    with pytest.raises(ValueError):
+        ds.load_dataset(df)

@@ -30,5 +30,5 @@ def test_query_equals_its_sql(spark, connection, name):
 
 def test_flagship(spark):
     df = entry.entry(spark)
-    assert df.columns == ["conv_id", "part", "text"]
+    assert df.columns == ["conv_id", "text"]
     assert df.count() > 0

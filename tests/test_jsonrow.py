@@ -125,3 +125,8 @@ def test_messages_projection(spark):
 def test_unknown_task_is_refused():
     with pytest.raises(ValueError):
         jsonrow.columns_of(None, "other")
+
+
+def test_long_numbers_and_deep_nesting_are_json(spark):
+    texts = ['{"a":' + "1" * 1200 + "}", '{"a":' + "[" * 1200 + "]" * 1200 + "}", '{"a":' + "[" * 1200 + "]" * 1199 + "}"]
+    assert validity(spark, texts) == [True, True, False]

@@ -1,3 +1,4 @@
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,10 @@ def test_counts_in_complete_mode(spark, tmp_path):
     run(counts.writeStream.outputMode("complete").foreachBatch(lambda df, n: last.append(df.first()))
         .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start())
     assert (last[-1].generated, last[-1].skipped) == (1, 2)
+
+
+def test_a_table_in_a_folder_streams_like_one_file(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{folder}/documents.parquet").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    queries = entry.queries()
+    assert queries["stream_ingest"](spark, str(tmp_path)).count() == queries["stream_ingest"](spark, folder).count() > 0
