@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SFT, CHAT, DPO, RL = "sft", "chat", "dpo", "rl"
 TASKS = (SFT, CHAT, DPO, RL)
+# The text columns of a task's training rows; chat has turns instead.
+TEXT_COLUMNS = {SFT: ("prompt", "completion"), DPO: ("prompt", "chosen", "rejected"), RL: ("prompt",)}
+TURN_COLUMNS = ("role", "content")
+# The keys that tell the tasks apart.
+TASK_KEYS = ("prompt", "chosen", "rejected", "completion", "messages")
 BAD_JSON, NON_OBJECT, UNRECOGNISED, TOO_LARGE = "bad_json", "non_object", "unrecognised", "too_large"
 # What makes a whole dataset invalid.
 INVALID = (BAD_JSON, NON_OBJECT, TOO_LARGE)
@@ -22,18 +27,21 @@ _OPTIONS = (
 )
 
 
-def _guarded(raw: str) -> Column:
+def guarded_sql(raw: str) -> str:
     """The line as the first element of an array whose second one is the guard string."""
-    wrapped = f"'[' || `{raw}` || ',{_sql(_GUARD)}]'"
-    return F.expr(f"from_json({wrapped}, 'array<variant>', {_OPTIONS})")
+    wrapped = f"'[' || `{raw}` || ',{sql_text(_GUARD)}]'"
+    return f"from_json({wrapped}, 'array<variant>', {_OPTIONS})"
 
 
-def _sole_value(raw: str, pair: Column) -> Column:
-    guard = F.try_variant_get(F.get(pair, F.lit(1)), "$", "string") == "\x01~end"
-    odd = F.col(raw).contains("u0001~end") | F.col(raw).contains("+Infinity")
-    second = F.expr(f"try_parse_json('{{\"v\":' || `{raw}` || '}}') IS NOT NULL")
-    valid = F.is_valid_utf8(F.col(raw)) & (F.size(pair) == 2) & guard & F.when(odd, second).otherwise(F.lit(True))
-    return F.when(valid, F.get(pair, F.lit(0)))
+def sole_value_sql(raw: str, pair: str) -> str:
+    """The first element of ``pair`` (SQL of the guarded line), or NULL unless the line is one whole value."""
+    odd = f"contains(`{raw}`, 'u0001~end') OR contains(`{raw}`, '+Infinity')"
+    second = f"try_parse_json('{{\"v\":' || `{raw}` || '}}') IS NOT NULL"
+    guard = f"try_variant_get(get({pair}, 1), '$', 'string') = '\\u0001~end'"
+    return (
+        f"CASE WHEN is_valid_utf8(`{raw}`) AND size({pair}) = 2 AND {guard} "
+        f"AND CASE WHEN {odd} THEN {second} ELSE true END THEN get({pair}, 0) END"
+    )
 
 
 def parse_strict(raw: str) -> Column:
@@ -44,7 +52,7 @@ def parse_strict(raw: str) -> Column:
     two elements. Lines that hold the guard or ``+Infinity`` themselves take an
     exact second look.
     """
-    return _sole_value(raw, _guarded(raw))
+    return F.expr(sole_value_sql(raw, guarded_sql(raw)))
 
 
 def with_value(df: DataFrame, raw: str = "raw", name: str = "value") -> DataFrame:
@@ -53,11 +61,11 @@ def with_value(df: DataFrame, raw: str = "raw", name: str = "value") -> DataFram
     A filter on what is derived from the value would otherwise be pushed below the
     projection and repeat the parse for every mention; it stops at an explode.
     """
-    pairs = df.withColumn("_pair", _guarded(raw))
-    return pairs.select(*df.columns, F.explode(F.array(_sole_value(raw, F.col("_pair")))).alias(name))
+    pairs = df.withColumn("_pair", F.expr(guarded_sql(raw)))
+    return pairs.select(*df.columns, F.explode(F.array(F.expr(sole_value_sql(raw, "_pair")))).alias(name))
 
 
-def _sql(text: str) -> str:
+def sql_text(text: str) -> str:
     return text.replace("\\", "\\\\").replace("'", "\\'")
 
 
@@ -79,7 +87,7 @@ def is_list(value: Column, key: str) -> Column:
 def task_of(value: Column) -> Column:
     """The task of an object by the keys it holds, first rule that fits; else NULL."""
     prompt, chosen, rejected, completion, messages = (
-        has_key(value, key) for key in ("prompt", "chosen", "rejected", "completion", "messages")
+        has_key(value, key) for key in TASK_KEYS
     )
     return (
         F.when(prompt & chosen & rejected, DPO)
@@ -109,7 +117,7 @@ def messages_of(value: Column) -> Column:
     turns = F.try_variant_get(value, "$.messages", "array<variant>")
     return F.transform(
         turns,
-        lambda turn: F.struct(text_at(turn, "$.role").alias("role"), text_at(turn, "$.content").alias("content")),
+        lambda turn: F.struct(*[text_at(turn, f"$.{name}").alias(name) for name in TURN_COLUMNS]),
     )
 
 
@@ -117,7 +125,6 @@ def columns_of(value: Column, task: str) -> list[Column]:
     """The columns that a task's training rows consist of."""
     if task == CHAT:
         return [messages_of(value).alias("messages")]
-    names = {SFT: ("prompt", "completion"), DPO: ("prompt", "chosen", "rejected"), RL: ("prompt",)}
-    if task not in names:
+    if task not in TEXT_COLUMNS:
         raise ValueError(f"unknown task: {task}")
-    return [text_at(value, f"$.{name}").alias(name) for name in names[task]]
+    return [text_at(value, f"$.{name}").alias(name) for name in TEXT_COLUMNS[task]]

@@ -1,47 +1,45 @@
-"""Response parsing as a table function for SQL."""
+"""Response parsing as a table function for SQL callers, written in SQL itself."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
-
-from millrace.functions.text import CODE_FENCE
-
-
-@udtf(returnType="line_idx int, raw string, status string")
-class ParseRows:
-    """``parse_rows(response, task)``: candidate lines with their status.
-
-    For SQL callers; ``parse_responses`` does the same inside the JVM.
-    """
-
-    def eval(self, response: str, task: str):
-        for position, line in enumerate((response or "").splitlines()):
-            line = line.strip()
-            if line and not line.startswith(CODE_FENCE):
-                yield position, line, self.verdict(line, task)
-
-    @staticmethod
-    def verdict(line: str, task: str) -> str:
-        try:
-            row = json.loads(line)
-        except json.JSONDecodeError:
-            return "bad_json"
-        if not isinstance(row, dict):
-            return "non_object"
-        shapes = {
-            "dpo": {"prompt", "chosen", "rejected"} <= row.keys(),
-            "chat": isinstance(row.get("messages"), list),
-            "sft": {"prompt", "completion"} <= row.keys(),
-            "rl": "prompt" in row and not {"completion", "chosen", "messages"} & row.keys(),
-        }
-        found = next((name for name, fits in shapes.items() if fits), "unrecognised")
-        if found == task:
-            return "valid"
-        return "unrecognised" if found == "unrecognised" else "wrong_task"
+
+from millrace.functions import jsonrow
+from millrace.functions.text import CODE_FENCE, LINE_BREAK, SPACES
+from millrace.operators.responses import VALID, WRONG_TASK
+
+_TASKS = ", ".join(f"'{task}'" for task in jsonrow.TASKS)
+
+
+def _parse_rows_sql() -> str:
+    """Each step stands in a subquery of its own, so that a line is parsed once."""
+    has = {key: f"try_variant_get(value, '$.{key}', 'variant') IS NOT NULL" for key in jsonrow.TASK_KEYS}
+    pieces = f"SELECT posexplode(split(response, '{jsonrow.sql_text(LINE_BREAK)}')) AS (line_idx, piece)"
+    stripped = f"SELECT line_idx, btrim(piece, '{jsonrow.sql_text(SPACES)}') AS raw FROM ({pieces})"
+    pairs = (
+        f"SELECT line_idx, raw, {jsonrow.guarded_sql('raw')} AS pair FROM ({stripped}) "
+        f"WHERE raw <> '' AND NOT startswith(raw, '{CODE_FENCE}')"
+    )
+    values = f"SELECT line_idx, raw, {jsonrow.sole_value_sql('raw', 'pair')} AS value FROM ({pairs})"
+    held = f"SELECT line_idx, raw, value, {', '.join(f'{test} AS {key}' for key, test in has.items())} FROM ({values})"
+    found = (
+        f"SELECT line_idx, raw, CASE WHEN value IS NULL AND octet_length(raw) > {jsonrow.LARGE_LINE} THEN '{jsonrow.TOO_LARGE}' "
+        f"WHEN value IS NULL THEN '{jsonrow.BAD_JSON}' WHEN NOT startswith(raw, '{{') THEN '{jsonrow.NON_OBJECT}' "
+        f"WHEN prompt AND chosen AND rejected THEN '{jsonrow.DPO}' "
+        f"WHEN messages AND startswith(schema_of_variant(try_variant_get(value, '$.messages', 'variant')), 'ARRAY') THEN '{jsonrow.CHAT}' "
+        f"WHEN prompt AND completion THEN '{jsonrow.SFT}' "
+        f"WHEN prompt AND NOT (completion OR chosen OR messages) THEN '{jsonrow.RL}' "
+        f"ELSE '{jsonrow.UNRECOGNISED}' END AS found FROM ({held})"
+    )
+    return (
+        f"SELECT line_idx, raw, CASE WHEN found = task THEN '{VALID}' WHEN found IN ({_TASKS}) THEN '{WRONG_TASK}' "
+        f"ELSE found END AS status FROM ({found})"
+    )
 
 
 def register_parse_rows(spark: SparkSession) -> None:
-    spark.udtf.register("parse_rows", ParseRows)
+    """``parse_rows(response, task)``: candidate lines with their status, as ``parse_responses`` gives them."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION parse_rows(response STRING, task STRING) "
+        f"RETURNS TABLE (line_idx INT, raw STRING, status STRING) RETURN {_parse_rows_sql()}"
+    )

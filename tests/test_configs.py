@@ -93,7 +93,7 @@ def test_links(spark):
 
 def test_user_functions(spark):
     df = spark.createDataFrame([("a", "x " * 30), ("b", "x " * 300), ("", "")], "prompt string, response string")
-    score = reward_score(lambda prompt, response: min(1.0, response.count("x") / 100))
+    score = reward_score(lambda prompts, responses: (responses.str.count("x") / 100).clip(upper=1.0))
     rows = df.select(score("prompt", "response").alias("s"), word_reward(F.col("response")).alias("n")).collect()
     assert [(r.s, r.n) for r in rows] == [(0.3, 0.3), (1.0, 1.0), (0.0, 0.0)]
 
