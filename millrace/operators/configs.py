@@ -45,13 +45,12 @@ def _empty(text: str) -> Column:
     return F.coalesce(is_blank(F.col(text)), F.lit(True))
 
 
-def validate_configs(configs: DataFrame) -> DataFrame:
-    """``(name, ok, code)``: the first rule that a config breaks, in a fixed order."""
-    c = with_defaults(configs)
-    grounded = F.col("mode") == GROUNDED
+def broken_rule() -> Column:
+    """The first rule that a config breaks, in a fixed order; NULL for a config that breaks none."""
+    grounded = F.coalesce("mode", F.lit(STANDARD)) == GROUNDED
     below_one = {name: F.coalesce(F.col(name) < 1, F.lit(True)) for name in ("count", "batch_size")}
     blank_prompt = F.exists("prompts", lambda p: F.coalesce(strip(p) == "", F.lit(True)))
-    code = (
+    return (
         F.when(~F.coalesce(F.col("task").isin(*jsonrow.TASKS), F.lit(False)), "task")
         .when(grounded & F.coalesce(F.size("prompts") < 1, F.lit(True)), "prompts")
         .when(grounded & blank_prompt, "prompt_blank")
@@ -60,9 +59,13 @@ def validate_configs(configs: DataFrame) -> DataFrame:
         .when(_empty("model"), "model")
         .when(~grounded & _empty("user_prompt"), "user_prompt")
         .when(grounded & _empty("source"), "source")
-        .when(grounded & (F.col("max_source_chars") < LEAST_SOURCE_CHARS), "max_source_chars")
+        .when(grounded & (F.coalesce("max_source_chars", F.lit(MAX_SOURCE_CHARS)) < LEAST_SOURCE_CHARS), "max_source_chars")
     )
-    return c.select("name", code.alias("code")).select("name", F.col("code").isNull().alias("ok"), "code")
+
+
+def validate_configs(configs: DataFrame) -> DataFrame:
+    """``(name, ok, code)``: the first rule that a config breaks."""
+    return configs.select("name", broken_rule().alias("code")).select("name", F.col("code").isNull().alias("ok"), "code")
 
 
 def split_names(df: DataFrame, names: str = "names") -> DataFrame:
@@ -109,12 +112,20 @@ def preflight(
     names = requested.select("name")
     unknown = names.join(configs.select("name"), "name", "left_anti").select("name", F.lit("not_found").alias("problem"))
     wanted = configs.join(names, "name", "left_semi")
-    checked = provider_route(wanted, prefixes, default).join(validate_configs(wanted), "name")
+    checked = provider_route(wanted, prefixes, default).withColumn("_code", broken_rule())
     keyed = checked.join(_with_key(providers, prefixes, default).withColumn("_keyed", F.lit(True)), "provider", "left")
-    problem = F.when(~F.col("ok"), F.concat(F.lit("invalid_"), F.col("code"))).when(F.col("_keyed").isNull(), F.lit("no_key"))
+    problem = F.when(F.col("_code").isNotNull(), F.concat(F.lit("invalid_"), F.col("_code"))).when(F.col("_keyed").isNull(), F.lit("no_key"))
     return unknown.unionByName(keyed.select("name", problem.alias("problem")).filter(F.col("problem").isNotNull()))
 
 
+def run_problems(configs: DataFrame, mode: str) -> DataFrame:
+    """``(name, problem)`` of the configs that a run of ``mode`` must not ask a model for."""
+    of_mode = F.coalesce("mode", F.lit(STANDARD)) == GROUNDED
+    other = of_mode if mode == STANDARD else ~of_mode
+    problem = F.coalesce(F.concat(F.lit("invalid_"), broken_rule()), F.when(other, F.lit("other_mode")))
+    return configs.select("name", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
 def stop_on_problems(problems: DataFrame) -> None:
     """Fail before any work when a requested config has a problem."""
     first = problems.orderBy("name").first()
@@ -126,9 +137,9 @@ def _ignored() -> Column:
     return F.transform(F.coalesce("ignore", F.array().cast("array<string>")), lambda key: strip(F.lower(key)))
 
 
-def _active(rules: dict[str, str]) -> Column:
+def _active(rules: dict[str, str], ignored: Column) -> Column:
     table = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("key"), F.lit(t).alias("text")) for i, (k, t) in enumerate(rules.items())])
-    return F.filter(table, lambda rule: ~F.array_contains(F.col("_ignored"), rule["key"]))
+    return F.filter(table, lambda rule: ~F.array_contains(ignored, rule["key"]))
 
 
 def active_rules(configs: DataFrame, rules: dict[str, str]) -> DataFrame:
@@ -136,23 +147,26 @@ def active_rules(configs: DataFrame, rules: dict[str, str]) -> DataFrame:
 
     The user's rule list goes in as a literal, so that no join is needed.
     """
-    rows = configs.select("name", _ignored().alias("_ignored"))
-    return rows.select("name", F.explode(_active(rules)).alias("rule")).select("name", "rule.pos", "rule.key")
+    return configs.select("name", F.explode(_active(rules, _ignored())).alias("rule")).select("name", "rule.pos", "rule.key")
 
 
-def rule_prompt(configs: DataFrame, base: str, intro: str, rules: dict[str, str], outro: str, ending: str, grounded_ending: str = "") -> DataFrame:
-    """``(name, system)``: base text, the block of active rules if there is any, ending.
+def system_text(base: str, intro: str, rules: dict[str, str], outro: str, ending: str, grounded_ending: str = "") -> Column:
+    """A config's system text: base, the block of active rules if there is any, ending.
 
     All texts are the user's. Grounded configs get one more ending.
     """
-    rows = configs.select("name", F.coalesce("mode", F.lit(STANDARD)).alias("mode"), _ignored().alias("_ignored"))
-    texts = F.transform(_active(rules), lambda rule: rule["text"])
-    block = F.concat(F.lit(f"\n\n{intro}\n\n"), F.array_join(F.col("_texts"), "\n\n"), F.lit(f"\n\n{outro}"))
-    system = F.concat(
-        F.lit(base), F.when(F.size("_texts") > 0, block).otherwise(""), F.lit(f"\n\n{ending}"),
-        F.when(F.col("mode") == GROUNDED, F.lit(grounded_ending)).otherwise(""),
+    texts = F.transform(_active(rules, _ignored()), lambda rule: rule["text"])
+    block = F.concat(F.lit(f"\n\n{intro}\n\n"), F.array_join(texts, "\n\n"), F.lit(f"\n\n{outro}"))
+    grounded = F.coalesce("mode", F.lit(STANDARD)) == GROUNDED
+    return F.concat(
+        F.lit(base), F.when(F.size(texts) > 0, block).otherwise(""), F.lit(f"\n\n{ending}"),
+        F.when(grounded, F.lit(grounded_ending)).otherwise(""),
     )
-    return rows.withColumn("_texts", texts).select("name", system.alias("system"))
+
+
+def rule_prompt(configs: DataFrame, base: str, intro: str, rules: dict[str, str], outro: str, ending: str, grounded_ending: str = "") -> DataFrame:
+    """``(name, system)`` of each config."""
+    return configs.select("name", system_text(base, intro, rules, outro, ending, grounded_ending).alias("system"))
 
 
 def union_configs(*configs: DataFrame) -> DataFrame:

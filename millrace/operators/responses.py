@@ -72,16 +72,23 @@ def cap_to_target(
     return ranked.filter(F.col("_rank") <= target).drop("_rank")
 
 
+def _with_plan(parsed: DataFrame, plan: DataFrame | None, keys: list[str], *more: str) -> DataFrame:
+    """The lines and one row without ``status`` per planned request: counted with them, it adds nothing but its keys."""
+    lines = parsed.select(*keys, "status", *more)
+    return lines if plan is None else lines.unionByName(plan.select(*keys), allowMissingColumns=True)
+
+
 def progress(
     parsed: DataFrame, keys: list[str], target: int | Column, batch: str = "batch_idx",
-    existing: int = 0, block_batches: int = 1 << 14,
+    existing: int = 0, block_batches: int = 1 << 14, plan: DataFrame | None = None,
 ) -> DataFrame:
     """After each batch: rows generated so far, at most ``target``, and lines skipped so far.
 
-    ``existing`` rows of a resumed output count as generated.
+    ``existing`` rows of a resumed output count as generated. With the ``plan`` of requests
+    (the keys and the batch) a batch whose answer held no line has its row too.
     """
     target = F.lit(target) if isinstance(target, int) else target
-    per_batch = parse_counts(parsed, *keys, batch)
+    per_batch = parse_counts(_with_plan(parsed, plan, [*keys, batch]), *keys, batch)
     running = ordered_scan(
         per_batch, keys, [batch], block_of(F.col(batch), block_batches),
         totals={"_valid": F.col("valid"), "total_skipped": F.col("skipped")},
@@ -93,19 +100,21 @@ def progress(
 
 def synth_summary(
     parsed: DataFrame, config: str, fill_keys: list[str], target: int | Column, unit: str | None = None,
-    started: str = "started", ended: str = "ended",
+    started: str = "started", ended: str = "ended", plan: DataFrame | None = None,
 ) -> DataFrame:
     """Per config: rows generated, lines skipped, source units, seconds from first to last response.
 
     The target holds for each of ``fill_keys``; counting stops there, so capping the
-    counts equals counting the capped rows.
+    counts equals counting the capped rows. With the ``plan`` (config, unit and fill keys)
+    units and configs whose answers held no line count too; a plan row without a unit
+    stands for a config that has none.
     """
     target = F.lit(target) if isinstance(target, int) else target
     keys = list(dict.fromkeys([config, *([unit] if unit else []), *fill_keys]))
     timed = started in parsed.columns
     spans = [F.min(started).alias("_from"), F.max(ended).alias("_to")] if timed else []
     valid = F.col("status") == VALID
-    fills = parsed.groupBy(*keys).agg(
+    fills = _with_plan(parsed, plan, keys, *([started, ended] if timed else [])).groupBy(*keys).agg(
         F.count_if(valid).alias("_valid"), F.count_if(~valid).alias("_skipped"), *spans
     )
     capped = F.least(F.col("_valid"), target)
@@ -120,7 +129,7 @@ def synth_summary(
     )
     counted = per_unit.groupBy(config).agg(
         F.sum("generated").alias("generated"), F.sum("skipped").alias("skipped"),
-        F.count(F.lit(1)).alias("sources"), *_span(timed),
+        F.count(unit).alias("sources"), *_span(timed),
     )
     return _with_elapsed(counted, timed)
 

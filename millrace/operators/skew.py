@@ -9,9 +9,9 @@ ROWS_PER_TASK = 2_000_000
 
 def spread_join(
     big: DataFrame, small: DataFrame, keys: list[str], by: list[str],
-    rows_per_task: int = ROWS_PER_TASK, sizes: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK, sizes: DataFrame | None = None, keep_big: bool = False,
 ) -> DataFrame:
-    """Inner join whose large keys are spread over several tasks.
+    """Inner join whose large keys are spread over several tasks; ``keep_big`` keeps rows without a partner.
 
     Keys with more than ``rows_per_task`` rows in ``big`` are found first, by
     counting or from ``sizes`` (the keys and ``n``). There are at most
@@ -28,4 +28,4 @@ def spread_join(
     salts = F.coalesce("_salts", F.lit(1))
     salted = big.join(large, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), salts).cast("int"))
     copies = small.join(large, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return copies.drop("_salts").join(salted.drop("_salts"), [*keys, "_salt"]).drop("_salt")
+    return copies.drop("_salts").join(salted.drop("_salts"), [*keys, "_salt"], "right" if keep_big else "inner").drop("_salt")

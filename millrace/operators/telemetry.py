@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.functions.text import chunk_tokens, is_blank, token_count
 from millrace.functions.units import round_exact
 from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
+from millrace.operators.skew import ROWS_PER_TASK, spread_join
 
 # Decimal places of a run log's numbers.
 PLACES = {
@@ -83,13 +84,10 @@ def cumulative_tokens(trace: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     ).select("run_id", "seq", "tokens", "cumulative_tokens")
 
 
-def elapsed(trace: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Seconds from run start to each chunk."""
-    rows = trace.withColumn("_us", micros(F.col("ts")))
-    return ordered_scan(
-        rows, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
-        attach=runs.select("run_id", "started_us"),
-    ).select("run_id", "seq", ((F.col("_us") - F.col("started_us")) / 1e6).alias("elapsed_s"))
+def elapsed(trace: DataFrame, runs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Seconds from run start to each chunk; NULL for a run that ``runs`` does not hold."""
+    rows = trace.select("run_id", "seq", micros(F.col("ts")).alias("_us"))
+    return spread_join(rows, runs.select("run_id", "started_us"), ["run_id"], ["seq"], rows_per_task, keep_big=True).select("run_id", "seq", ((F.col("_us") - F.col("started_us")) / 1e6).alias("elapsed_s"))
 
 
 def throughput(steps: DataFrame, counts: DataFrame | None = None) -> DataFrame:

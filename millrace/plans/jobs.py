@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import jsonrow
 from millrace.functions.text import format_chat, format_sft, truncate
@@ -12,37 +12,61 @@ from millrace.operators import responses as rs
 from millrace.plans import requests as rq
 from millrace.plans.generate import Factory, fill_rounds, generate
 from millrace.session import settle
-from millrace.sinks.jsonl import write_jsonl
+from millrace.sinks.jsonl import output_exists, write_jsonl
+
+
+def _routed(configs: DataFrame, mode: str, system: Column | None, prefixes: dict[str, str] | None) -> DataFrame:
+    """The configs of a run, with defaults, ``provider`` and the model's name there.
+
+    Stops the run when one of them breaks a rule or is of the other mode.
+    """
+    cf.stop_on_problems(cf.run_problems(configs, mode))
+    wanted = configs if system is None else configs.withColumn("system", system)
+    return cf.provider_route(cf.with_defaults(wanted), prefixes).withColumn("model", F.col("slug")).drop("slug")
+
+
+def _with_existing(wanted: DataFrame, existing: int | DataFrame) -> DataFrame:
+    """Add the rows that each config's output holds already."""
+    if isinstance(existing, DataFrame):
+        rows = wanted.join(existing.select("name", "existing"), "name", "left")
+        return rows.withColumn("existing", F.coalesce("existing", F.lit(0)))
+    if existing and len(wanted.select("name").take(2)) > 1:
+        raise ValueError("one number of existing rows for several configs: give a table (name, existing)")
+    return wanted.withColumn("existing", F.lit(existing))
 
 
 def synthesize(
-    configs: DataFrame, factory: Factory, path: str, existing: int = 0, workers: int | None = None,
+    configs: DataFrame, factory: Factory, path: str, existing: int | DataFrame = 0, workers: int | None = None,
     template: str = rq.STANDARD_TEMPLATE, hints: dict[str, str] | None = None, separate: bool = True,
+    system: Column | None = None, prefixes: dict[str, str] | None = None,
 ) -> DataFrame:
     """Run all standard configs as one job; the rows of each go to ``path`` under ``name=...``.
 
-    With very many configs, ``separate=False`` writes one output instead.
+    With very many configs, ``separate=False`` writes one output instead. A config that
+    breaks a rule, or a grounded one, stops the run before any request.
 
-    The factory's function gets ``name``, ``batch_idx``, ``model``, ``temperature``,
-    ``message`` (and ``system`` where the configs have one). ``existing`` resumes an
-    output that holds that many rows. Returns ``(name, generated, skipped)``; a
+    The factory's function gets ``name``, ``batch_idx``, ``provider``, ``model``,
+    ``temperature``, ``message`` and ``system`` (``configs.system_text``, or a column of
+    the configs). ``existing`` resumes an output: its number of rows, or for several
+    configs a table ``(name, existing)``. Returns ``(name, generated, skipped)``; a
     config whose batches gave too few rows ends short, as the row shows.
     """
-    wanted = cf.with_defaults(configs)
-    asked = ["name", "batch_idx", "task", "count"]
-    plan = rq.request_plan(wanted, F.col("count"), F.col("batch_size"), F.lit(existing), spread=True)
+    wanted = _with_existing(_routed(configs, cf.STANDARD, system, prefixes), existing)
+    asked = ["name", "batch_idx", "task", "count", "existing"]
+    plan = rq.request_plan(wanted, F.col("count"), F.col("batch_size"), F.col("existing"), spread=True)
     messages = rq.render_request(plan, template, hints)
-    sent = messages.select(*asked, "model", "temperature", "message", *[c for c in ("system",) if c in configs.columns])
+    sent = messages.select(*asked, "provider", "model", "temperature", "message", *[c for c in ("system",) if c in wanted.columns])
     answers = generate(sent, factory, workers, keep=asked)
     parsed = settle(rs.parse_responses(answers, F.col("task")).drop("value"), "lines")
     valid = parsed.filter(F.col("status") == rs.VALID)
-    rows = rs.cap_to_target(valid, ["name"], F.col("count") - existing)
-    write_jsonl(rows, path, "append" if existing else "overwrite", by=["name"] if separate else None)
-    target = wanted.select("name", F.col("count").cast("long").alias("_target"))
+    rows = rs.cap_to_target(valid, ["name"], F.col("count") - F.col("existing"))
+    resumed = isinstance(existing, DataFrame) or existing > 0
+    write_jsonl(rows, path, "append" if resumed else "overwrite", by=["name"] if separate else None)
+    target = wanted.select("name", F.col("count").cast("long").alias("_target"), F.col("existing").cast("long").alias("_had"))
     counts = rs.parse_counts(parsed, "name")
     return target.join(counts, "name", "left").select(
         "name",
-        F.greatest(F.lit(existing), F.least("_target", F.coalesce("valid", F.lit(0)) + existing)).alias("generated"),
+        F.greatest("_had", F.least(F.col("_target"), F.coalesce("valid", F.lit(0)) + F.col("_had"))).alias("generated"),
         F.coalesce("skipped", F.lit(0)).alias("skipped"),
     )
 
@@ -50,16 +74,20 @@ def synthesize(
 def synthesize_grounded(
     configs: DataFrame, units: DataFrame, factory: Factory, path: str, max_rounds: int, workers: int | None = None,
     template: str = rq.GROUNDED_TEMPLATE, hints: dict[str, str] | None = None, separate: bool = True,
+    system: Column | None = None, prefixes: dict[str, str] | None = None, mode: str = "error",
 ) -> DataFrame:
     """Run all grounded configs as one job over their units ``(source, unit_idx, unit)``.
 
     Each (unit, prompt) is asked until it has its config's count of rows or
-    ``max_rounds`` are over. Rows go to ``path`` under ``name=...``; returns
-    ``(name, generated, skipped, sources)``.
+    ``max_rounds`` are over. Rows go to ``path`` under ``name=...``; an output that is there
+    already stops the run, unless ``mode`` says ``append`` or ``overwrite``. Returns
+    ``(name, generated, skipped, sources)``, with zeros for a config whose source has no units.
     """
-    wanted = cf.with_defaults(configs)
-    given = ["name", "prompts", "max_source_chars", "model", "task", "count", "temperature", "batch_size"]
-    given += [c for c in ("system",) if c in configs.columns]
+    if mode == "error" and output_exists(configs.sparkSession, path):
+        raise FileExistsError(path)
+    wanted = _routed(configs, cf.GROUNDED, system, prefixes)
+    given = ["name", "prompts", "max_source_chars", "provider", "model", "task", "count", "temperature", "batch_size"]
+    given += [c for c in ("system",) if c in wanted.columns]
     own = rq.attach_units(wanted.select("source", *given), units)
     cut = own.withColumn("unit", truncate(F.col("unit"), F.col("max_source_chars")))
     pairs = rq.unit_prompts(cut, F.col("prompts")).drop("prompts", "max_source_chars")
@@ -68,11 +96,12 @@ def synthesize_grounded(
         pairs, keys, factory, F.col("task"), F.col("count"), F.col("batch_size"), max_rounds, workers,
         render=lambda plan: rq.render_grounded(plan, template, hints).drop("unit", "prompt"),
     )
-    write_jsonl(rows, path, by=["name"] if separate else None)
+    write_jsonl(rows, path, mode, by=["name"] if separate else None)
     per_unit = state.groupBy("name", "unit_idx").agg(F.sum("written").alias("written"), F.sum("skipped").alias("skipped"))
-    return per_unit.groupBy("name").agg(
+    counts = per_unit.groupBy("name").agg(
         F.sum("written").alias("generated"), F.sum("skipped").alias("skipped"), F.count(F.lit(1)).alias("sources")
     )
+    return wanted.select("name").join(counts, "name", "left").fillna(0, ["generated", "skipped", "sources"])
 
 
 def training_text(lines: DataFrame, task: str, dataset: str = "source", strict: bool = True) -> DataFrame:

@@ -97,10 +97,23 @@ def listing(spark, folder):
     return found.agg(F.sum("length").alias("n_bytes"), F.min(F.col("mtime").isNotNull()).alias("timed"))
 
 
+# A listing of logs: one per document, seven hours apart, two of them at the same time.
+LOG_COLUMNS = [
+    "'runs/' || source || '/' || lang || CAST(doc_id AS {0}) || '.json' AS path", "n_chars * 7 AS length",
+    "{1} '2024-01-01 00:00:30' + INTERVAL '7' HOUR * CAST(floor(doc_id / 2) AS INT) AS mtime",
+]
+
+
 def logs(spark, folder):
-    return log_listing(fs.list_files(spark, written_lines(spark, folder), "*.txt"))
+    columns = [c.format("STRING", "TIMESTAMP_NTZ") for c in LOG_COLUMNS]
+    return log_listing(table(spark, folder, "documents").selectExpr(*columns))
 
 
+LOGS = (
+    f"WITH logs AS (SELECT {', '.join(c.format('VARCHAR', 'TIMESTAMP') for c in LOG_COLUMNS)} FROM documents) "
+    "SELECT string_split(path, '/')[-1] AS name, CASE WHEN length < 1024 THEN CAST(length AS VARCHAR) || ' B' "
+    "ELSE printf('%.1f KB', length / 1024) END AS size, strftime(mtime, '%Y-%m-%d %H:%M') AS created FROM logs ORDER BY mtime DESC, path"
+)
 LINE_CHARS = f"WITH {fx.LINES} SELECT sum(length(raw) + 1)::BIGINT AS n_chars FROM lines"
 LINE_BYTES = f"WITH {fx.LINES} SELECT sum(strlen(raw) + 1)::BIGINT AS n_bytes"
 
@@ -169,7 +182,7 @@ QUERIES = {
     "dir_units": Query(folder_files, LINE_CHARS),
     "path_list_source": Query(listed_paths, f"{LINE_BYTES} FROM lines"),
     "file_listing": Query(listing, f"{LINE_BYTES}, true AS timed FROM lines"),
-    "log_listing": Query(logs),
+    "log_listing": Query(logs, LOGS),
     "resume_scan": Query(
         lambda spark, folder: src.count_existing(spark, written_lines(spark, folder)),
         f"WITH {fx.CLASSIFIED} SELECT count(*) AS existing FROM stripped WHERE raw <> ''",

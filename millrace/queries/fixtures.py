@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.text import SPACES
 
@@ -192,6 +192,8 @@ ANSWERS = (
     + " AS response FROM plan"
 )
 ANSWER_KEYS = "source, unit_idx, prompt_idx, batch_idx"
+# Answers without any line: all of some units, one batch of others.
+BLANK = "(unit_idx % 13 = 5 OR (unit_idx + batch_idx) % 6 = 0)"
 PARSED_ANSWERS = f"{PLAN}, {candidate_sql(ANSWERS, ANSWER_KEYS)}, {parsed_sql('sft', ANSWER_KEYS)}"
 
 # Configs: one per document, good and bad fields in turn.
@@ -229,6 +231,30 @@ CONFIGS = "configs AS (" + select_sql(
     [c.format(string="VARCHAR", strings="VARCHAR[]", glob='"glob"') for c in config_columns()], "documents"
 ) + ")"
 
+# Grounded configs: one per (source, language), and one per language for a source without units.
+GROUNDED_COLUMNS = [
+    "source || '-' || lang AS name", "lang AS description", "'gfs' AS mode", "CAST(NULL AS {string}) AS user_prompt",
+    "CASE WHEN n % 4 = 0 THEN ARRAY(lang) ELSE ARRAY(lang, source) END AS prompts", "source", "'' AS {glob}",
+    "CAST(100 + n AS INT) AS max_source_chars", "CASE n % 2 WHEN 0 THEN 'agentrouter/m1' ELSE 'm3' END AS model",
+    "CASE n % 3 WHEN 0 THEN 'sft' WHEN 1 THEN 'rl' ELSE 'dpo' END AS task", "CAST(n % 7 AS INT) AS count",
+    "CAST(0.5 AS DOUBLE) AS temperature", "CAST(1 + n % 3 AS INT) AS batch_size", "CAST(ARRAY() AS {strings}) AS ignore",
+]
+
+
+def grounded_configs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    counts = documents.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    others = documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit("no units"))
+    columns = [c.format(string="STRING", strings="ARRAY<STRING>", glob="glob") for c in GROUNDED_COLUMNS]
+    return counts.unionByName(others).selectExpr(*columns)
+
+
+GROUNDED_CONFIGS = "grounded AS (" + select_sql(
+    [c.format(string="VARCHAR", strings="VARCHAR[]", glob='"glob"') for c in GROUNDED_COLUMNS],
+    "(SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang "
+    "UNION ALL SELECT 'no units', lang, count(*) FROM documents GROUP BY lang)",
+) + ")"
+
 # Chunk trace: events as chunks of a user's run; some hold no token, some end a word.
 TRACE_COLUMNS = [
     "user_id AS run_id", "event_id AS seq", "ts", "CASE WHEN event_id % 3 = 0 THEN event_type || ' ' "

@@ -89,14 +89,26 @@ def template_sql(template: str, **values: str) -> str:
 
 
 def attached(spark, folder):
-    grounded = fx.configs(spark, folder).filter("mode = 'gfs' AND source <> ''").groupBy("source").agg(
-        F.min("name").alias("name"), F.max("max_source_chars").alias("max_source_chars")
+    return rq.attach_units(fx.grounded_configs(spark, folder).select("source", "name"), units(spark, folder)).select(
+        "name", "unit_idx", F.length("unit").cast("long").alias("n_chars")
     )
-    return rq.attach_units(grounded, units(spark, folder)).select("name", "unit_idx", F.length("unit").cast("long").alias("n_chars"))
+
+
+def sparse_answers(spark, folder):
+    """Lines of answers of which some are blank."""
+    came = answers(spark, folder)
+    blank = F.when(F.expr(fx.BLANK), F.lit(" \n")).otherwise(F.col("response"))
+    return rs.parse_responses(came.withColumn("response", blank), "sft").drop("value")
 
 
 def summaries(spark, folder):
-    return rs.synth_summary(parsed_answers(spark, folder), "source", KEYS, FILL_TARGET, unit="unit_idx")
+    return rs.synth_summary(
+        sparse_answers(spark, folder), "source", KEYS, FILL_TARGET, unit="unit_idx", plan=plan(spark, folder)
+    )
+
+
+def running(spark, folder):
+    return rs.progress(sparse_answers(spark, folder), KEYS, FILL_TARGET, plan=plan(spark, folder))
 
 
 def capped(spark, folder):
@@ -179,8 +191,7 @@ QUERIES = {
     ),
     "config_unit_join": Query(
         attached,
-        f"WITH {fx.CONFIGS}, named AS (SELECT source, min(name) AS name FROM configs WHERE mode = 'gfs' AND source <> '' GROUP BY source) "
-        "SELECT name, doc_id AS unit_idx, length(text) AS n_chars FROM named JOIN documents USING (source)",
+        f"WITH {fx.GROUNDED_CONFIGS} SELECT name, doc_id AS unit_idx, length(text) AS n_chars FROM grounded JOIN documents USING (source)",
     ),
     "render_request": Query(
         messages,
@@ -221,16 +232,16 @@ QUERIES = {
         f"batch_idx, line_idx) AS n FROM parsed WHERE status = 'valid') SELECT {fx.ANSWER_KEYS}, line_idx FROM ranked WHERE n <= 100",
     ),
     "progress_running": Query(
-        lambda spark, folder: rs.progress(parsed_answers(spark, folder), KEYS, FILL_TARGET),
-        f"WITH {fx.PARSED_ANSWERS}, per_batch AS (SELECT {fx.ANSWER_KEYS}, count(*) FILTER (status = 'valid') AS valid, "
-        f"count(*) FILTER (status <> 'valid') AS skipped FROM parsed GROUP BY {fx.ANSWER_KEYS}) SELECT {fx.ANSWER_KEYS}, "
+        running,
+        f"WITH {fx.PARSED_ANSWERS}, per_batch AS (SELECT {fx.ANSWER_KEYS}, count(*) FILTER (status = 'valid' AND NOT {fx.BLANK}) AS valid, "
+        f"count(*) FILTER (status <> 'valid' AND NOT {fx.BLANK}) AS skipped FROM plan LEFT JOIN parsed USING ({fx.ANSWER_KEYS}) GROUP BY {fx.ANSWER_KEYS}) SELECT {fx.ANSWER_KEYS}, "
         f"CAST(least(sum(valid) OVER w, {FILL_TARGET}) AS BIGINT) AS generated, CAST(sum(skipped) OVER w AS BIGINT) AS total_skipped "
         "FROM per_batch WINDOW w AS (PARTITION BY source, unit_idx, prompt_idx ORDER BY batch_idx)",
     ),
     "synth_summary": Query(
         summaries,
-        f"WITH {fx.PARSED_ANSWERS}, fills AS (SELECT source, unit_idx, prompt_idx, least(count(*) FILTER (status = 'valid'), {FILL_TARGET}) AS g, "
-        "count(*) FILTER (status <> 'valid') AS s FROM parsed GROUP BY source, unit_idx, prompt_idx) SELECT source, "
+        f"WITH {fx.PARSED_ANSWERS}, fills AS (SELECT source, unit_idx, prompt_idx, least(count(*) FILTER (status = 'valid' AND NOT {fx.BLANK}), {FILL_TARGET}) AS g, "
+        f"count(*) FILTER (status <> 'valid' AND NOT {fx.BLANK}) AS s FROM plan LEFT JOIN parsed USING ({fx.ANSWER_KEYS}) GROUP BY source, unit_idx, prompt_idx) SELECT source, "
         "CAST(sum(g) AS BIGINT) AS generated, CAST(sum(s) AS BIGINT) AS skipped, count(DISTINCT unit_idx) AS sources FROM fills GROUP BY source",
     ),
     "token_count": Query(

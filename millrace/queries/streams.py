@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from millrace.operators import telemetry as tm
@@ -84,13 +86,18 @@ def traced(spark, folder):
 
 
 def metered(spark, folder):
-    """The totals that the progress reports of a stream add up to."""
+    """The totals that all progress reports of a stream add up to, however many there are."""
     path = scratch_path(spark, "metrics")
-    rows = st.with_metrics(parsed_stream(spark, folder), "lines")
-    query = finish(st.run_stream(rows.select("status"), f"{path}/out", f"{path}/checkpoint", "parquet"))
-    seen = [p.observedMetrics["lines"] for p in query.recentProgress if "lines" in p.observedMetrics]
-    totals = [sum(m["generated"] for m in seen), sum(m["skipped"] for m in seen)]
-    return spark.createDataFrame([totals], "generated long, skipped long")
+    name = f"lines-{os.path.basename(path)}"  # a listener hears every stream of the session
+    rows = st.with_metrics(parsed_stream(spark, folder), name)
+    listener = st.ProgressListener(name, lambda generated, skipped: None)
+    spark.streams.addListener(listener)
+    try:
+        finish(st.run_stream(rows.select("status"), f"{path}/out", f"{path}/checkpoint", "parquet"))
+        listener.ended.wait()
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(listener.generated, listener.skipped)], "generated long, skipped long")
 
 
 def durable(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import jsonrow
 from millrace.operators.telemetry import in_parts, round_stats
@@ -35,6 +35,12 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", raw: str = "r
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
+def output_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything lies at ``path``, in whichever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def run_id() -> str:
     """A new output's name: UTC time and six random characters."""
     return f"{datetime.now(timezone.utc):%Y%m%d_%H%M%S}_{uuid4().hex[:6]}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -134,6 +135,7 @@ class ProgressListener(StreamingQueryListener):
 
     def __init__(self, name: str, report):
         self.name, self.report, self.generated, self.skipped = name, report, 0, 0
+        self.ended = threading.Event()
 
     def onQueryStarted(self, event):
         pass
@@ -149,7 +151,7 @@ class ProgressListener(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        self.ended.set()
 
 
 def run_stream(df: DataFrame, path: str, checkpoint: str, file_format: str = "text", **trigger) -> StreamingQuery:
