@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import datasets as ds
 from millrace.operators import responses as rs
+from millrace.operators.udtfs import register_parse_rows
 from millrace.plans import jobs
 from millrace.sources import jsonl as src
 
@@ -147,3 +148,27 @@ def test_lenient_load_skips_values_that_are_no_object(spark):
     assert rows.count() == 2 and (row.ok, row["count"], row.skipped) == (True, 2, 1)
     with pytest.raises(ValueError):
         ds.load_dataset(df)
+
+
+def test_planned_requests_without_lines_count(spark):
+    rows = spark.createDataFrame([("c", 1, 0, "valid"), ("c", 1, 0, "bad_json")], "config string, unit_idx int, batch_idx int, status string")
+    plan = spark.createDataFrame(
+        [("c", 1, 0), ("c", 1, 1), ("c", 2, 0), ("d", 7, 0), ("e", None, None)], "config string, unit_idx int, batch_idx int"
+    )
+    found = rs.synth_summary(rows, "config", ["config", "unit_idx"], 5, unit="unit_idx", plan=plan).collect()
+    assert {r.config: (r.generated, r.skipped, r.sources) for r in found} == {"c": (1, 1, 2), "d": (0, 0, 1), "e": (0, 0, 0)}
+    steps = rs.progress(rows, ["config", "unit_idx"], 5, plan=plan.filter("unit_idx IS NOT NULL")).collect()
+    assert sorted(tuple(r) for r in steps) == [("c", 1, 0, 1, 1), ("c", 1, 1, 1, 1), ("c", 2, 0, 0, 0), ("d", 7, 0, 0, 0)]
+
+
+def test_table_function_parses_as_the_operator(spark):
+    lines = [
+        '{"prompt":1,"completion":2}', " ```json", "", '{"prompt":null}', "[1]", "NaN", '{"messages":[]}', '{"messages":1,"prompt":2}',
+        '{"prompt":1} x', '{"prompt":"+Infinity u0001~end","completion":""}', "'a'", '{"prompt":1,"chosen":2,"rejected":3}',
+    ]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "\r\n".join(lines)), (4, "")], "id int, response string")
+    register_parse_rows(spark)
+    df.createOrReplaceTempView("parse_rows_input")
+    found = spark.sql("SELECT id, p.* FROM parse_rows_input, LATERAL parse_rows(response, 'sft') p")
+    want = rs.parse_responses(df, "sft").select("id", "line_idx", "raw", "status")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 20

@@ -3,6 +3,7 @@ from pyspark.sql import Window, functions as F
 from millrace.operators.ordered import block_of, ordered_scan
 from millrace.operators.responses import cap_to_target, progress
 from millrace.operators.skew import spread_join
+from millrace.operators.telemetry import elapsed
 
 
 def hot(spark, n=3000):
@@ -71,3 +72,12 @@ def test_progress_computes_the_batches_once(spark):
     df = progress(parsed, ["k"], 100)
     df.collect()
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_elapsed_over_a_hot_run(spark):
+    trace = spark.range(1000).selectExpr(
+        "IF(id < 990, 1, id) AS run_id", "id * 1000000 AS seq", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) AS ts"
+    )
+    runs = spark.createDataFrame([(1, 1704067200_000_000), (995, None)], "run_id long, started_us long")
+    got = {r.seq // 1000000: r.elapsed_s for r in elapsed(trace, runs, rows_per_task=100).collect()}
+    assert got == {i: float(i) if i < 990 else None for i in range(1000)}

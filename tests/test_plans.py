@@ -184,3 +184,42 @@ def test_standard_run_and_resume(spark, tmp_path):
     (again,) = jobs.synthesize(more, echo, out, existing=5).collect()
     assert (again.generated, again.skipped) == (8, 2)
     assert spark.read.text(out).count() == 8
+
+
+def test_bad_configs_stop_a_run(spark, tmp_path):
+    good = {**CONFIG, "mode": None, "prompts": None, "user_prompt": "U", "name": "a"}
+    for change, problem in (
+        ({"task": "odd"}, "invalid_task"), ({"batch_size": 0}, "invalid_batch_size"),
+        ({"mode": "gfs", "prompts": ["P"], "source": "s"}, "other_mode"),
+    ):
+        configs = spark.createDataFrame([good, {**good, **change, "name": "b"}], cf.CONFIG_SCHEMA)
+        with pytest.raises(ValueError, match=f"config b: {problem}"):
+            jobs.synthesize(configs, echo, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
+
+
+def test_each_config_resumes_at_its_own_rows(spark, tmp_path):
+    row = {**CONFIG, "mode": None, "prompts": None, "user_prompt": "U", "count": 5, "model": "agentrouter/m"}
+    configs = spark.createDataFrame([{**row, "name": "a"}, {**row, "name": "b"}], cf.CONFIG_SCHEMA)
+    out = str(tmp_path / "out")
+    with pytest.raises(ValueError, match="several configs"):
+        jobs.synthesize(configs, echo, out, existing=3)
+    done = spark.createDataFrame([("a", 3)], "name string, existing int")
+    system = cf.system_text("Base", "in", {"r": "R"}, "out", "end")
+    found = jobs.synthesize(configs, echo, out, existing=done, template="{ask}|{generated}", system=system)
+    assert {r.name: r.generated for r in found.collect()} == {"a": 5, "b": 5}
+    lines = spark.read.text(out).selectExpr("name", "get_json_object(value, '$.prompt') AS p").collect()
+    assert sorted((r.name, r.p) for r in lines) == [
+        ("a", "m: 2|3"), ("a", "m: 2|3"), ("b", "m: 1|4"), ("b", "m: 2|0"), ("b", "m: 2|0"), ("b", "m: 2|2"), ("b", "m: 2|2"),
+    ]
+
+
+def test_grounded_runs_report_empty_sources_and_refuse_written_outputs(spark, tmp_path):
+    rows = [{**CONFIG, "name": name, "source": name} for name in ("full", "empty")]
+    configs = spark.createDataFrame(rows, cf.CONFIG_SCHEMA)
+    units = spark.createDataFrame([("full", 0, "text")], "source string, unit_idx int, unit string")
+    out = str(tmp_path / "out")
+    found = {r.name: (r.generated, r.sources) for r in jobs.synthesize_grounded(configs, units, echo, out, max_rounds=5).collect()}
+    assert found == {"full": (6, 1), "empty": (0, 0)}
+    with pytest.raises(FileExistsError):
+        jobs.synthesize_grounded(configs, units, echo, out, max_rounds=5)
