@@ -1,50 +1,54 @@
 """Running values over ordered groups of any size.
 
-A plain window puts each key into one task. Here a key's rows are cut into blocks
-by a whole number that grows with the order; each block is its own window group,
-and what earlier blocks hand over is worked out on one row per block.
+A plain window puts each key into one task. Here the rows are dealt into ranges of
+(key, order), which follow the data's own distribution: sparse, dense or interleaved order
+numbers and hot keys give ranges of like size. What earlier ranges of a key hand over is
+worked out on one row per (key, range), of which there are at most as many as ranges and
+keys together, and per key no more than ranges.
 
-The rows are read twice: once whole, once for the blocks' sums with the few columns
-these need. Write an input first (``settle``) when it is costly to compute.
+The dealt rows are written once, as both the sums and the rows are read from them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BLOCK, SLOT = "_block", "_slot"
-BLOCK_ROWS = 1 << 17
+from millrace.session import settle
 
+RANGE, SLOT = "_range", "_slot"
 
-def block_of(position: Column, rows: int = BLOCK_ROWS) -> Column:
-    """Block number of a whole-number position: at most ``rows`` positions per block."""
-    return F.floor(position / rows).cast("long")
+
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """``df``, written, with the struct of its keys and of the number of its range of (key, order).
+
+    There are ``parts`` ranges, else as many as shuffle partitions.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys, *order)
+    # a struct is never NULL, so joins by it match NULL keys
+    return settle(dealt.withColumn(SLOT, F.struct(*keys, F.spark_partition_id().alias(RANGE))), "ranges")
 
 
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    block: Column,
     totals: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     least: dict[str, Column] | None = None,
     attach: DataFrame | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add values per key, in order, without one task per key.
 
     ``totals`` are sums up to and including the row; ``previous`` is the last
     non-NULL value of the rows before, NULL when there is none; ``least`` is the
     smallest value of the whole key. ``attach`` (unique on ``keys``) is joined at
-    block level, so that a key with very many rows does not meet in one task.
-    ``block`` must not decrease along ``order``.
+    range level, so that a key with very many rows does not meet in one task.
     """
     totals, previous, least = totals or {}, previous or {}, least or {}
-    # a struct is never NULL, so the join below matches NULL keys and infers no filters
-    # that would keep both of its sides from sharing a shuffle
-    rows = df.withColumn(SLOT, F.struct(*keys, block.alias(BLOCK))).withColumns(
-        {f"_of_{name}": value for name, value in {**totals, **previous, **least}.items()}
-    )
+    values = {f"_of_{name}": value for name, value in {**totals, **previous, **least}.items()}
+    rows = in_ranges(df.withColumns(values), keys, order, parts)
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     last = {
         name: F.max_by(f"_of_{name}", F.when(F.col(f"_of_{name}").isNotNull(), position)) for name in previous
@@ -56,7 +60,7 @@ def ordered_scan(
         *[F.min(f"_of_{name}").alias(f"_min_{name}") for name in least],
     )
     whole = Window.partitionBy(*[F.col(SLOT)[key] for key in keys])
-    earlier = whole.orderBy(F.col(SLOT)[BLOCK]).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.orderBy(F.col(SLOT)[RANGE]).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
         SLOT,
         *[F.coalesce(F.sum(f"_sum_{name}").over(earlier), F.lit(0)).alias(f"_sum_{name}") for name in totals],

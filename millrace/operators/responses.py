@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import jsonrow
 from millrace.functions.text import CODE_FENCE, split_lines, strip
-from millrace.operators.ordered import block_of, ordered_scan
+from millrace.operators.ordered import ordered_scan
 
 VALID, WRONG_TASK = "valid", "wrong_task"
 # Up to this many rows per key Spark limits a ranking before the shuffle
@@ -53,12 +53,12 @@ def parse_counts(parsed: DataFrame, *keys: str) -> DataFrame:
 
 def cap_to_target(
     rows: DataFrame, keys: list[str], target: int | Column, batch: str = "batch_idx", line: str = "line_idx",
-    block_batches: int = 1 << 14,
+    parts: int | None = None,
 ) -> DataFrame:
     """Keep each key's first ``target`` rows in batch and line order.
 
     A late batch fills what an earlier one left open. A small target is cut before
-    the shuffle; otherwise blocks of batches keep a key with very many rows spread
+    the shuffle; otherwise ranges of batches keep a key with very many rows spread
     over tasks.
     """
     if isinstance(target, int) and target <= EARLY_LIMIT:
@@ -66,9 +66,7 @@ def cap_to_target(
         first = F.row_number().over(Window.partitionBy(*keys).orderBy(batch, line))
         return rows.withColumn("_rank", first).filter(F.col("_rank") <= target).drop("_rank")
     target = F.lit(target) if isinstance(target, int) else target
-    ranked = ordered_scan(
-        rows, keys, [batch, line], block_of(F.col(batch), block_batches), totals={"_rank": F.lit(1)}
-    )
+    ranked = ordered_scan(rows, keys, [batch, line], totals={"_rank": F.lit(1)}, parts=parts)
     return ranked.filter(F.col("_rank") <= target).drop("_rank")
 
 
@@ -80,7 +78,7 @@ def _with_plan(parsed: DataFrame, plan: DataFrame | None, keys: list[str], *more
 
 def progress(
     parsed: DataFrame, keys: list[str], target: int | Column, batch: str = "batch_idx",
-    existing: int = 0, block_batches: int = 1 << 14, plan: DataFrame | None = None,
+    existing: int = 0, parts: int | None = None, plan: DataFrame | None = None,
 ) -> DataFrame:
     """After each batch: rows generated so far, at most ``target``, and lines skipped so far.
 
@@ -90,8 +88,7 @@ def progress(
     target = F.lit(target) if isinstance(target, int) else target
     per_batch = parse_counts(_with_plan(parsed, plan, [*keys, batch]), *keys, batch)
     running = ordered_scan(
-        per_batch, keys, [batch], block_of(F.col(batch), block_batches),
-        totals={"_valid": F.col("valid"), "total_skipped": F.col("skipped")},
+        per_batch, keys, [batch], totals={"_valid": F.col("valid"), "total_skipped": F.col("skipped")}, parts=parts
     )
     return running.select(
         *keys, batch, F.least(F.col("_valid") + existing, target).alias("generated"), "total_skipped"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.text import chunk_tokens, is_blank, token_count
 from millrace.functions.units import round_exact
-from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
+from millrace.operators.ordered import ordered_scan
 from millrace.operators.skew import ROWS_PER_TASK, spread_join
 
 # Decimal places of a run log's numbers.
@@ -34,8 +34,8 @@ def run_bounds(trace: DataFrame, lead_us: int = 0) -> DataFrame:
 
 
 def trace_steps(
-    trace: DataFrame, runs: DataFrame | None = None, lead_us: int = 0, block_rows: int = BLOCK_ROWS,
-    keep: tuple[str, ...] = (),
+    trace: DataFrame, runs: DataFrame | None = None, lead_us: int = 0, keep: tuple[str, ...] = (),
+    parts: int | None = None,
 ) -> DataFrame:
     """Every chunk with its place, tokens, cumulative tokens, seconds since the run start and speed.
 
@@ -52,7 +52,7 @@ def trace_steps(
         "_us": micros(F.col("ts")),
     })
     scanned = ordered_scan(
-        rows, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
+        rows, ["run_id"], ["seq"], parts=parts,
         totals={"place": F.lit(1), "cumulative_tokens": F.col("tokens")},
         previous={"_before": F.col("_us"), "_open": F.when(text, ~is_blank(F.right("chunk", F.lit(1))))},
         least={"_first": F.col("_us")} if runs is None else None,
@@ -76,11 +76,10 @@ def chunk_tps(trace: DataFrame, runs: DataFrame | None = None, **options) -> Dat
     return steps.select("run_id", "seq", "chunk", "tokens", "elapsed_s", "tps")
 
 
-def cumulative_tokens(trace: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def cumulative_tokens(trace: DataFrame, parts: int | None = None) -> DataFrame:
     rows = trace.withColumn("tokens", chunk_tokens(F.col("tokens"), F.col("chunk")))
     return ordered_scan(
-        rows, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
-        totals={"cumulative_tokens": F.col("tokens")},
+        rows, ["run_id"], ["seq"], totals={"cumulative_tokens": F.col("tokens")}, parts=parts
     ).select("run_id", "seq", "tokens", "cumulative_tokens")
 
 
@@ -111,14 +110,12 @@ def throughput(steps: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def in_parts(trace: DataFrame, part_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def in_parts(trace: DataFrame, part_rows: int | None = None) -> DataFrame:
     """Add ``part``: 0 for all of a run, or with ``part_rows`` 0 for its first chunks, 1 for the next, and so on."""
     if part_rows is None:
         return trace.withColumn("part", F.lit(0).cast("long"))
-    rows = ordered_scan(
-        trace, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows), totals={"_place": F.lit(1)}
-    )
-    return rows.withColumn("part", block_of(F.col("_place") - 1, part_rows)).drop("_place")
+    rows = ordered_scan(trace, ["run_id"], ["seq"], totals={"_place": F.lit(1)})
+    return rows.withColumn("part", F.floor((F.col("_place") - 1) / part_rows).cast("long")).drop("_place")
 
 
 def assemble_response(trace: DataFrame, part_rows: int | None = None) -> DataFrame:
@@ -173,9 +170,9 @@ def sensor_windows(samples: DataFrame, width: str, delay: str | None = None, val
     return stats.select("run_id", F.col("window.start").alias("window_start"), "avg", "peak", "lowest", "samples")
 
 
-def step_progress(losses: DataFrame, runs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def step_progress(losses: DataFrame, runs: DataFrame, parts: int | None = None) -> DataFrame:
     """Each logged loss as step k of N, in log order; ``runs`` holds ``(run_id, total_steps)``."""
     return ordered_scan(
-        losses.filter(F.col("loss").isNotNull()), ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
-        totals={"step": F.lit(1)}, attach=runs.select("run_id", "total_steps"),
+        losses.filter(F.col("loss").isNotNull()), ["run_id"], ["seq"],
+        totals={"step": F.lit(1)}, attach=runs.select("run_id", "total_steps"), parts=parts,
     ).select("run_id", "seq", "step", "total_steps", "loss")

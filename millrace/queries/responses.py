@@ -121,7 +121,7 @@ def limited(spark, folder):
     valid = parsed_answers(spark, folder).filter("status = 'valid'")
     # a source's rows in unit order, so a unit's place is the batch
     rows = valid.withColumn("place", (F.col("unit_idx") * 8 + F.col("prompt_idx") * 4 + F.col("batch_idx")))
-    return rs.cap_to_target(rows, ["source"], F.lit(100), batch="place", block_batches=1 << 12).select(
+    return rs.cap_to_target(rows, ["source"], F.lit(100), batch="place").select(
         "source", "unit_idx", "prompt_idx", "batch_idx", "line_idx"
     )
 

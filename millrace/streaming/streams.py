@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.functions.text import chunk_tokens
-from millrace.operators.ordered import block_of, ordered_scan, BLOCK_ROWS
+from millrace.operators.ordered import ordered_scan
 from millrace.operators.responses import VALID, parse_responses
 from millrace.operators.telemetry import micros
 
@@ -86,7 +86,7 @@ def stream_cap(rows: DataFrame, keys: list[str], target: int) -> DataFrame:
     )
 
 
-def stream_trace(chunks: DataFrame, out: str, state: str, checkpoint: str, block_rows: int = BLOCK_ROWS, **trigger) -> StreamingQuery:
+def stream_trace(chunks: DataFrame, out: str, state: str, checkpoint: str, parts: int | None = None, **trigger) -> StreamingQuery:
     """Write trace steps of arriving chunks to ``out``; runs go on across micro-batches.
 
     What a run hands from one micro-batch to the next (start, last time, tokens so
@@ -110,7 +110,7 @@ def stream_trace(chunks: DataFrame, out: str, state: str, checkpoint: str, block
             (F.col("tokens_before") + F.coalesce("_sum", F.lit(0))).alias("tokens_before"),
         ).write.mode("overwrite").parquet(f"{state}/{number}")
         scanned = ordered_scan(
-            rows, ["run_id"], ["seq"], block_of(F.col("seq"), block_rows),
+            rows, ["run_id"], ["seq"], parts=parts,
             totals={"_tokens": F.col("tokens")}, previous={"_before": F.col("_us")},
             attach=runs.select("run_id", "started_us", "last_us", "tokens_before"),
         )

@@ -1,6 +1,6 @@
 from pyspark.sql import Window, functions as F
 
-from millrace.operators.ordered import block_of, ordered_scan
+from millrace.operators.ordered import in_ranges, ordered_scan, SLOT
 from millrace.operators.responses import cap_to_target, progress
 from millrace.operators.skew import spread_join
 from millrace.operators.telemetry import elapsed
@@ -18,7 +18,7 @@ def test_ordered_scan_equals_plain_windows(spark):
     rows = hot(spark)
     start = rows.groupBy("k").agg((F.min("seq") - 5).alias("start"))
     got = ordered_scan(
-        rows, ["k"], ["seq"], block_of(F.col("seq"), 64),
+        rows, ["k"], ["seq"], parts=12,
         totals={"n": F.lit(1), "sum": F.col("v")}, previous={"before": F.col("p")}, least={"low": F.col("v")}, attach=start,
     )
     w = Window.partitionBy("k").orderBy("seq")
@@ -32,15 +32,22 @@ def test_ordered_scan_equals_plain_windows(spark):
     assert got.select(columns).exceptAll(want.select(columns)).count() == 0
 
 
-def test_blocks_bound_every_window_group(spark):
-    blocks = hot(spark).groupBy("k", block_of(F.col("seq"), 64).alias("b")).count()
-    assert blocks.agg(F.max("count")).first()[0] <= 64
+def test_ranges_bound_windows_and_carry_for_sparse_numbers(spark):
+    """Order numbers far apart, and one key with 90 % of the rows."""
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 > 0, -1).otherwise(F.col("id")).alias("k"), (F.col("id") * 1_000_003).alias("seq"))
+    sizes = in_ranges(rows, ["k"], ["seq"], parts=20).groupBy(SLOT).count()
+    assert sizes.agg(F.max("count")).first()[0] <= 4000 / 20 * 2
+    per_key = sizes.groupBy(F.col(SLOT)["k"]).agg(F.count(F.lit(1)).alias("n"))
+    assert per_key.agg(F.max("n")).first()[0] <= 20
+    got = ordered_scan(rows, ["k"], ["seq"], totals={"n": F.lit(1)}, parts=20)
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("seq")).cast("long"))
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 4000
 
 
-def test_cap_is_the_same_with_and_without_blocks(spark):
+def test_cap_is_the_same_with_and_without_ranges(spark):
     rows = hot(spark).select("k", F.expr("seq div 10").alias("batch_idx"), (F.col("seq") % 10).alias("line_idx"))
     want = rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("batch_idx", "line_idx"))).filter("r <= 37").drop("r")
-    for got in (cap_to_target(rows, ["k"], 37), cap_to_target(rows, ["k"], F.lit(37), block_batches=3)):
+    for got in (cap_to_target(rows, ["k"], 37), cap_to_target(rows, ["k"], F.lit(37), parts=7)):
         assert got.count() == want.count()
         assert got.select(want.columns).exceptAll(want).count() == 0
 
@@ -62,7 +69,7 @@ def test_spread_join_equals_plain_join(spark):
 
 def test_null_keys_are_a_group_of_their_own(spark):
     rows = hot(spark, 300).withColumn("k", F.when(F.col("k") != 0, F.col("k")))
-    got = ordered_scan(rows, ["k"], ["seq"], block_of(F.col("seq"), 16), totals={"n": F.lit(1)})
+    got = ordered_scan(rows, ["k"], ["seq"], totals={"n": F.lit(1)}, parts=5)
     want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("seq")).cast("long"))
     assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 300
 
@@ -71,7 +78,8 @@ def test_progress_computes_the_batches_once(spark):
     parsed = hot(spark).select("k", F.expr("seq div 10").alias("batch_idx"), F.lit("valid").alias("status"))
     df = progress(parsed, ["k"], 100)
     df.collect()
-    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Range (" not in plan and "FileScan" in plan  # the counts were written; the input is not read again
 
 
 def test_elapsed_over_a_hot_run(spark):

@@ -58,10 +58,10 @@ def test_trace_goes_on_across_micro_batches(spark, tmp_path):
     for part in range(4):
         whole.filter(f"seq >= {part * 50} AND seq < {part * 50 + 50}").coalesce(1).write.mode("append").parquet(source)
     chunks = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run(st.stream_trace(chunks, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "check"), block_rows=16, availableNow=True))
+    run(st.stream_trace(chunks, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "check"), parts=6, availableNow=True))
     columns = ["run_id", "seq", "tokens", "cumulative_tokens", "elapsed_s", "tps"]
     got = spark.read.parquet(str(tmp_path / "out")).select(columns)
-    want = tm.trace_steps(whole, block_rows=16).select(columns)
+    want = tm.trace_steps(whole, parts=6).select(columns)
     assert got.count() == 200
     assert got.exceptAll(want).count() == 0
 
