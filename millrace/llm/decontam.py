@@ -51,10 +51,10 @@ def item_windows(items: DataFrame, window: int = WINDOW, key: str = "item_id", t
         F.coalesce(F.col(key).cast("string"), F.lit("null")).alias("item"),
         F.regexp_extract_all(folded, F.lit(ITEM_WORD), F.lit(0)).alias("w"),
     ).filter(F.size("w") > 0)
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))))
-    return words.select("item", "w", starts.alias("i")).select(
-        F.array_join(F.slice("w", F.col("i") + 1, window), " ").alias("words"), "item"
-    ).distinct()
+    # windows are made inside the row, so that no copy of the words goes with each of them
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
+    windows = F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, window), " "))
+    return words.select(F.explode(windows).alias("words"), "item").distinct()
 
 
 class Table:
