@@ -170,9 +170,16 @@ MAX_LABELLED = 500
 
 
 def labelled_pages(pages: DataFrame, max_labelled: int = MAX_LABELLED, html: str = "html") -> list[str]:
-    """At most ``max_labelled`` pages that mark their main text with one ``article`` element."""
-    marked = pages.filter(F.col(html).rlike(r"(?i)<article[\s>]") & (F.regexp_count(html, F.lit(r"(?i)<article[\s>]")) == 1) & (F.length(html) <= 200_000))
-    return [r[0] for r in marked.select(html).orderBy(F.xxhash64(html), html).limit(max_labelled).collect()]
+    """At most ``max_labelled`` different pages that mark their main text with one ``article`` element.
+
+    Only hashes are ordered, and only the chosen pages' texts reach the driver.
+    """
+    one = F.col(html).rlike(r"(?i)<article[\s>]") & (F.regexp_count(html, F.lit(r"(?i)<article[\s>]")) == 1) & (F.length(html) <= 200_000)
+    last = pages.filter(one).select(F.xxhash64(html).alias("_h")).distinct().orderBy("_h").limit(max_labelled).agg(F.max("_h")).first()[0]
+    if last is None:
+        return []
+    chosen = pages.filter(F.xxhash64(html) <= last).filter(one).groupBy(F.xxhash64(html).alias("_h")).agg(F.min(html).alias("_html"))
+    return [r[0] for r in chosen.orderBy("_h").select("_html").limit(max_labelled).collect()]
 
 
 def extract_text(pages: DataFrame, labelled: list[str] | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
