@@ -20,8 +20,8 @@ def as_documents(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose the lines that the rules reject."""
-    kept = quality.judge_quality(docs).filter("kept")
+    """Rejected documents go; the others lose the lines that the rules reject. Prose needs no final mark."""
+    kept = quality.judge_quality(docs, prose=True).filter("kept")
     return as_documents(kept.withColumn("text", F.col("clean_text")))
 
 

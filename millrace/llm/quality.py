@@ -2,6 +2,8 @@
 
 Every line is judged by itself (punctuation, navigation, symbols, capitals, boilerplate
 phrases); failing lines go, and a document that loses too much of its text goes with them.
+With ``prose`` the punctuation of hard-wrapped lines is judged together, and a passage without
+a final mark fails only if it is short or holds no mark at all.
 No shuffle and no Python: each row is decided alone, so hot sources, copies and keys do not
 matter, and a lost executor costs only its own rows.
 
@@ -22,6 +24,21 @@ SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>»·•"
 #: A line ends its sentence with one of these, perhaps followed by white space.
 SENTENCE_END = r"""[.!?…"”»。！？][\x20\x09-\x0D]*\z"""
+#: With ``prose``: the end marks of more scripts, perhaps followed by closing quotes and brackets, or a closing quote.
+END_MARKS = ".!?…。！？｡．؟۔।॥։።፧។။‼⁇⁈⁉‽"
+CLOSERS = r"""\)\]\}"'”’“»«›‹」』）】》〉］｝*_"""
+PROSE_END = rf"""(?:[{END_MARKS}][{CLOSERS}]*|["”»])[\x20\x09-\x0D]*\z"""
+#: An end mark within a passage: before white space, or one that is written without a blank after it.
+SENTENCE_MARK = rf"""[{END_MARKS}][{CLOSERS}]*[\x20\x09-\x0D]|[。！？｡।॥።។။]"""
+#: Characters of the shortest line that may be wrapped, and of the shortest passage that may lack its final mark.
+PROSE_CHARS = 40
+#: Characters of the longest line that counts as wrapped though it ends with a mark.
+WRAPPED_CHARS = 120
+#: A line feed that ends a passage: after a short line, before a blank one, or after a finished one that is not amid wrapped lines.
+PASSAGE_BREAK = (
+    rf"\n(?:(?<![^\n]{{{PROSE_CHARS}}}\n)|(?<=[{END_MARKS}\"”»][{CLOSERS}]{{0,8}}[\x20\x09\x0B-\x0D]{{0,8}}\n)"
+    rf"(?:(?![^\n]{{{PROSE_CHARS}}})|(?<=[^\n]{{{WRAPPED_CHARS + 1}}}\n))|(?=[\x20\x09\x0B-\x0D]*+(?:\n|\z)))"
+)
 #: Phrases of page furniture, compared in lower case.
 BOILERPLATE = (
     "all rights reserved", "accept all cookies", "click here", "cookie policy", "enable javascript",
@@ -50,18 +67,36 @@ def count_of(text: Column, characters: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True for a line that any rule rejects."""
+    return ~line.rlike(SENTENCE_END) | furniture(line)
+
+
+def furniture(line: Column) -> Column:
+    """True for a line that a rule other than the one on its end rejects."""
     words = F.regexp_count(line, F.lit(f"{WORD}+"))
     separators = count_of(line, SEPARATORS)
     folded = F.translate(line, UPPER, LOWER)
     return (
-        ~line.rlike(SENTENCE_END)
-        | ((separators >= 2) & (separators * 4 >= words))
+        ((separators >= 2) & (separators * 4 >= words))
         | (count_of(line, SYMBOLS) * 10 > F.length(line))
         | ((F.length(line) >= 20) & (count_of(line, UPPER) * 10 > F.length(line) * 6))
         | folded.rlike("|".join(BOILERPLATE))
     )
 
 
+def prose_fails(passage: Column) -> Column:
+    """True for a passage without a final mark that is short or holds no mark at all."""
+    return ~passage.rlike(PROSE_END) & ((F.length(F.btrim(passage, F.lit(SPACES))) < PROSE_CHARS) | ~passage.rlike(SENTENCE_MARK))
+
+
+def good_lines(text: Column) -> Column:
+    """The lines with a word that pass when the ends are judged by passages of wrapped lines."""
+    def lines(passage: Column) -> Column:
+        kept = F.filter(F.split(passage, "\n"), lambda line: line.rlike(WORD) & ~furniture(line))
+        return F.when(prose_fails(passage), F.array().cast("array<string>")).otherwise(kept)
+
+    return F.flatten(F.transform(F.split(text, PASSAGE_BREAK), lines))
+
+
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
     """How many words lie in a window of ``size`` words that occurs at least twice.
 
@@ -93,13 +128,13 @@ def covered_by(positions: Column, size: int = WINDOW) -> Column:
 
 def judge_quality(
     documents: DataFrame, min_words: int = MIN_WORDS, max_repeated_percent: int = MAX_REPEATED_PERCENT,
-    max_lost_percent: int = MAX_LOST_PERCENT, text: str = "text",
+    max_lost_percent: int = MAX_LOST_PERCENT, text: str = "text", prose: bool = False,
 ) -> DataFrame:
     """Add the word and line counts, ``clean_text``, ``base_failed`` and ``kept``.
 
     ``clean_text`` holds the lines that pass, joined by line feeds. ``kept`` is false for a
     document that fails the base limits or loses more than ``max_lost_percent`` of the
-    characters of its lines.
+    characters of its lines. ``prose``: a missing final mark costs no line of prose.
     """
     step = documents.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     whole = F.col("_text")
@@ -111,7 +146,7 @@ def judge_quality(
     })
     step = step.withColumns({
         "_words": F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("_trimmed", f"{SPACE}+")),
-        "_good": F.filter("_lines", lambda line: ~line_fails(line)),
+        "_good": good_lines(whole) if prose else F.filter("_lines", lambda line: ~line_fails(line)),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     }).drop("_trimmed")
     step = step.withColumns({

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import pytest
@@ -80,6 +81,35 @@ def test_quality_lines(spark):
     assert quality.judge_quality(documents(spark, [prose])).filter("kept").count() == 1
 
 
+SENTENCES = [f"Here the {i}th man of word{i} went over hill{i} and saw town{i} there." for i in range(12)]
+
+
+def test_quality_of_prose_without_final_marks(spark):
+    one_line = " ".join(SENTENCES)[:-1]
+    wrapped = textwrap.fill(" ".join(SENTENCES), 60)
+    nouns = textwrap.fill(" ".join(SENTENCES).title(), 60)
+    ends = "\n".join(["(He went home to the town over the hill.)", "Er sagte: „So ist es gut und recht.“", "यह एक वाक्य है।", "هل هذا صحيح؟"])
+    page = "Home\n" + wrapped + "\nNews\nHome | News | About us and all the many others\n\nPrivacy policy and what it says of you, of us. And\n\n" + "keyword " * 20
+    df = documents(spark, [one_line, wrapped, nouns, wrapped.replace("\n", "\r\n"), " ".join(SENTENCES) + "\n" + ends, page, "menu item " * 40, wrapped[:-1]])
+    strict = rows_by_id(quality.judge_quality(df), "kept")
+    assert strict[:2] == [(0, False), (1, False)]
+    got = rows_by_id(quality.judge_quality(df, prose=True), "clean_text", "kept")
+    want = [one_line, wrapped, nouns, wrapped.replace("\n", "\r\n"), " ".join(SENTENCES) + "\n" + ends, wrapped, "", wrapped[:-1]]
+    assert got == [(i, text, i != 6) for i, text in enumerate(want)]
+    stage = corpus_pipeline.quality_stage(spark, df, "")
+    assert {r.doc_id: r.text for r in stage.collect()} == {i: t for i, t in enumerate(want) if i != 6}
+
+
+def test_prose_rule_only_adds_lines(spark):
+    r = random.Random(11)
+    parts = [*SENTENCES, "menu", "a | b | c", "no end here but it is a rather long line of words", "", " ", "Is it so?", "## $$", "Yes.)"]
+    df = documents(spark, ["\n".join(r.choice(parts) for _ in range(r.randint(1, 30))) for _ in range(60)] + odd_texts())
+    strict, prose = [dict(rows_by_id(quality.judge_quality(df, prose=p), "clean_text")) for p in (False, True)]
+    for i, text in strict.items():
+        lines = iter(prose[i].split("\n"))
+        assert not text or all(line in lines for line in text.split("\n"))
+
+
 CHATS = {
     1: ["hi", "hello"], 2: ["hi", "hello", "more", "yes"], 3: ["hi", "hello", "more", "yes"], 4: ["hi"], 5: ["hi", "other"],
     6: ["hello", "hi"], 7: [None, "x"], 8: ["", "x", "y"],
