@@ -375,6 +375,51 @@ def test_licences_equal_brute_force():
     assert (1.0, "MIT") in compared.matches("Title\n\n" + ".\n".join(mit) + "\n\nEnd of it")
 
 
+def test_licence_windows_equal_brute_force():
+    from collections import Counter
+
+    templates = {"A": ("a b c d e f.",), "B": ("b c x y", "a b a b c a b"), "C": ("c d e f g h i j k l m n",)}
+    compared = licences.Templates(templates, 0.8)
+    r = random.Random(7)
+    pieces = [*itertools.chain(*templates.values()), "a b c.", "q r", "d e f", "g h i j k", "z.\n\n", "a b a b", "w\n", "c d. e f g h"]
+    hits = 0
+    for _ in range(400):
+        text = " ".join(r.choice(pieces) for _ in range(r.randint(1, 8)))
+        words = re.findall(r"[a-z]+", text)
+        places = {len(re.findall("[a-z]+", text[:m.end()])) for m in re.finditer(r"[.](?=\s)|\n", text)} | {0, len(words)}
+        best = 0.0
+        for (a, b), t in itertools.product(itertools.combinations(range(len(words) + 1), 2), itertools.chain(*templates.values())):
+            own, other = [Counter(itertools.pairwise(w)) for w in (words[a:b], re.findall("[a-z]+", t))]
+            size = own.total() if a in places and b in places else max(own.total(), other.total())
+            best = max(best, 2 * (own & other).total() / (size + other.total()))
+        numbers = compared.numbered([w.encode() for w in words])
+        got = max([d for d, *_ in compared.windows(text, numbers)], default=0.0)
+        assert got == pytest.approx(best if best >= 0.8 else 0.0), text
+        hits += got > 0
+    assert 50 < hits < 400
+
+
+def test_licences_amid_prose(spark):
+    texts = licences.all_templates()
+    gpl, apache = licences.FULL_TEXTS["GPL-3.0"][0], licences.FULL_TEXTS["Apache-2.0"][0]
+    found = {
+        "2020 John Doe. Released under the MIT License.": "MIT",
+        "Copyright 2020 Example Corp. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        PROSE + "It is licensed under CC BY-NC 4.0 as are " + PROSE: "CC-BY-NC-4.0",
+        PROSE + "Licensed under the MIT License. And then " + texts["GPL-2.0"][0] + " " + PROSE: "GPL-2.0,MIT",
+        PROSE * 9 + "\n\n" + texts["MIT"][0].replace(". ", ".\n\n").replace(", ", ",\n") + "\n\n" + PROSE * 9: "MIT",
+        PROSE * 40 + "\n\n" + apache + "\n\n" + PROSE * 40: "Apache-2.0",
+        texts["LGPL-2.1"][0] + "\n\n" + texts["AGPL-3.0"][0] + "\n" + texts["MPL-2.0"][0]: "AGPL-3.0,LGPL-2.1,MPL-2.0",
+        "This project is licensed under the Foo License. " + PROSE: "",
+        PROSE * 3: "",
+    }
+    rows = licences.scan_licences(documents(spark, found)).collect()
+    assert {r.doc_id: r.licenses for r in rows} == dict(enumerate(found.values()))
+    assert {r.doc_id: r.dice for r in rows}[0] == {r.doc_id: r.dice for r in rows}[5] == 1.0
+    both = licences.Templates(texts, 0.8).notices(PROSE * 40 + gpl + PROSE * 9 + gpl + PROSE * 40)
+    assert sum(m == (1.0, "GPL-3.0") for m in both) >= 2
+
+
 def test_packing_is_a_partition(spark):
     texts = odd_texts() + [PROSE * k for k in range(1, 40)] + ["a <|endoftext|> b don't we'll\n\n  x"]
     from tokenizers import Tokenizer
