@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontam, html, jaccard, licences, packing, pii, quality, suffix, urls
+from millrace.llm import audit, chat, decontam, html, jaccard, licences, packing, pii, quality, suffix, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def kk_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -123,8 +127,40 @@ def passages_sql() -> str:
            coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 
+def audit_sql() -> str:
+    words = sql_text("[^" + "".join(f"{chr(92)}x{c:02X}" for c in (0x20, *range(9, 14))) + "]+")
+    letters = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(audit.LETTERS))
+    names = "abcde"
+    different = " AND ".join(f"{x}.c <> {y}.c" for i, x in enumerate(names) for y in names[:i])
+    bits = ", ".join(f"{x}.b" for x in names)
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, {words}) AS ws FROM d),
+    g AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+    m AS (SELECT w.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (len(ws) < {audit.MIN_WORDS})::INT + 2 * (100 * len(list_distinct(ws)) < {audit.MIN_DISTINCT_PERCENT} * len(ws))::INT
+                 + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > {audit.MAX_UPPER_PERCENT} * length(t))::INT
+                 + 8 * regexp_matches(t, '{audit.MARKS}')::INT + 16 * coalesce(first_id < doc_id, false)::INT AS bits
+          FROM w JOIN g USING (t) LEFT JOIN (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+    k AS (SELECT part, bits, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM m GROUP BY part, bits),
+    f(c, b) AS (VALUES {letters}),
+    o AS (SELECT {' || '.join(f'{x}.c' for x in names)} AS filter_order, [{bits}] AS bs FROM {', '.join(f'f {x}' for x in names)} WHERE {different}),
+    s AS (SELECT filter_order, i AS step, bs[i] AS bit, coalesce(list_sum(bs[1:i - 1]), 0)::INT AS before FROM (SELECT *, unnest(generate_series(1, 5)) AS i FROM o)),
+    x AS (SELECT part, filter_order, step, bit,
+                 coalesce(sum(n) FILTER (WHERE bits & (bit | before) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (WHERE bits & bit <> 0 AND bits & before = 0), 0)::BIGINT AS removed,
+                 coalesce(sum(n) FILTER (WHERE bits & bit <> 0 AND bits & before <> 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (WHERE bits = bit), 0)::BIGINT AS unique_fails,
+                 coalesce(sum(n_good) FILTER (WHERE bits & bit <> 0 AND bits & before = 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(n_toxic) FILTER (WHERE bits & bit <> 0 AND bits & before = 0), 0)::BIGINT AS toxic_lost
+          FROM k, s GROUP BY part, filter_order, step, bit)
+    SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM x"""
+
+
 QUERIES = {
     "op1_quality_rules": quality_rules, "op2_chat_collapse": chat_collapse, "op3_ngram_jaccard": ngram_jaccard, "op4_html_text": html_text, "op5_pii_crf": pii_crf,
     "op6_wu_manber": wu_manber, "op7_suffix_repeats": suffix_repeats, "op8_url_rules": url_rules, "op9_licence_dice": licence_dice, "op10_kk_packing": kk_packing,
+    "op13_filter_audit": filter_audit,
 }
-SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql()}
+SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql(), "op13_filter_audit": audit_sql()}
