@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import audit, chat, decontam, html, jaccard, licences, packing, pii, quality, suffix, urls
+from millrace.llm import audit, chat, decontam, forest, html, jaccard, licences, packing, pii, quality, suffix, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def kk_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.forest_duplicates(table(spark, folder, "documents"))
+
+
 def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -127,6 +131,19 @@ def passages_sql() -> str:
            coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
 
 
+def forest_sql() -> str:
+    words = sql_text("[^" + "".join(f"{chr(92)}x{c:02X}" for c in (0x20, *range(9, 14))) + "]+")
+    return f"""
+    WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), {words}) AS w FROM documents),
+    g AS (SELECT DISTINCT r, w[i:i + {forest.SHINGLE - 1}] AS s FROM (SELECT r, w, unnest(generate_series(1, greatest(len(w) - {forest.SHINGLE - 1}, 1))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+    p AS (SELECT x.r AS a, y.r AS b, count(*) AS k FROM g x JOIN g y USING (s) WHERE x.r <> y.r GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON a = x.r JOIN n y ON b = y.r WHERE 100 * k >= {forest.PERCENT} * (x.n + y.n - k)),
+    c(r, root) AS (SELECT r, r FROM d UNION SELECT c.r, e.b FROM c JOIN e ON c.root = e.a),
+    m AS (SELECT c.r, min(t.doc_id) AS component_id FROM c JOIN d t ON c.root = t.r GROUP BY c.r)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
+
+
 def audit_sql() -> str:
     words = sql_text("[^" + "".join(f"{chr(92)}x{c:02X}" for c in (0x20, *range(9, 14))) + "]+")
     letters = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(audit.LETTERS))
@@ -161,6 +178,6 @@ def audit_sql() -> str:
 QUERIES = {
     "op1_quality_rules": quality_rules, "op2_chat_collapse": chat_collapse, "op3_ngram_jaccard": ngram_jaccard, "op4_html_text": html_text, "op5_pii_crf": pii_crf,
     "op6_wu_manber": wu_manber, "op7_suffix_repeats": suffix_repeats, "op8_url_rules": url_rules, "op9_licence_dice": licence_dice, "op10_kk_packing": kk_packing,
-    "op13_filter_audit": filter_audit,
+    "op11_lsh_forest": lsh_forest, "op13_filter_audit": filter_audit,
 }
-SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql(), "op13_filter_audit": audit_sql()}
+SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql(), "op11_lsh_forest": forest_sql(), "op13_filter_audit": audit_sql()}
