@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import audit, chat, decontam, forest, html, jaccard, licences, packing, pii, quality, suffix, urls
+from millrace.llm import audit, chat, decontam, forest, html, jaccard, licences, packing, pii, quality, search, suffix, urls
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def lsh_forest(spark: SparkSession, folder: str) -> DataFrame:
     return forest.forest_duplicates(table(spark, folder, "documents"))
 
 
+def mask_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -144,6 +148,24 @@ def forest_sql() -> str:
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)"""
 
 
+def search_sql() -> str:
+    def terms(ranges: str) -> str:
+        return f"regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), {sql_text(ranges)})"
+
+    term = "[^" + "".join(f"{chr(92)}x{a:02X}-{chr(92)}x{b:02X}" for a, b in ((0, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))) + "]+"
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms(term)} AS w FROM documents),
+    b AS (SELECT row_number() OVER () AS q, item_id, {terms(term)} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+    s AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS n_tokens FROM d),
+    t AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY ALL),
+    f AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM t, s GROUP BY t, n_docs),
+    i AS (SELECT q, t, count(*) AS c FROM (SELECT q, unnest(w) AS t FROM b) GROUP BY ALL),
+    m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * n_docs) // n_tokens AS m FROM d, s),
+    x AS (SELECT q, r, doc_id, sum(c * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN f USING (t) JOIN t USING (t) JOIN m USING (r) GROUP BY ALL),
+    k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM x WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM k JOIN b USING (q) WHERE rank <= {search.TOP}"""
+
+
 def audit_sql() -> str:
     words = sql_text("[^" + "".join(f"{chr(92)}x{c:02X}" for c in (0x20, *range(9, 14))) + "]+")
     letters = ", ".join(f"('{c}', {1 << i})" for i, c in enumerate(audit.LETTERS))
@@ -178,6 +200,6 @@ def audit_sql() -> str:
 QUERIES = {
     "op1_quality_rules": quality_rules, "op2_chat_collapse": chat_collapse, "op3_ngram_jaccard": ngram_jaccard, "op4_html_text": html_text, "op5_pii_crf": pii_crf,
     "op6_wu_manber": wu_manber, "op7_suffix_repeats": suffix_repeats, "op8_url_rules": url_rules, "op9_licence_dice": licence_dice, "op10_kk_packing": kk_packing,
-    "op11_lsh_forest": lsh_forest, "op13_filter_audit": filter_audit,
+    "op11_lsh_forest": lsh_forest, "op12_mask_search": mask_search, "op13_filter_audit": filter_audit,
 }
-SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql(), "op11_lsh_forest": forest_sql(), "op13_filter_audit": audit_sql()}
+SQL = {"op1_quality_rules": quality_sql(), "op2_chat_collapse": CHAT_SQL, "op6_wu_manber": passages_sql(), "op8_url_rules": url_sql(), "op11_lsh_forest": forest_sql(), "op12_mask_search": search_sql(), "op13_filter_audit": audit_sql()}
