@@ -12,7 +12,7 @@ from millrace.queries.fixtures import Query, table
 from millrace.session import scratch_path
 from millrace.streaming import streams as st
 
-CAP = 5
+CAP = 2
 
 
 def table_stream(spark, folder, name):
@@ -42,7 +42,8 @@ def finish(query):
 def through_files(spark, df, name, file_format="parquet"):
     """What a stream writes until its input is read."""
     path = scratch_path(spark, name)
-    finish(st.run_stream(df, f"{path}/out", f"{path}/checkpoint", file_format))
+    with st.keyed_state(spark):
+        finish(st.run_stream(df, f"{path}/out", f"{path}/checkpoint", file_format))
     return spark.read.schema(df.schema).format(file_format).load(f"{path}/out")
 
 
@@ -66,10 +67,10 @@ def counted(spark, folder):
 
 
 def capped(spark, folder):
-    st.use_rocksdb(spark)
-    valid = parsed_stream(spark, folder).filter("status = 'valid'").select("source", "raw")
-    rows = through_files(spark, st.stream_cap(valid, ["source"], CAP), "cap")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    """Whole rows: the first ones of each source, in the order of its documents."""
+    valid = parsed_stream(spark, folder).filter("status = 'valid'").select("source", "unit_idx", "line_idx", "raw")
+    rows = through_files(spark, st.stream_cap(valid, ["source", "unit_idx"], CAP), "cap")
+    return rows
 
 
 def sensed(spark, folder):
@@ -79,10 +80,9 @@ def sensed(spark, folder):
 
 
 def traced(spark, folder):
-    path = scratch_path(spark, "trace")
     chunks = table_stream(spark, folder, "events").selectExpr(*fx.TRACE_COLUMNS)
-    finish(st.stream_trace(chunks, f"{path}/out", f"{path}/state", f"{path}/checkpoint", availableNow=True))
-    return spark.read.parquet(f"{path}/out").select("run_id", "seq", "tokens", "cumulative_tokens", "elapsed_s", "tps")
+    rows = through_files(spark, st.stream_trace(chunks, "1 hour", 3600), "trace")
+    return rows.select("run_id", "seq", "tokens", "cumulative_tokens", "elapsed_s", "tps")
 
 
 def metered(spark, folder):
@@ -90,13 +90,8 @@ def metered(spark, folder):
     path = scratch_path(spark, "metrics")
     name = f"lines-{os.path.basename(path)}"  # a listener hears every stream of the session
     rows = st.with_metrics(parsed_stream(spark, folder), name)
-    listener = st.ProgressListener(name, lambda generated, skipped: None)
-    spark.streams.addListener(listener)
-    try:
+    with st.listening(spark, name) as listener:
         finish(st.run_stream(rows.select("status"), f"{path}/out", f"{path}/checkpoint", "parquet"))
-        listener.ended.wait()
-    finally:
-        spark.streams.removeListener(listener)
     return spark.createDataFrame([(listener.generated, listener.skipped)], "generated long, skipped long")
 
 
@@ -123,7 +118,9 @@ QUERIES = {
         f"{VALID} SELECT source, count(*) FILTER (status = 'valid') AS generated, count(*) FILTER (status <> 'valid') AS skipped FROM parsed GROUP BY source",
     ),
     "stream_cap": Query(
-        capped, f"{VALID} SELECT source, least(count(*), {CAP}) AS n_rows FROM parsed WHERE status = 'valid' GROUP BY source"
+        capped,
+        f"{VALID}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source, unit_idx ORDER BY line_idx) AS n FROM parsed WHERE status = 'valid') "
+        f"SELECT source, unit_idx, line_idx, raw FROM ranked WHERE n <= {CAP}",
     ),
     "stream_sensor_windows": Query(
         sensed,

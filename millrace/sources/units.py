@@ -31,11 +31,12 @@ def _json_units(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def spaced_json(lines: pd.Series) -> pd.Series:
-    """JSON texts in Python's default form; others as they stand."""
+    """JSON texts in Python's default form; others as they stand, and so are those that its parser
+    gives up on (numbers of more than 4,300 digits, very deep nesting)."""
     def unit(line):
         try:
             return _dump(json.loads(line))
-        except json.JSONDecodeError:
+        except (ValueError, RecursionError):
             return line
 
     return lines.map(unit)

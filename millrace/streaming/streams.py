@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,7 +12,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.functions.text import chunk_tokens
-from millrace.operators.ordered import ordered_scan
 from millrace.operators.responses import VALID, parse_responses
 from millrace.operators.telemetry import micros
 
@@ -33,12 +33,24 @@ def stream_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count_if(valid).alias("generated"), F.count_if(~valid).alias("skipped"))
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """The state store that ``stream_cap`` needs."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside use the state store that ``stream_cap`` and ``stream_trace`` need.
+
+    A stream takes the setting when it starts; the session has its own again afterwards.
+    """
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 class _FirstRows(StatefulProcessor):
@@ -70,7 +82,7 @@ def stream_cap(rows: DataFrame, keys: list[str], target: int) -> DataFrame:
 
     Rows beyond the target within one task of one micro-batch can never be among
     the first, so they go before the shuffle: a key with very many rows sends at
-    most ``target`` per task. The state needs the RocksDB store (``use_rocksdb``).
+    most ``target`` per task. Start it within ``keyed_state``.
     """
     def before_shuffle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = pd.Series(dtype="int64")
@@ -86,42 +98,78 @@ def stream_cap(rows: DataFrame, keys: list[str], target: int) -> DataFrame:
     )
 
 
-def stream_trace(chunks: DataFrame, out: str, state: str, checkpoint: str, parts: int | None = None, **trigger) -> StreamingQuery:
-    """Write trace steps of arriving chunks to ``out``; runs go on across micro-batches.
+class _LiveTrace(StatefulProcessor):
+    """Trace steps of a run's arriving chunks; what it hands on is four numbers, for as long as it is live."""
 
-    What a run hands from one micro-batch to the next (start, last time, tokens so
-    far) lies in a table per micro-batch below ``state``. A repeated micro-batch
-    overwrites its own output and state only.
-    """
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumns({"tokens": chunk_tokens(F.col("tokens"), F.col("chunk")), "_us": micros(F.col("ts"))})
-        here = rows.groupBy("run_id").agg(
-            F.min("_us").alias("_first"), F.max_by("_us", "seq").alias("_last"), F.sum("tokens").alias("_sum")
-        )
-        empty = spark.createDataFrame([], "run_id long, started_us long, last_us long, tokens_before long")
-        known = spark.read.parquet(f"{state}/{number - 1}") if number else empty
-        runs = here.join(known, "run_id", "full").select(
-            "run_id", F.coalesce("started_us", "_first").alias("started_us"), "last_us",
-            F.coalesce("tokens_before", F.lit(0)).alias("tokens_before"), "_last", "_sum",
-        )
-        runs.select(
-            "run_id", "started_us", F.coalesce("_last", "last_us").alias("last_us"),
-            (F.col("tokens_before") + F.coalesce("_sum", F.lit(0))).alias("tokens_before"),
-        ).write.mode("overwrite").parquet(f"{state}/{number}")
-        scanned = ordered_scan(
-            rows, ["run_id"], ["seq"], parts=parts,
-            totals={"_tokens": F.col("tokens")}, previous={"_before": F.col("_us")},
-            attach=runs.select("run_id", "started_us", "last_us", "tokens_before"),
+    STATE = StructType([StructField(name, LongType()) for name in ("started_us", "last_us", "last_seq", "tokens")])
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", self.STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        chunks = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        known = self.run.exists()
+        started, last, last_seq, tokens = self.run.get() if known else (int(chunks["us"].min()), None, None, 0)
+        us = chunks["us"]
+        # behind what was given out: the tokens count from here on, but there is no speed to tell
+        late = chunks["seq"] <= last_seq if known else pd.Series(False, index=chunks.index)
+        order = pd.concat([chunks[late], chunks[~late]])
+        running = tokens + order["tokens"].cumsum()
+        in_time = us[~late]
+        passed = (in_time - in_time.shift(fill_value=last if known else started)).reindex(order.index)
+        speed = order["tokens"] / (passed / 1e6)
+        out = order[["seq", "chunk", "tokens"]].assign(
+            run_id=key[0], cumulative_tokens=running, elapsed_s=(us - started) / 1e6,
+            tps=speed.where((order["tokens"] > 0) & (passed > 0)), late=late,
         )
-        passed = F.col("_us") - F.coalesce("_before", "last_us", "started_us")
-        scanned.select(
-            "run_id", "seq", "chunk", "tokens", (F.col("_tokens") + F.col("tokens_before")).alias("cumulative_tokens"),
-            ((F.col("_us") - F.col("started_us")) / 1e6).alias("elapsed_s"),
-            F.when((F.col("tokens") > 0) & (passed > 0), F.col("tokens") / (passed / 1e6)).alias("tps"),
-        ).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if len(in_time):
+            last, last_seq = int(in_time.iloc[-1]), int(chunks["seq"].iloc[-1])
+        self.run.update((started, last, last_seq, int(running.iloc[-1])))
+        if not known:
+            self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), last // 1000) + self.idle_ms)
+        yield out[list(TRACE_COLUMNS)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A run has one timer: it looks again if chunks came meanwhile, else the run is over and forgotten."""
+        if self.run.exists():
+            ends = self.run.get()[1] // 1000 + self.idle_ms
+            if ends > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(ends)
+            else:
+                self.run.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+TRACE_COLUMNS = {
+    "run_id": "bigint", "seq": "bigint", "chunk": "string", "tokens": "bigint", "cumulative_tokens": "bigint",
+    "elapsed_s": "double", "tps": "double", "late": "boolean",
+}
 
-    return chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+def stream_trace(chunks: DataFrame, delay: str, idle_s: int) -> DataFrame:
+    """Trace steps of arriving chunks, run by run, across micro-batches; start it within ``keyed_state``.
+
+    A run is forgotten ``idle_s`` seconds of event time after its last chunk, so the state holds the
+    live runs only and each micro-batch touches the runs that it has chunks of. Chunks older than the
+    watermark (``delay`` behind the newest) are dropped by Spark and counted by ``ProgressListener``. A chunk
+    that comes after a later one of its run was given out is ``late``: its tokens count from where it
+    arrives, and it has no speed. A chunk of a run that was forgotten starts that run anew.
+    """
+    rows = chunks.select(
+        "run_id", F.col("seq").cast("long").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "chunk",
+        chunk_tokens(F.col("tokens"), F.col("chunk")).cast("long").alias("tokens"), micros(F.col("ts")).alias("us"),
+    )
+    return rows.withWatermark("ts", delay).groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=_LiveTrace(idle_s * 1000), outputStructType=", ".join(f"{n} {t}" for n, t in TRACE_COLUMNS.items()),
+        outputMode="Append", timeMode="EventTime",
+    )
 
 
 def with_metrics(parsed: DataFrame, name: str) -> DataFrame:
@@ -131,10 +179,16 @@ def with_metrics(parsed: DataFrame, name: str) -> DataFrame:
 
 
 class ProgressListener(StreamingQueryListener):
-    """Calls ``report(generated, skipped)`` with running totals after every micro-batch."""
+    """Calls ``report(generated, skipped)`` with running totals after every micro-batch of the stream ``name``.
+
+    The name is that of ``with_metrics``, or of the query itself. ``dropped`` counts what its stateful operators
+    left out as older than the watermark: rows, or for aggregations what is left of them after the partial one. ``state_rows``
+    is the size of its state after the last micro-batch.
+    """
 
-    def __init__(self, name: str, report):
+    def __init__(self, name: str, report=lambda generated, skipped: None):
         self.name, self.report, self.generated, self.skipped = name, report, 0, 0
+        self.dropped = self.state_rows = self.batches = 0
         self.ended = threading.Event()
 
     def onQueryStarted(self, event):
@@ -142,6 +196,10 @@ class ProgressListener(StreamingQueryListener):
 
     def onQueryProgress(self, event):
         metrics = event.progress.observedMetrics.get(self.name)
+        if metrics or event.progress.name == self.name:
+            self.batches += 1
+            self.dropped += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+            self.state_rows = sum(o.numRowsTotal for o in event.progress.stateOperators)
         if metrics:
             self.generated += metrics["generated"]
             self.skipped += metrics["skipped"]
@@ -154,9 +212,22 @@ class ProgressListener(StreamingQueryListener):
         self.ended.set()
 
 
-def run_stream(df: DataFrame, path: str, checkpoint: str, file_format: str = "text", **trigger) -> StreamingQuery:
+@contextmanager
+def listening(spark: SparkSession, name: str) -> Iterator[ProgressListener]:
+    """A listener for the stream ``name``, to be started and awaited inside; its totals are final on leaving."""
+    listener = ProgressListener(name)
+    spark.streams.addListener(listener)
+    try:
+        yield listener
+        listener.ended.wait()
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def run_stream(df: DataFrame, path: str, checkpoint: str, file_format: str = "text", name: str | None = None, **trigger) -> StreamingQuery:
     """Write a stream's rows durably, each once; a restart goes on after the last finished micro-batch."""
     writer = df.writeStream.format(file_format).option("path", path).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 

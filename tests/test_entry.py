@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 from tools.check_queries import check
 
 FOLDER = "/root/testdata/sf0.001"
-# Their rows hold random file names, or SQL cannot say them (tests/llm compares those with brute force).
-WITHOUT_SQL = {"log_listing", "pipeline", *(n for n in entry.queries() if n.startswith(("op3_", "op4_", "op5_", "op7_", "op9_", "op10_")))}
+# SQL cannot say them (tests/llm compares those with brute force).
+WITHOUT_SQL = {"pipeline", *(n for n in entry.queries() if n.startswith(("op3_", "op4_", "op5_", "op7_", "op9_", "op10_")))}
 
 
 @pytest.fixture(scope="module")
