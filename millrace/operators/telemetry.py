@@ -18,6 +18,7 @@ PLACES = {
     "time_s": 4, "tps_overall": 4, "tps_peak": 4, "tps_lowest": 4, "tps": 2, "elapsed_s": 3,
     "temp_avg_c": 2, "temp_peak_c": 2, "temp_lowest_c": 2, "ram_mb": 2, "device_util_pct": 1,
     "before_mb": 2, "after_load_mb": 2, "after_inference_mb": 2, "load_delta_mb": 2, "inference_delta_mb": 2,
+    "ram_before_load_mb": 2, "ram_after_load_mb": 2, "ram_load_delta_mb": 2, "ram_after_inference_mb": 2, "ram_inference_delta_mb": 2,
 }
 
 

@@ -10,7 +10,7 @@ from millrace.operators import inventory as iv
 from millrace.operators import telemetry as tm
 from millrace.queries import fixtures as fx
 from millrace.queries.fixtures import Query, table
-from millrace.sinks.jsonl import build_run_logs
+from millrace.operators.runlog import full_run_logs
 from millrace.sources.runlogs import explode_trace, parse_run_logs, stat
 
 
@@ -43,18 +43,63 @@ def two(expression: str, places: int) -> str:
     return f"CAST(printf('%.{places}f', {expression}) AS DOUBLE)"
 
 
-def documents(spark, folder):
-    return build_run_logs(tm.round_stats(speeds(spark, folder)), steps(spark, folder))
+SAMPLED = [
+    "user_id AS run_id", "event_id AS seq", "ts + INTERVAL '7' SECOND AS ts", "CASE WHEN event_id % 4 <> 0 THEN value * 10 END AS ram_mb",
+    "CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 1000 AS DOUBLE) / 10 END AS device_util_pct", "CASE WHEN event_id % 5 <> 2 THEN value END AS celsius",
+]
+SNAPPED = [
+    "user_id AS run_id", "CASE event_type WHEN 'view' THEN 'before' WHEN 'click' THEN 'after_load' ELSE 'after_inference' END AS phase", "max(value) AS mb",
+    "max(event_id) AS used",
+]
+SNAPPED_BY = "1, 2"
+
+
+def full_logs(spark, folder):
+    """Runs of the events, each with the document of its number as its prompt."""
+    events = table(spark, folder, "events")
+    prompts = table(spark, folder, "documents").selectExpr(
+        "doc_id AS run_id", "lang AS model", "source AS device", "text AS prompt", "n_chars AS max_tokens", "CAST(doc_id % 10 AS DOUBLE) / 10 AS temperature"
+    )
+    runs = events.select(F.col("user_id").alias("run_id")).distinct().join(prompts, "run_id", "left")
+    snapshots = events.groupBy(F.expr(SNAPPED[0]), F.expr(SNAPPED[1])).agg(F.expr(SNAPPED[2]), F.expr(SNAPPED[3]))
+    system = F.struct(F.lit(100000.0).alias("total"), F.col("used").cast("double"), (100000.0 - F.col("used")).alias("available"), (F.col("used") / 1000.0).alias("percent"))
+    return full_run_logs(
+        fx.trace(spark, folder), runs, events.selectExpr(*SAMPLED), snapshots.withColumn("system", system), fx.LEAD_US
+    )
+
+
+FULL_STATS = (
+    "prompt_tokens", "time_s", "response_tokens", "tps_overall", "tps_peak", "tps_lowest", "temp_avg_c", "temp_peak_c", "temp_lowest_c", "ram_before_load_mb",
+    "ram_after_load_mb", "ram_load_delta_mb", "ram_after_inference_mb", "ram_inference_delta_mb",
+)
 
 
 def logged(spark, folder):
-    logs = parse_run_logs(documents(spark, folder))
-    return logs.select("run_id", "part", *[stat(s).alias(s) for s in ("time_s", "response_tokens", "tps_overall", "tps_peak", "tps_lowest")], F.size("chunk_trace").alias("entries"))
+    logs = parse_run_logs(full_logs(spark, folder))
+    return logs.select(
+        "run_id", "part", "model", "device", "prompt", "response", F.col("args.max_tokens").alias("max_tokens"), F.col("args.temperature").alias("temperature"),
+        "timestamp", *[stat(s).alias(s) for s in FULL_STATS], F.col("stats.system_ram_after_load.available").alias("available"), F.size("chunk_trace").alias("entries"),
+    )
 
 
 def scanned(spark, folder):
-    logs = parse_run_logs(documents(spark, folder))
-    return explode_trace(logs, "run_id", "part").select("run_id", "part", "entry_idx", "chunk", "tokens", "tps", "elapsed_s")
+    logs = parse_run_logs(full_logs(spark, folder))
+    return explode_trace(logs, "run_id", "part").select("run_id", "part", "entry_idx", "chunk", "tokens", "tps", "elapsed_s", "ram_mb", "device_util_pct")
+
+
+FULL = (
+    f"samples AS (SELECT {', '.join(SAMPLED)} FROM events), snaps AS (SELECT {', '.join(SNAPPED)} FROM events GROUP BY {SNAPPED_BY}), "
+    "temps AS (SELECT run_id, avg(celsius) AS temp_avg_c, max(celsius) AS temp_peak_c, min(celsius) AS temp_lowest_c FROM samples GROUP BY run_id), "
+    "mems AS (SELECT run_id, max(mb) FILTER (phase = 'before') AS b, max(mb) FILTER (phase = 'after_load') AS l, max(mb) FILTER (phase = 'after_inference') AS i, "
+    "100000 - max(used) FILTER (phase = 'after_load') AS available FROM snaps GROUP BY run_id), "
+    "ended AS (SELECT run_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS timestamp, string_agg(chunk, '' ORDER BY seq) AS response FROM raw_trace GROUP BY run_id)"
+)
+READ = (
+    "timed AS (SELECT s.*, r.ts FROM numbered s JOIN raw_trace r USING (run_id, seq)), "
+    "ram AS (SELECT run_id, ts, ram_mb FROM samples WHERE ram_mb IS NOT NULL), util AS (SELECT run_id, ts, device_util_pct FROM samples WHERE device_util_pct IS NOT NULL), "
+    "read AS (SELECT t.*, ram_mb, device_util_pct FROM timed t ASOF LEFT JOIN ram ON t.run_id = ram.run_id AND t.ts >= ram.ts "
+    "ASOF LEFT JOIN util ON t.run_id = util.run_id AND t.ts >= util.ts)"
+)
 
 
 ENTRIES = (
@@ -152,14 +197,18 @@ QUERIES = {
     ),
     "run_log_sink": Query(
         logged,
-        f"WITH {fx.TRACE}, {SPEEDS}, {ENTRIES}, parts AS (SELECT run_id, part, count(tps) AS n FROM placed GROUP BY run_id, part) "
-        f"SELECT parts.run_id, part, {two('time_s', 4)} AS time_s, response_tokens, {two('tps_overall', 4)} AS tps_overall, "
-        f"{two('tps_peak', 4)} AS tps_peak, {two('tps_lowest', 4)} AS tps_lowest, CAST(n AS INTEGER) AS entries "
-        "FROM parts LEFT JOIN speeds ON parts.run_id = speeds.run_id AND part = 0",
+        f"WITH {fx.TRACE}, {SPEEDS}, {ENTRIES}, {FULL}, parts AS (SELECT run_id, part, count(tps) AS n FROM placed GROUP BY run_id, part) "
+        "SELECT parts.run_id, part, lang AS model, source AS device, text AS prompt, response, n_chars AS max_tokens, (doc_id % 10) / 10 AS temperature, timestamp, "
+        f"len(regexp_extract_all(text, '{WORD}')) AS prompt_tokens, {two('time_s', 4)} AS time_s, response_tokens, {two('tps_overall', 4)} AS tps_overall, "
+        f"{two('tps_peak', 4)} AS tps_peak, {two('tps_lowest', 4)} AS tps_lowest, {two('temp_avg_c', 2)} AS temp_avg_c, {two('temp_peak_c', 2)} AS temp_peak_c, "
+        f"{two('temp_lowest_c', 2)} AS temp_lowest_c, {two('b', 2)} AS ram_before_load_mb, {two('l', 2)} AS ram_after_load_mb, {two('l - b', 2)} AS ram_load_delta_mb, "
+        f"{two('i', 2)} AS ram_after_inference_mb, {two('i - l', 2)} AS ram_inference_delta_mb, CAST(available AS DOUBLE) AS available, CAST(n AS INTEGER) AS entries "
+        "FROM parts JOIN speeds USING (run_id) JOIN ended USING (run_id) LEFT JOIN temps USING (run_id) LEFT JOIN mems USING (run_id) LEFT JOIN documents ON doc_id = parts.run_id",
     ),
     "run_log_scan": Query(
         scanned,
-        f"WITH {fx.TRACE}, {ENTRIES} SELECT run_id, part, entry_idx, chunk, tokens, {two('tps', 2)} AS tps, {two('elapsed_s', 3)} AS elapsed_s FROM numbered",
+        f"WITH {fx.TRACE}, {ENTRIES}, {FULL}, {READ} SELECT run_id, part, entry_idx, chunk, tokens, {two('tps', 2)} AS tps, {two('elapsed_s', 3)} AS elapsed_s, "
+        f"{two('ram_mb', 2)} AS ram_mb, {two('device_util_pct', 1)} AS device_util_pct FROM read",
     ),
     "round_stats": Query(
         rounded,
