@@ -53,6 +53,28 @@ u AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['{{"n":1,"prompt":' || t || '}
 SELECT doc_id, unnest(range(0, len(us)))::INTEGER AS unit_idx, unnest(us) AS unit FROM u"""
 
 
+ARRAY_ITEM = """'{"id": ' || CAST(doc_id AS STRING) || ', "text": ' || t || ', "of": [{"n": null}, "a,b]"]}'"""
+
+
+def array_files(spark, folder):
+    """One array file for each source, its documents' whole texts inside; elements start on lines of their own."""
+    path = scratch_path(spark, "arrays")
+    rows = table(spark, folder, "documents").selectExpr("source", "doc_id", f"{fx.SPARK_JSON_TEXT.format('text')} AS t").selectExpr("source", "doc_id", f"{ARRAY_ITEM} AS item")
+    ends = rows.groupBy("source").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    line = F.concat(
+        F.when(F.col("doc_id") == F.col("first"), "[").otherwise(", "), F.col("item"), F.when(F.col("doc_id") == F.col("last"), " ]\n").otherwise(""))
+    lines = rows.join(ends, "source").select("source", "doc_id", line.alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
+    units = un.units_from_json_files(spark, path)
+    return units.withColumn("source", F.regexp_extract("source", "source=([^/]*)/", 1))
+
+
+ARRAY_FILES = (
+    f"WITH d AS (SELECT source, doc_id, {fx.DUCK_JSON_TEXT.format('text')} AS t FROM documents) SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS unit_idx, "
+    f"{ARRAY_ITEM.replace('STRING', 'VARCHAR')} AS unit FROM d"
+)
+
+
 def line_units(spark, folder):
     rows = fx.lines(spark, folder).select("line_no", "raw")
     return un.units_from_jsonl(rows)
@@ -177,6 +199,7 @@ QUERIES = {
     "json_array_units_compact": Query(
         lambda spark, folder: un.units_from_json(json_documents(spark, folder), compact=True), COMPACT_UNITS
     ),
+    "json_array_files": Query(array_files, ARRAY_FILES),
     "jsonl_units": Query(line_units, LINE_UNITS),
     "file_units": Query(whole_files, LINE_CHARS),
     "dir_units": Query(folder_files, LINE_CHARS),

@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, StringType
 from millrace.functions import jsonrow
 from millrace.functions.text import plain_text, split_lines, strip, truncate
 from millrace.operators.configs import MAX_SOURCE_CHARS
+from millrace.session import settle
+from millrace.sources.arrays import array_units
 from millrace.sources.files import read_paths, units_from_dir, units_from_file
 from millrace.sources.jsonl import read_lines
 
@@ -42,12 +44,6 @@ def spaced_json(lines: pd.Series) -> pd.Series:
     return lines.map(unit)
 
 
-def json_texts(spark: SparkSession, path: str) -> DataFrame:
-    """``(source, text)`` of whole JSON files."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("source"), plain_text(F.col("value")).alias("text"))
-
-
 def units_from_json(texts: DataFrame, text: str = "text", compact: bool = False) -> DataFrame:
     """The elements of a top-level array, else the one value: ``(..., unit_idx, unit)``.
 
@@ -67,6 +63,13 @@ def units_from_json(texts: DataFrame, text: str = "text", compact: bool = False)
     )
 
 
+def units_from_json_files(spark: SparkSession, path: str, compact: bool = False) -> DataFrame:
+    """The same from files, ``(source, unit_idx, unit)``: an array may be larger than a cell or a task's memory."""
+    units = array_units(spark, path, settle)
+    unit = F.to_json("_value") if compact else spaced_json("unit")
+    return units.select("source", "unit_idx", unit.alias("unit"))
+
+
 def units_from_jsonl(lines: DataFrame, raw: str = "raw", compact: bool = False) -> DataFrame:
     """Each non-blank line as a unit, invalid JSON as it stands: ``(..., part, unit)``.
 
@@ -102,7 +105,7 @@ def load_units(spark: SparkSession, source: str, glob: str = "", hidden: bool =
         # components sort before longer names that start like them
         units = units.withColumn("unit_idx", F.replace("path", F.lit("/"), F.lit("\x01")))
     elif kind == ".json":
-        units = units_from_json(text if unseen else json_texts(spark, path), compact=compact)
+        units = units_from_json(text, compact=compact) if unseen else units_from_json_files(spark, path, compact)
         units = units.withColumn("unit_idx", _padded("unit_idx", 12))
     elif kind == ".jsonl":
         lines = text.select(F.posexplode(F.split("text", "\n")).alias("line_no", "raw")) if unseen else read_lines(spark, path)
