@@ -24,6 +24,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -72,14 +73,18 @@ class Tokens:
         plain = [b for b in range(256) if chr(b).isprintable() and b != 32]
         others = [b for b in range(256) if b not in plain]
         self.names = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
-        kinds = {"L": LETTER, "N": NUMBER}
-        self.kind = np.array([kinds.get(unicodedata.category(chr(c))[0], MARK) for c in range(0x110000)], np.uint8)
+        categories = [*map(unicodedata.category, map(chr, range(0x110000)))]
+        kinds = {c: LETTER if c[0] == "L" else NUMBER if c[0] == "N" else MARK for c in set(categories)}
+        self.kind = np.array([*map(kinds.get, categories)], np.uint8)
         self.kind[list(WHITE)] = BLANK
+        # characters that this Python does not know may be letters to the tokenizer
+        self.unknown = np.array([c == "Cn" for c in categories])
         self.forget()
 
     def forget(self) -> None:
         self.keys, self.first, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
+        self.chars, self.char_at, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         group: list[str] = []
@@ -89,11 +94,14 @@ class Tokens:
                 yield from self.of_group(group)
                 group = []
             if special:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                yield self.encoded(text)
             else:
                 group.append(text)
         yield from self.of_group(group)
 
+    def encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
     def starts(self, chars: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where parts begin, in texts laid end to end that begin at ``bounds``."""
         n = len(chars)
@@ -137,15 +145,21 @@ class Tokens:
         ends = np.append(starts[1:], len(chars))
         hashes = Parts(chars).hashed(starts, ends) ^ (ends - starts).astype(np.uint64)
         unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        place = self.places(unique, whole, starts[at], ends[at])[back]
+        place = self.places(unique, whole, chars, starts[at], ends[at])[back]
+        # a hash only proposes: every part is compared with the one whose ids it takes
+        length = ends - starts
+        known = self.chars[np.minimum(np.repeat(self.char_at[place] - starts, length) + np.arange(len(chars)), len(self.chars) - 1)]
+        differs = np.logical_or.reduceat((known != chars) | self.unknown[chars], starts) | (self.size[place] != length)
+        whole_texts = set((np.searchsorted(bounds, starts[differs], "right") - 1).tolist())
         count = self.count[place]
         last = np.cumsum(count)
         pick = np.repeat(self.first[place] - (last - count), count) + np.arange(last[-1])
         ids = self.flat[pick]
         cut = np.concatenate([[0], last])[np.searchsorted(starts, bounds)]
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            yield ids[a:b]
-    def places(self, unique: np.ndarray, whole: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        for row, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            yield self.encoded(texts[row]) if row in whole_texts else ids[a:b]
+
+    def places(self, unique: np.ndarray, whole: str, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where the ids of these parts are kept, sorted by hash; unknown ones are looked up."""
         if len(self.keys) + len(unique) > CACHE:
             self.forget()
@@ -163,12 +177,22 @@ class Tokens:
             count = np.array([len(g) for g in got], np.int64)
             first = len(self.flat) + np.cumsum(count) - count
             self.flat = np.concatenate([self.flat, np.array([i for g in got for i in g], np.uint32)])
+            size = ends[new] - starts[new]
+            char_at = len(self.chars) + np.cumsum(size) - size
+            self.chars = np.concatenate([self.chars, *(chars[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True))])
+            self.char_at, self.size = np.insert(self.char_at, at[new], char_at), np.insert(self.size, at[new], size)
             self.keys = np.insert(self.keys, at[new], unique[new])
             self.first, self.count = np.insert(self.first, at[new], first), np.insert(self.count, at[new], count)
             at = np.searchsorted(self.keys, unique)
         return at
 
 
+@cache
+def tokens_of(path: str) -> Tokens:
+    """One for each Python worker, which runs many tasks."""
+    return Tokens(path)
+
+
 def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: full windows, then the rest; cut into near-equal
     parts of at most ``grain`` ids if ``grain`` is not nought."""
@@ -183,14 +207,16 @@ def cutter(path: str, capacity: int, grain: int, every: int, key: str, text: str
     names = [key, "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = None
+        tokens = tokens_of(path)
         for batch in batches:
-            tokens = tokens or Tokens(path)
             rows, numbers = [], []
+            names_of = batch.column(key).to_pylist()
             texts = [t or "" for t in batch.column(text).to_pylist()]
             for row, found in enumerate(tokens.ids(texts)):
                 ids = np.append(found, np.uint32(0)).astype("<u4")
-                for start, length in cuts(len(ids), capacity, 0 if row % every else grain):
+                # by the document alone, however the rows are dealt
+                fine = zlib.crc32(f"{names_of[row]}".encode(), zlib.crc32(ids.tobytes())) % every == 0
+                for start, length in cuts(len(ids), capacity, grain if fine else 0):
                     rows.append(row)
                     numbers.append((start, length, zlib.crc32(ids[start:start + length].tobytes()), len(ids)))
             columns = np.array(numbers, np.int64).reshape(-1, 4).T

@@ -9,7 +9,7 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from millrace.llm import audit, forest, search
+from millrace.llm import audit, forest, packing, search
 from tests.llm.test_corpus import PROSE, clashing, documents, odd_texts, rows_by_id
 
 
@@ -223,3 +223,34 @@ def test_audit_runs_without_python(spark, audited):
     df = spark.createDataFrame([], "doc_id bigint, text string, source string")
     plan = audit.failing_bits(df)._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def thue_morse(n: int, letters: str) -> str:
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+def test_token_ids_of_words_with_equal_hashes():
+    """Texts whose polynomial hashes modulo 2**64 coincide, in one group and in later ones."""
+    tokens = packing.Tokens(packing.tokenizer_path())
+    for n in (1024, 2048, 4096):
+        pair = [thue_morse(n, "ab"), thue_morse(n, "ba")]
+        texts = [f"so {pair[0]} and {pair[1]}", pair[1], "plain words", pair[0] + " x"]
+        for _ in range(2):
+            assert [list(i) for i in tokens.ids(texts)] == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_token_ids_of_all_characters():
+    tokens = packing.Tokens(packing.tokenizer_path())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    r = random.Random(9)
+    texts = ["".join(f"a{chr(c)}'s {chr(c)}1{chr(c)}" for c in points[at:at + 64]) for at in range(0, len(points), 64)]
+    texts = r.sample(texts, 1500) + ["".join(chr(c) + "'s" for c in (0x140E2, 0x16D5A, 0x13E35))]
+    texts += ["".join(r.choice(["'re", " ", "\n", "9", "x", "é", chr(r.choice(points))]) for _ in range(30)) for _ in range(1500)]
+    got = [list(i) for i in tokens.ids(texts)]
+    assert got == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_do_not_depend_on_how_rows_are_dealt(spark):
+    df = documents(spark, [PROSE * (i % 7) + f"word{i}" for i in range(80)])
+    cut = [sorted(tuple(r)[:5] for r in packing.pack_documents(df.repartition(n)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()) for n in (1, 7)]
+    assert cut[0] == cut[1]
