@@ -15,6 +15,10 @@ columns of the same name.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import groupby
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -46,6 +50,10 @@ BOILERPLATE = (
     "sign in to", "sign up for", "skip to content", "subscribe to our", "terms of service",
     "terms of use", "use cookies",
 )
+#: The same by first letter, in any ASCII case.
+FURNITURE = "(?i)(?:" + "|".join(
+    f"{letter}(?:{'|'.join(phrase[1:] for phrase in phrases)})" for letter, phrases in groupby(sorted(BOILERPLATE), key=lambda phrase: phrase[0])
+) + ")"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 MIN_WORDS = 50
@@ -57,12 +65,8 @@ RESULTS = (
 )
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(without(text, characters))
+    return F.regexp_count(text, F.lit("[" + "".join(f"\\{c}" if c in "|$*&" else c for c in characters) + "]"))
 
 
 def line_fails(line: Column) -> Column:
@@ -74,12 +78,11 @@ def furniture(line: Column) -> Column:
     """True for a line that a rule other than the one on its end rejects."""
     words = F.regexp_count(line, F.lit(f"{WORD}+"))
     separators = count_of(line, SEPARATORS)
-    folded = F.translate(line, UPPER, LOWER)
     return (
         ((separators >= 2) & (separators * 4 >= words))
         | (count_of(line, SYMBOLS) * 10 > F.length(line))
         | ((F.length(line) >= 20) & (count_of(line, UPPER) * 10 > F.length(line) * 6))
-        | folded.rlike("|".join(BOILERPLATE))
+        | line.rlike(FURNITURE)
     )
 
 
@@ -98,24 +101,32 @@ def good_lines(text: Column) -> Column:
 
 
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
-    """How many words lie in a window of ``size`` words that occurs at least twice.
+    """The windows of ``size`` words by hash and first position, in that order; null if there is only one.
 
     ``words`` must be a plain column, as it is read once per window.
     """
     windows = F.transform(
         F.sequence(F.lit(0), F.size(words) - size),
-        lambda i: F.struct(F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)]).alias("w"), i.alias("i")),
+        lambda i: F.struct(F.xxhash64(*[F.get(words, i + k) for k in range(size)]).alias("h"), i.alias("i")),
     )
     return F.when(F.size(words) > size, F.sort_array(windows))
 
 
-def positions_of_repeats(windows: Column) -> Column:
-    """Sorted first positions of the windows that an equal neighbour in sorted order has."""
-    def position(item: Column, i: Column) -> Column:
-        twin = lambda j: F.coalesce(F.get(windows, j)["w"] == item["w"], F.lit(False))
-        return F.when(twin(i - 1) | twin(i + 1), item["i"])
+def same(items: Column, item: Column, j: Column, *fields: str) -> Column:
+    """Whether the item at ``j``, if there is one, has these fields in common with ``item``."""
+    return F.coalesce(reduce(and_, [F.get(items, j)[f] == item[f] for f in fields]), F.lit(False))
 
-    return F.sort_array(F.array_compact(F.transform(windows, position)))
+
+def same_hashes(words: Column, windows: Column, size: int = WINDOW) -> Column:
+    """The windows whose hash occurs again, by hash, words and position: equal windows are neighbours, whatever hashes coincide."""
+    again = F.filter(windows, lambda x, i: same(windows, x, i - 1, "h") | same(windows, x, i + 1, "h"))
+    return F.sort_array(F.transform(again, lambda x: F.struct(x["h"].alias("h"), F.slice(words, x["i"] + 1, size).alias("w"), x["i"].alias("i"))))
+
+
+def positions_of_repeats(windows: Column) -> Column:
+    """Sorted first positions of the windows that an equal neighbour has."""
+    equal = F.filter(windows, lambda x, i: same(windows, x, i - 1, "h", "w") | same(windows, x, i + 1, "h", "w"))
+    return F.sort_array(F.transform(equal, lambda x: x["i"]))
 
 
 def covered_by(positions: Column, size: int = WINDOW) -> Column:
@@ -141,7 +152,6 @@ def judge_quality(
     step = step.withColumns({
         "_trimmed": F.btrim(whole, F.lit(SPACES)),
         "_lines": F.filter(F.split(whole, "\n"), lambda line: line.rlike(WORD)),
-        "word_chars": F.length(without(whole, SPACES)).cast("long"),
         "n_symbols": count_of(whole, SYMBOLS).cast("long"),
     })
     step = step.withColumns({
@@ -151,14 +161,16 @@ def judge_quality(
     }).drop("_trimmed")
     step = step.withColumns({
         "n_words": F.size("_words").cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "_windows": repeated_words(F.col("_words")),
         "n_lines": F.size("_lines").cast("long"),
         "n_lost_lines": (F.size("_lines") - F.size("_good")).cast("long"),
         "_chars": F.length(F.array_join("_lines", "")),
         "_good_chars": F.length(F.array_join("_good", "")),
         "clean_text": F.array_join("_good", "\n"),
-    }).drop("_words", "_lines", "_good")
-    step = step.withColumn("_repeats", positions_of_repeats(F.col("_windows"))).drop("_windows")
+    }).drop("_lines", "_good")
+    step = step.withColumn("_again", same_hashes(F.col("_words"), F.col("_windows"))).drop("_words", "_windows")
+    step = step.withColumn("_repeats", positions_of_repeats(F.col("_again"))).drop("_again")
     step = step.withColumn("n_repeat_words", covered_by(F.col("_repeats"))).drop("_repeats")
     step = step.withColumn(
         "base_failed",
