@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions import jsonrow
@@ -10,9 +12,10 @@ from millrace.operators import configs as cf
 from millrace.operators import datasets as ds
 from millrace.operators import responses as rs
 from millrace.plans import requests as rq
-from millrace.plans.generate import Factory, fill_rounds, generate
+from millrace.plans.generate import fill_rounds
+from millrace.plans.ledger import Factory, failures, record
 from millrace.session import settle
-from millrace.sinks.jsonl import output_exists, write_jsonl
+from millrace.sinks.jsonl import output_exists, partition_path, write_jsonl
 
 
 def _routed(configs: DataFrame, mode: str, system: Column | None, prefixes: dict[str, str] | None) -> DataFrame:
@@ -38,10 +41,14 @@ def _with_existing(wanted: DataFrame, existing: int | DataFrame) -> DataFrame:
 def synthesize(
     configs: DataFrame, factory: Factory, path: str, existing: int | DataFrame = 0, workers: int | None = None,
     template: str = rq.STANDARD_TEMPLATE, hints: dict[str, str] | None = None, separate: bool = True,
-    system: Column | None = None, prefixes: dict[str, str] | None = None,
+    system: Column | None = None, prefixes: dict[str, str] | None = None, ledger: str | None = None, run: str | None = None,
 ) -> DataFrame:
     """Run all standard configs as one job; the rows of each go to ``path`` under ``name=...``.
 
+    With a ``run`` they go under ``run_id=...`` and ``name=...``, and only what this run writes there is replaced: repeating
+    one config leaves the others' rows. A ``ledger`` (a folder) records answers as tasks end: a run that died and
+    starts again with it asks its open requests only.
+
     With very many configs, ``separate=False`` writes one output instead. A config that
     breaks a rule, or a grounded one, stops the run before any request.
 
@@ -56,33 +63,69 @@ def synthesize(
     plan = rq.request_plan(wanted, F.col("count"), F.col("batch_size"), F.col("existing"), spread=True)
     messages = rq.render_request(plan, template, hints)
     sent = messages.select(*asked, "provider", "model", "temperature", "message", *[c for c in ("system",) if c in wanted.columns])
-    answers = generate(sent, factory, workers, keep=asked)
-    parsed = settle(rs.parse_responses(answers, F.col("task")).drop("value"), "lines")
+    answers = record(sent, ["name", "batch_idx"], factory, ledger, workers, keep=asked)
+    parsed = settle(rs.parse_responses(answers.select(*asked, "response"), F.col("task")).drop("value"), "lines")
     valid = parsed.filter(F.col("status") == rs.VALID)
     rows = rs.cap_to_target(valid, ["name"], F.col("count") - F.col("existing"))
     resumed = isinstance(existing, DataFrame) or existing > 0
-    write_jsonl(rows, path, "append" if resumed else "overwrite", by=["name"] if separate else None)
+    _write_rows(rows, path, "append" if resumed else "overwrite", separate, run)
     target = wanted.select("name", F.col("count").cast("long").alias("_target"), F.col("existing").cast("long").alias("_had"))
     counts = rs.parse_counts(parsed, "name")
-    return target.join(counts, "name", "left").select(
+    return target.join(counts, "name", "left").join(failures(answers, "name"), "name", "left").select(
         "name",
         F.greatest("_had", F.least(F.col("_target"), F.coalesce("valid", F.lit(0)) + F.col("_had"))).alias("generated"),
-        F.coalesce("skipped", F.lit(0)).alias("skipped"),
+        F.coalesce("skipped", F.lit(0)).alias("skipped"), F.coalesce("elapsed_s", F.lit(0.0)).alias("elapsed_s"),
+        _output(path, separate, run).alias("output"), "error",
     )
 
 
+def _write_rows(rows: DataFrame, path: str, mode: str, separate: bool, run: str | None) -> None:
+    if run is not None:
+        rows, mode = rows.withColumn("run_id", F.lit(run)), "replace" if mode == "overwrite" else mode
+    by = [*(["run_id"] if run is not None else []), *(["name"] if separate else [])]
+    write_jsonl(rows, path, mode, by=by or None)
+
+
+def _output(path: str, separate: bool, run: str | None) -> Column:
+    """The folder that a config's rows went to."""
+    parts = {"run_id": F.lit(run)} if run is not None else {}
+    return partition_path(path, **parts, **({"name": F.col("name")} if separate else {}))
+
+
+def one_after_another(configs: DataFrame, run: Callable[[DataFrame], DataFrame], order: str = "name") -> DataFrame:
+    """Run each config by itself (``run`` is given a table of one) and stop after the first that fails.
+
+    Returns the rows of the configs that ran, with their ``position``; ``sequential_status`` sums them up. For the few configs
+    that a caller lists; many are one job (``synthesize``).
+    """
+    done = None
+    for position, row in enumerate(configs.select("name").orderBy(order).toLocalIterator()):
+        result = settle(run(configs.filter(F.col("name").eqNullSafe(F.lit(row["name"])))), "result")
+        result = result.withColumn("position", F.lit(position))
+        done = result if done is None else done.unionByName(result)
+        if not result.filter("error IS NOT NULL").isEmpty():
+            break
+    if done is None:
+        raise ValueError("no configs")
+    return done
+
+
 def synthesize_grounded(
     configs: DataFrame, units: DataFrame, factory: Factory, path: str, max_rounds: int, workers: int | None = None,
     template: str = rq.GROUNDED_TEMPLATE, hints: dict[str, str] | None = None, separate: bool = True,
     system: Column | None = None, prefixes: dict[str, str] | None = None, mode: str = "error",
+    ledger: str | None = None, run: str | None = None,
 ) -> DataFrame:
     """Run all grounded configs as one job over their units ``(source, unit_idx, unit)``.
 
     Each (unit, prompt) is asked until it has its config's count of rows or
     ``max_rounds`` are over. Rows go to ``path`` under ``name=...``; an output that is there
-    already stops the run, unless ``mode`` says ``append`` or ``overwrite``. Returns
-    ``(name, generated, skipped, sources)``, with zeros for a config whose source has no units.
+    already stops the run, unless ``mode`` says ``append`` or ``overwrite``, or a ``run`` names it (``synthesize``; so does
+    ``ledger``). Returns ``(name, generated, skipped, sources, elapsed_s, output, error)``, with zeros for a config
+    whose source has no units. A call that fails ends its config after the round; others go on.
     """
+    if run is not None and mode == "error":
+        mode = "overwrite"
     if mode == "error" and output_exists(configs.sparkSession, path):
         raise FileExistsError(path)
     wanted = _routed(configs, cf.GROUNDED, system, prefixes)
@@ -94,14 +137,16 @@ def synthesize_grounded(
     keys = ["name", "unit_idx", "prompt_idx"]
     rows, state = fill_rounds(
         pairs, keys, factory, F.col("task"), F.col("count"), F.col("batch_size"), max_rounds, workers,
-        render=lambda plan: rq.render_grounded(plan, template, hints).drop("unit", "prompt"),
+        render=lambda plan: rq.render_grounded(plan, template, hints).drop("unit", "prompt"), ledger=ledger, config="name",
     )
-    write_jsonl(rows, path, mode, by=["name"] if separate else None)
-    per_unit = state.groupBy("name", "unit_idx").agg(F.sum("written").alias("written"), F.sum("skipped").alias("skipped"))
+    _write_rows(rows, path, mode, separate, run)
+    spans = [F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.min("error").alias("error")]
+    per_unit = state.groupBy("name", "unit_idx").agg(F.sum("written").alias("written"), F.sum("skipped").alias("skipped"), *spans)
     counts = per_unit.groupBy("name").agg(
-        F.sum("written").alias("generated"), F.sum("skipped").alias("skipped"), F.count(F.lit(1)).alias("sources")
-    )
-    return wanted.select("name").join(counts, "name", "left").fillna(0, ["generated", "skipped", "sources"])
+        F.sum("written").alias("generated"), F.sum("skipped").alias("skipped"), F.count(F.lit(1)).alias("sources"), *spans
+    ).withColumn("elapsed_s", (F.col("_to") - F.col("_from")) / 1e6).drop("_from", "_to")
+    results = wanted.select("name").join(counts, "name", "left").fillna(0, ["generated", "skipped", "sources", "elapsed_s"])
+    return results.select("name", "generated", "skipped", "sources", "elapsed_s", _output(path, separate, run).alias("output"), "error")
 
 
 def training_text(lines: DataFrame, task: str, dataset: str = "source", strict: bool = True) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.functions import jsonrow
 from millrace.operators.telemetry import in_parts, round_stats
@@ -30,11 +30,28 @@ def spaced_lines(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", raw: str = "raw", by: list[str] | None = None) -> None:
-    """One line per row, UTF-8, as the text stands; ``mode='append'`` resumes an output."""
-    writer = df.select(*(by or []), raw).write.mode(mode)
+    """One line per row, UTF-8, as the text stands; ``mode='append'`` resumes an output.
+
+    ``mode='replace'`` overwrites the partitions (``by``) that get rows and leaves the others as they are.
+    """
+    writer = df.select(*(by or []), raw).write.mode("overwrite" if mode == "replace" else mode)
+    if mode == "replace":
+        if not by:
+            raise ValueError("only an output with partitions can be replaced in part")
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*by) if by else writer).text(path)
 
 
+def partition_path(path: str, **values: Column) -> Column:
+    """The folder that Spark writes a partition's rows to; names are escaped as there."""
+    out = F.lit(path.rstrip("/"))
+    for name, value in values.items():
+        for mark in ("%", *"\"#'*/:=?\\{[]^\x7f", *map(chr, range(1, 32))):
+            value = F.replace(value, F.lit(mark), F.lit(f"%{ord(mark):02X}"))
+        out = F.concat(out, F.lit(f"/{name}="), F.when(value == "", "__HIVE_DEFAULT_PARTITION__").otherwise(value))
+    return out
+
+
 def output_exists(spark: SparkSession, path: str) -> bool:
     """Whether anything lies at ``path``, in whichever store it names."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
