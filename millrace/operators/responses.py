@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import jsonrow
 from millrace.functions.text import CODE_FENCE, split_lines, strip
-from millrace.operators.ordered import ordered_scan
+from millrace.operators.ordered import first_rows, ordered_scan
 
 VALID, WRONG_TASK = "valid", "wrong_task"
 # Up to this many rows per key Spark limits a ranking before the shuffle
@@ -58,16 +58,15 @@ def cap_to_target(
     """Keep each key's first ``target`` rows in batch and line order.
 
     A late batch fills what an earlier one left open. A small target is cut before
-    the shuffle; otherwise ranges of batches keep a key with very many rows spread
-    over tasks.
+    the shuffle; otherwise counts per range of batches tell which ranges hold a key's first rows, and only
+    those are ranked, so that a key with very many rows stays spread over tasks.
     """
     if isinstance(target, int) and target <= EARLY_LIMIT:
         # Spark keeps at most the target per key and task before it shuffles
         first = F.row_number().over(Window.partitionBy(*keys).orderBy(batch, line))
         return rows.withColumn("_rank", first).filter(F.col("_rank") <= target).drop("_rank")
     target = F.lit(target) if isinstance(target, int) else target
-    ranked = ordered_scan(rows, keys, [batch, line], totals={"_rank": F.lit(1)}, parts=parts)
-    return ranked.filter(F.col("_rank") <= target).drop("_rank")
+    return first_rows(rows, keys, [batch, line], target, parts)
 
 
 def _with_plan(parsed: DataFrame, plan: DataFrame | None, keys: list[str], *more: str) -> DataFrame:

@@ -33,11 +33,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+def settle(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` once, in folders of the columns ``by``, and read it back.
 
     Cuts the lineage, and pins rows that a second evaluation could change.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

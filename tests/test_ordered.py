@@ -1,6 +1,6 @@
 from pyspark.sql import Window, functions as F
 
-from millrace.operators.ordered import in_ranges, ordered_scan, SLOT
+from millrace.operators.ordered import SLOT, first_rows, in_ranges, ordered_scan
 from millrace.operators.responses import cap_to_target, progress
 from millrace.operators.skew import spread_join
 from millrace.operators.telemetry import elapsed
@@ -89,3 +89,26 @@ def test_elapsed_over_a_hot_run(spark):
     runs = spark.createDataFrame([(1, 1704067200_000_000), (995, None)], "run_id long, started_us long")
     got = {r.seq // 1000000: r.elapsed_s for r in elapsed(trace, runs, rows_per_task=100).collect()}
     assert got == {i: float(i) if i < 990 else None for i in range(1000)}
+
+
+def test_hot_keys_go_through_ranges_and_others_through_one_window(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 50}", i * 7 % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, seq long, v long")
+    attach = spark.createDataFrame([("hot", 1), (None, 2)], "k string, a long")
+    options = dict(totals={"total": F.col("v")}, previous={"before": F.when(F.col("v") % 2 == 0, F.col("v"))}, least={"low": F.col("v")}, attach=attach)
+    want = ordered_scan(df, ["k"], ["seq"], parts=7, **options)
+    for limit in (10, 100, 10_000):
+        got = ordered_scan(df, ["k"], ["seq"], rows_per_task=limit, **options)
+        assert got.columns == want.columns and got.count() == 1000
+        assert got.exceptAll(want).count() == 0
+    plan = ordered_scan(df, ["k"], ["seq"], totals=options["totals"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan
+
+
+def test_first_rows_read_only_the_ranges_that_hold_them(spark):
+    rows = [("a" if i % 4 else None, i * 37 % 2000, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, seq long, v long")
+    for target in (0, 1, 700, 5000):
+        got = sorted(((r.k or "", r.seq) for r in first_rows(df, ["k"], ["seq"], F.lit(target), 9).collect()))
+        want = [(k or "", s) for k in (None, "a") for s in sorted(s for name, s, _ in rows if name == k)[:target]]
+        assert got == sorted(want)
