@@ -64,18 +64,18 @@ def test_json_file_units(spark, tmp_path):
     }
     for name, value in values.items():
         (tmp_path / name).write_text(json.dumps(value, indent=2), encoding="utf-8")
-    rows = un.units_from_json(un.json_texts(spark, str(tmp_path))).collect()
+    rows = un.units_from_json_files(spark, str(tmp_path)).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r.unit_idx):
         got.setdefault(r.source.rsplit("/", 1)[1], []).append(r.unit)
     want = {n: [json.dumps(x, ensure_ascii=False) for x in (v if isinstance(v, list) else [v])] for n, v in values.items()}
     assert got == want
-    compact = un.units_from_json(un.json_texts(spark, str(tmp_path)), compact=True).filter("source LIKE '%list.json'")
+    compact = un.units_from_json_files(spark, str(tmp_path), compact=True).filter("source LIKE '%list.json'")
     assert [r.unit for r in compact.orderBy("unit_idx").collect()] == ['{"a":[1.5,null],"z":1}', '"é"', "2", "[]", "true"]
     (tmp_path / "bad.json").write_text("{")
     for form in (False, True):
         with pytest.raises(Exception):
-            un.units_from_json(un.json_texts(spark, str(tmp_path)), compact=form).collect()
+            un.units_from_json_files(spark, str(tmp_path), compact=form).collect()
 
 
 def test_jsonl_units_keep_broken_lines(spark, tmp_path):
