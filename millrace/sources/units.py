@@ -66,7 +66,8 @@ def units_from_json(texts: DataFrame, text: str = "text", compact: bool = False)
 def units_from_json_files(spark: SparkSession, path: str, compact: bool = False) -> DataFrame:
     """The same from files, ``(source, unit_idx, unit)``: an array may be larger than a cell or a task's memory."""
     units = array_units(spark, path, settle)
-    unit = F.to_json("_value") if compact else spaced_json("unit")
+    # the unit is read in either form: it carries the check
+    unit = F.when(F.col("unit").isNotNull(), F.to_json("_value")) if compact else spaced_json("unit")
     return units.select("source", "unit_idx", unit.alias("unit"))
 
 
