@@ -2,8 +2,8 @@
 
 Every line is judged by itself (punctuation, navigation, symbols, capitals, boilerplate
 phrases); failing lines go, and a document that loses too much of its text goes with them.
-With ``prose`` the punctuation of hard-wrapped lines is judged together, and a passage without
-a final mark fails only if it is short or holds no mark at all.
+A line without a final mark fails only if it is short or holds no mark at all; with ``prose``
+the lines of a hard-wrapped passage are judged together.
 No shuffle and no Python: each row is decided alone, so hot sources, copies and keys do not
 matter, and a lost executor costs only its own rows.
 
@@ -26,15 +26,13 @@ WORD = r"[^\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>»·•"
-#: A line ends its sentence with one of these, perhaps followed by white space.
-SENTENCE_END = r"""[.!?…"”»。！？][\x20\x09-\x0D]*\z"""
-#: With ``prose``: the end marks of more scripts, perhaps followed by closing quotes and brackets, or a closing quote.
+#: The end marks of many scripts, perhaps followed by closing quotes and brackets, or a closing quote.
 END_MARKS = ".!?…。！？｡．؟۔।॥։።፧។။‼⁇⁈⁉‽"
 CLOSERS = r"""\)\]\}"'”’“»«›‹」』）】》〉］｝*_"""
 PROSE_END = rf"""(?:[{END_MARKS}][{CLOSERS}]*|["”»])[\x20\x09-\x0D]*\z"""
 #: An end mark within a passage: before white space, or one that is written without a blank after it.
 SENTENCE_MARK = rf"""[{END_MARKS}][{CLOSERS}]*[\x20\x09-\x0D]|[。！？｡।॥።។။]"""
-#: Characters of the shortest line that may be wrapped, and of the shortest passage that may lack its final mark.
+#: Characters of the shortest line that may be wrapped, and of the shortest line or passage that may lack its final mark.
 PROSE_CHARS = 40
 #: Characters of the longest line that counts as wrapped though it ends with a mark.
 WRAPPED_CHARS = 120
@@ -71,7 +69,7 @@ def count_of(text: Column, characters: str) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True for a line that any rule rejects."""
-    return ~line.rlike(SENTENCE_END) | furniture(line)
+    return prose_fails(line) | furniture(line)
 
 
 def furniture(line: Column) -> Column:
@@ -87,7 +85,7 @@ def furniture(line: Column) -> Column:
 
 
 def prose_fails(passage: Column) -> Column:
-    """True for a passage without a final mark that is short or holds no mark at all."""
+    """True for a line or passage without a final mark that is short or holds no mark at all."""
     return ~passage.rlike(PROSE_END) & ((F.length(F.btrim(passage, F.lit(SPACES))) < PROSE_CHARS) | ~passage.rlike(SENTENCE_MARK))
 
 
@@ -145,7 +143,7 @@ def judge_quality(
 
     ``clean_text`` holds the lines that pass, joined by line feeds. ``kept`` is false for a
     document that fails the base limits or loses more than ``max_lost_percent`` of the
-    characters of its lines. ``prose``: a missing final mark costs no line of prose.
+    characters of its lines. ``prose``: hard-wrapped lines share the marks of their passage.
     """
     step = documents.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     whole = F.col("_text")

@@ -76,7 +76,8 @@ def quality_sql() -> str:
     def count_of(text: str, characters: str) -> str:
         return f"(length({text}) - length(translate({text}, {sql_text(characters)}, '')))"
 
-    fails = f"""(NOT regexp_matches(l, {sql_text(quality.SENTENCE_END)})
+    fails = f"""((NOT regexp_matches(l, {sql_text(quality.PROSE_END)})
+            AND (length(trim(l, {spaces})) < {quality.PROSE_CHARS} OR NOT regexp_matches(l, {sql_text(quality.SENTENCE_MARK)})))
         OR ({count_of('l', quality.SEPARATORS)} >= 2 AND {count_of('l', quality.SEPARATORS)} * 4 >= len(regexp_extract_all(l, {word})))
         OR {count_of('l', quality.SYMBOLS)} * 10 > length(l)
         OR (length(l) >= 20 AND {count_of('l', quality.UPPER)} * 10 > length(l) * 6)
