@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import glob as globs
-import os
-
 from pyspark.sql import functions as F
 
 from millrace.functions import jsonrow
@@ -18,21 +15,27 @@ from millrace.sources import files as fs
 from millrace.sources import jsonl as src
 from millrace.sources import units as un
 
-# Keeps every file small enough to be read as one text.
-FILE_ROWS = 20_000
+# Lines of one file: small enough to be read as one text.
+FILE_ROWS = 400
+BUCKET = f"CAST(floor((line_no - 1) / {FILE_ROWS}) AS BIGINT)"
 
 
 def written_lines(spark, folder):
-    """The dataset lines as a folder of part files."""
+    """The dataset lines as files of ``FILE_ROWS`` lines in document order, each in a folder of its bucket."""
     path = f"{scratch_path(spark, 'lines')}.jsonl"
-    fx.lines(spark, folder).select("raw").write.option("maxRecordsPerFile", FILE_ROWS).text(path)
+    rows = fx.lines(spark, folder).selectExpr(f"{BUCKET} AS bucket", "line_no", "raw")
+    rows.repartition("bucket").sortWithinPartitions("bucket", "line_no").select("bucket", "raw").write.partitionBy("bucket").text(path)
     return path
 
 
+def bucket_of(path):
+    return F.regexp_extract(path, "/bucket=([0-9]+)/", 1).cast("long").alias("bucket")
+
+
 def scanned(spark, folder):
+    """Every line under its number in its file; blank lines count but are left out."""
     rows = src.read_jsonl(spark, written_lines(spark, folder))
-    # a line's number counts the blank lines before it, so it is at most the file's line count
-    return rows.select("raw", (F.col("line_no") > 0).alias("numbered"))
+    return rows.select(bucket_of("source"), "line_no", "raw")
 
 
 def json_documents(spark, folder):
@@ -97,26 +100,32 @@ LINE_UNITS = (
 )
 
 
+def unit_digest(path, unit):
+    return [bucket_of(path), F.length(unit).cast("long").alias("n_chars"), F.md5(F.encode(unit, "UTF-8")).alias("digest")]
+
+
 def whole_files(spark, folder):
     units = fs.units_from_file(spark, written_lines(spark, folder))
-    return units.agg(F.sum(F.length("unit")).alias("n_chars"))
+    return units.select(*unit_digest("source", "unit"))
 
 
 def folder_files(spark, folder):
     path = written_lines(spark, folder).removeprefix("file:")
     units = fs.units_from_dir(spark, path, "**/part-*.txt")
-    return units.agg(F.sum(F.length("unit")).alias("n_chars"))
+    return units.select(*unit_digest("path", "unit"))
 
 
 def listed_paths(spark, folder):
+    """The files of every second bucket, read by the table of their paths."""
     path = written_lines(spark, folder).removeprefix("file:")
-    found = fs.read_paths(spark, sorted(globs.glob(os.path.join(globs.escape(path), "part-*.txt"))))
-    return found.agg(F.sum(F.length("content")).alias("n_bytes"))
+    files = fs.walk_files(spark, path).filter(F.col("path").rlike("/bucket=[0-9]*[02468]/part-[^/]*[.]txt$"))
+    found = fs.read_paths(spark, files)
+    return found.select(bucket_of("path"), F.length("content").cast("long").alias("n_bytes"), F.md5("content").alias("digest"))
 
 
 def listing(spark, folder):
     found = fs.list_files(spark, written_lines(spark, folder), "*.txt")
-    return found.agg(F.sum("length").alias("n_bytes"), F.min(F.col("mtime").isNotNull()).alias("timed"))
+    return found.select(bucket_of("path"), F.col("length").alias("n_bytes"), F.col("mtime").isNotNull().alias("timed"))
 
 
 # A listing of logs: one per document, seven hours apart, two of them at the same time.
@@ -136,8 +145,10 @@ LOGS = (
     "SELECT string_split(path, '/')[-1] AS name, CASE WHEN length < 1024 THEN CAST(length AS VARCHAR) || ' B' "
     "ELSE printf('%.1f KB', length / 1024) END AS size, strftime(mtime, '%Y-%m-%d %H:%M') AS created FROM logs ORDER BY mtime DESC, path"
 )
-LINE_CHARS = f"WITH {fx.LINES} SELECT sum(length(raw) + 1)::BIGINT AS n_chars FROM lines"
-LINE_BYTES = f"WITH {fx.LINES} SELECT sum(strlen(raw) + 1)::BIGINT AS n_bytes"
+FILES = (
+    f"WITH {fx.LINES}, files AS (SELECT {BUCKET} AS bucket, string_agg(raw || chr(10), '' ORDER BY line_no) AS text FROM lines GROUP BY ALL) "
+)
+FILE_UNITS = f"{FILES} SELECT bucket, length(text) AS n_chars, md5(text) AS digest FROM files"
 
 
 def conversations(spark, folder):
@@ -193,7 +204,8 @@ def training_table(spark, folder):
 
 QUERIES = {
     "jsonl_scan": Query(
-        scanned, f"WITH {fx.CLASSIFIED} SELECT raw, true AS numbered FROM stripped WHERE raw <> ''"
+        scanned,
+        f"WITH {fx.LINES} SELECT {BUCKET} AS bucket, (line_no - 1) % {FILE_ROWS} + 1 AS line_no, raw FROM lines WHERE trim(raw) <> ''",
     ),
     "json_array_units": Query(lambda spark, folder: un.units_from_json(json_documents(spark, folder)), JSON_UNITS),
     "json_array_units_compact": Query(
@@ -201,10 +213,12 @@ QUERIES = {
     ),
     "json_array_files": Query(array_files, ARRAY_FILES),
     "jsonl_units": Query(line_units, LINE_UNITS),
-    "file_units": Query(whole_files, LINE_CHARS),
-    "dir_units": Query(folder_files, LINE_CHARS),
-    "path_list_source": Query(listed_paths, f"{LINE_BYTES} FROM lines"),
-    "file_listing": Query(listing, f"{LINE_BYTES}, true AS timed FROM lines"),
+    "file_units": Query(whole_files, FILE_UNITS),
+    "dir_units": Query(folder_files, FILE_UNITS),
+    "path_list_source": Query(
+        listed_paths, f"{FILES} SELECT bucket, strlen(text) AS n_bytes, md5(text) AS digest FROM files WHERE bucket % 2 = 0"
+    ),
+    "file_listing": Query(listing, f"{FILES} SELECT bucket, strlen(text) AS n_bytes, true AS timed FROM files"),
     "log_listing": Query(logs, LOGS),
     "resume_scan": Query(
         lambda spark, folder: src.count_existing(spark, written_lines(spark, folder)),

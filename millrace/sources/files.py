@@ -1,19 +1,31 @@
-"""File listings, whole files, and a source that reads exactly the files it is told."""
+"""File listings, whole files, and reads of exactly the files that a table names.
+
+No list of files passes through the driver: folders are listed by tasks, level by level, and
+files are opened by the tasks that give their rows.
+"""
 
 from __future__ import annotations
 
 import glob as globs
-import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import batched
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from millrace.functions.text import plain_text
+from millrace.session import settle
 
 EVERY_FILE = "**/*"
+#: Bytes of the files that one task reads, on average.
+TASK_BYTES = 64 << 20
+#: Bytes of small files that go in one batch of rows.
+BATCH_BYTES = 8 << 20
+BATCH_ROWS = 10_000
+FOLDERS_PER_TASK = 64
+AUTHORITY = "^[^:/]*:(//[^/]*)?"
 
 
 def list_files(spark: SparkSession, path: str, name_glob: str | None = None) -> DataFrame:
@@ -24,6 +36,17 @@ def list_files(spark: SparkSession, path: str, name_glob: str | None = None) ->
     return reader.load(path).select("path", "length", F.col("modificationTime").alias("mtime"))
 
 
+def has_scheme(path: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) is not None
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path on any storage is a folder, which lists other paths than its own."""
+    below = list_files(spark, path).select("path").limit(2).collect()
+    own = re.sub(AUTHORITY, "", path.rstrip("/"))
+    return [re.sub(AUTHORITY, "", row.path) for row in below] != [own]
+
+
 def listing_bounds(files: DataFrame, split_bytes: int = 4 << 20) -> int:
     """At most how many splits Spark cuts these files into (its open cost is the least split size)."""
     row = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()
@@ -46,76 +69,82 @@ def glob_regex(pattern: str) -> str:
 def units_from_dir(spark: SparkSession, path: str, glob: str = "", hidden: bool = True) -> DataFrame:
     """Each matching file below ``path`` as one unit of plain text: ``(source, path, unit)``.
 
-    Spark's file sources leave out names that start with ``.`` or ``_``; with
-    ``hidden`` the files are listed here and read by the ``paths`` source, which
-    leaves out none. Order rows by path components (``order_by_path``).
+    Spark's file sources leave out names that start with ``.`` or ``_``; with ``hidden`` the
+    folders are listed by ``walk_files``, which leaves out none and needs storage that all
+    executors mount. Without, ``path`` may be on any storage that Spark reads. Order rows by
+    path components (``order_by_path``).
     """
     if hidden:
-        matches = re.compile(glob_regex(glob)).match
-        found = sorted(p for p in _walk(path) if matches(p))
-        if not found:
-            raise ValueError(f"no file below {path} matches {glob or EVERY_FILE}")
-        rows = read_paths(spark, [os.path.join(path, p) for p in found])
+        root = os.path.join(path, "")
+        found = walk_files(spark, path).filter(F.substr("path", F.lit(len(root) + 1)).rlike(glob_regex(glob)))
+        rows = read_paths(spark, found)
     else:
         root = path.rstrip("/") + "/"
         below = F.substr("path", F.instr("path", root) + len(root))
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        rows = files.filter(below.rlike(glob_regex(glob)))
-        if rows.select("path").isEmpty():
-            raise ValueError(f"no file below {path} matches {glob or EVERY_FILE}")
+        found = rows = files.filter(below.rlike(glob_regex(glob)))
+    if found.select("path").isEmpty():
+        raise ValueError(f"no file below {path} matches {glob or EVERY_FILE}")
     return rows.select(F.lit(path).alias("source"), "path", plain_text(F.col("content")).alias("unit"))
 
 
-def _walk(root: str) -> Iterator[str]:
-    for folder, _, files in os.walk(root):
-        for file in files:
-            yield os.path.relpath(os.path.join(folder, file), root).replace(os.sep, "/")
-
-
-class PathGroup(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
+def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The entries of each folder, a bounded number at a time; links to folders are not followed."""
+    for frame in frames:
+        for folder in frame.path:
+            with os.scandir(folder) as entries:
+                for some in batched(entries, BATCH_ROWS):
+                    rows = [(e.path, e.stat().st_size if e.is_file() else None) for e in some if e.is_file() or e.is_dir(follow_symlinks=False)]
+                    yield pd.DataFrame(rows, columns=["path", "length"]).astype({"length": "Int64"})
 
-class PathsReader(DataSourceReader):
-    """Reads the files named in a JSON list, a bounded number of bytes per task."""
 
-    def __init__(self, options):
-        self.paths = json.loads(options["list"])
-        self.group_bytes = int(options.get("groupBytes", 64 << 20))
+def walk_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, length)`` of all files below a mounted folder, hidden ones too.
 
-    def partitions(self):
-        groups, group, size = [], [], 0
-        for path in self.paths:
-            length = os.path.getsize(path)
-            if group and size + length > self.group_bytes:
-                groups.append(PathGroup(group))
-                group, size = [], 0
-            group.append(path)
-            size += length
-        return [*groups, PathGroup(group)]
-
-    def read(self, partition):
-        for path in partition.paths:
+    One job for each level of folders; a level is written before the next one, and the driver
+    learns only how many folders it has. An empty folder gives no row; one that a task cannot
+    read is an error, so that no file is left out in silence.
+    """
+    level, n, found = spark.createDataFrame([(path,)], "path string"), 1, None
+    while n:
+        spread = level.repartition(-(-n // FOLDERS_PER_TASK))
+        listed = settle(spread.mapInPandas(_list_folders, "path string, length long"), "listing")
+        level = listed.filter("length IS NULL").select("path")
+        files = listed.filter("length IS NOT NULL")
+        found = files if found is None else found.unionByName(files)
+        n = level.count()
+    return found
+
+
+def _add_lengths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame({"path": frame.path, "length": frame.path.map(os.path.getsize).astype("int64")})
+
+
+def _open_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole files, a few small ones or a single large one to a batch."""
+    rows, size = [], 0
+    for frame in frames:
+        for path in frame.path:
             with open(path, "rb") as file:
-                yield path, file.read()
-
-
-class PathsSource(DataSource):
-    """``format("paths").option("list", json)``: one row per listed file, hidden ones too."""
+                rows.append((path, file.read()))
+            size += len(rows[-1][1])
+            if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                yield pd.DataFrame(rows, columns=["path", "content"])
+                rows, size = [], 0
+    yield pd.DataFrame(rows, columns=["path", "content"])
 
-    @classmethod
-    def name(cls):
-        return "paths"
 
-    def schema(self):
-        return "path string, content binary"
+def read_paths(spark: SparkSession, files: DataFrame | list[str], task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``(path, content)`` of exactly these files, hidden ones too, on storage that all executors mount.
 
-    def reader(self, schema):
-        return PathsReader(self.options)
-
-
-def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(path, content)`` of exactly these files, on storage that all executors mount."""
-    spark.dataSource.register(PathsSource)
-    return spark.read.format("paths").option("list", json.dumps(paths)).load()
+    ``files`` has a column ``path``, and ``length`` if it is known. A path that occurs twice is read
+    twice; one that names no file is an error; no path gives no row.
+    """
+    if isinstance(files, list):
+        files = spark.createDataFrame([(p,) for p in files], "path string")
+    if "length" not in files.columns:
+        files = files.select("path").mapInPandas(_add_lengths, "path string, length long")
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("size")).first()
+    tasks = max(1, min(row["n"], row["size"] // task_bytes + 1))
+    return files.select("path").repartition(tasks).mapInPandas(_open_files, "path string, content binary")

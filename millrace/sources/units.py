@@ -14,7 +14,7 @@ from millrace.functions.text import plain_text, split_lines, strip, truncate
 from millrace.operators.configs import MAX_SOURCE_CHARS
 from millrace.session import settle
 from millrace.sources.arrays import array_units
-from millrace.sources.files import read_paths, units_from_dir, units_from_file
+from millrace.sources.files import has_scheme, is_folder, read_paths, units_from_dir, units_from_file
 from millrace.sources.jsonl import read_lines
 
 
@@ -92,17 +92,20 @@ def load_units(spark: SparkSession, source: str, glob: str = "", hidden: bool =
 
     A ``.json`` file gives its array elements, a ``.jsonl`` file its lines, any other
     file its text, a folder each file that matches ``glob``. ``unit_idx`` is a text
-    that sorts in unit order. Folders are looked for on mounted storage.
+    that sorts in unit order. A path without a scheme is looked for on mounted storage;
+    one with a scheme (``hdfs://``, ``s3a://``, ``file:/``) is read by Spark alone, which
+    leaves out names that start with ``.`` or ``_``.
     """
-    path = os.path.expanduser(source)
-    if not os.path.exists(path):
+    remote = has_scheme(source)
+    path = source if remote else os.path.expanduser(source)
+    if not (remote or os.path.exists(path)):
         raise FileNotFoundError(f"no source at {source}")
     kind = os.path.splitext(path)[1].lower()
     # Spark's own file sources see no names that start like this
-    unseen = os.path.basename(path)[:1] in (".", "_")
+    unseen = not remote and os.path.basename(path)[:1] in (".", "_")
     text = read_paths(spark, [path]).select(plain_text(F.col("content")).alias("text")) if unseen else None
-    if os.path.isdir(path):
-        units = units_from_dir(spark, path, glob, hidden)
+    if is_folder(spark, path) if remote else os.path.isdir(path):
+        units = units_from_dir(spark, path, glob, hidden and not remote)
         # components sort before longer names that start like them
         units = units.withColumn("unit_idx", F.replace("path", F.lit("/"), F.lit("\x01")))
     elif kind == ".json":

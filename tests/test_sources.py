@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +54,56 @@ def test_folder_without_a_match_is_an_error(spark, tree):
             fs.units_from_dir(spark, str(tree), "*.md", hidden=hidden)
 
 
+def test_walk_lists_every_file(spark, tree, tmp_path):
+    """Hidden, empty and linked files and deep folders; links to folders and broken links are no files."""
+    deep = tree.joinpath(*[f"level{i}" for i in range(6)])
+    deep.mkdir(parents=True)
+    (deep / "bottom.txt").write_bytes(b"")
+    (tree / "empty").mkdir()
+    os.symlink(tree / "a.txt", tree / "link.txt")
+    os.symlink(tree / "sub", tree / "loop")
+    os.symlink(tree / "nowhere", tree / "broken")
+    want = {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(tree) for f in files if f != "broken"}
+    assert dict(fs.walk_files(spark, str(tree)).collect()) == want
+    assert "link.txt" in str(want) and "/loop/" not in str(want)
+    (tmp_path / "bare").mkdir()
+    assert fs.walk_files(spark, str(tmp_path / "bare")).collect() == []
+    with pytest.raises(Exception):
+        fs.walk_files(spark, str(tmp_path / "missing")).collect()
+
+
+def test_wide_folders_come_in_batches(spark, tmp_path, monkeypatch):
+    for i in range(90):
+        (tmp_path / f"f{i % 9}" / "g").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"f{i % 9}" / f"{i}.txt").write_text("x" * i)
+    monkeypatch.setattr(fs, "FOLDERS_PER_TASK", 2)
+    found = dict(fs.walk_files(spark, str(tmp_path)).collect())
+    assert {p.rsplit("/", 1)[1]: n for p, n in found.items()} == {f"{i}.txt": i for i in range(90)}
+
+
+def test_listed_paths_are_read_as_told(spark, tree):
+    a, hidden = str(tree / "a.txt"), str(tree / ".hidden.txt")
+    read = lambda files, **bytes_of: sorted((r.path, bytes(r.content)) for r in fs.read_paths(spark, files, **bytes_of).collect())
+    want = sorted([(a, (tree / "a.txt").read_bytes()), (hidden, b"hidden"), (hidden, b"hidden")])
+    assert read([a, hidden, hidden]) == want
+    table = spark.createDataFrame([(1, a), (2, hidden), (3, hidden)], "extra int, path string")
+    assert read(table) == read(table, task_bytes=1) == want
+    assert fs.read_paths(spark, table, task_bytes=1).rdd.getNumPartitions() == 3
+    assert read([]) == []
+    with pytest.raises(Exception):
+        read([a, str(tree / "missing.txt")])
+
+
+def test_units_by_uri_are_those_of_mounted_storage(spark, tree):
+    (tree / "lines.jsonl").write_text('{"a":1}\n\n[2]\n')
+    for name in ("a.txt", "data.json", "lines.jsonl", "sub", "sub/deep"):
+        for uri in (f"file:{tree}/{name}", f"file://{tree}/{name}"):
+            here, there = [sorted((r.unit_idx.split("src")[-1], r.unit) for r in un.load_units(spark, p).collect()) for p in (f"{tree}/{name}", uri)]
+            assert here and here == there
+    with pytest.raises(Exception):
+        un.load_units(spark, f"file:{tree}/missing.txt").collect()
+
+
 def test_path_order_is_by_component(spark):
     df = spark.createDataFrame([("a-b",), ("a/b",), ("a",), ("a/c/d",)], "path string")
     assert [r.path for r in iv.order_by_path(df).collect()] == ["a", "a/b", "a/c/d", "a-b"]
