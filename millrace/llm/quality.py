@@ -29,7 +29,8 @@ SEPARATORS = "|>»·•"
 #: The end marks of many scripts, perhaps followed by closing quotes and brackets, or a closing quote.
 END_MARKS = ".!?…。！？｡．؟۔।॥։።፧។။‼⁇⁈⁉‽"
 CLOSERS = r"""\)\]\}"'”’“»«›‹」』）】》〉］｝*_"""
-PROSE_END = rf"""(?:[{END_MARKS}][{CLOSERS}]*|["”»])[\x20\x09-\x0D]*\z"""
+#: Sought from the end, where most lines have one.
+PROSE_END = rf"""(?s)\A.*(?:[{END_MARKS}][{CLOSERS}]*|["”»])[\x20\x09-\x0D]*\z"""
 #: An end mark within a passage: before white space, or one that is written without a blank after it.
 SENTENCE_MARK = rf"""[{END_MARKS}][{CLOSERS}]*[\x20\x09-\x0D]|[。！？｡।॥።។။]"""
 #: Characters of the shortest line that may be wrapped, and of the shortest line or passage that may lack its final mark.
