@@ -37,26 +37,33 @@ def parsed_answers(spark, folder):
     return rs.parse_responses(answers(spark, folder), "sft").drop("value")
 
 
-def with_ids(spark, folder):
-    return plan(spark, folder).withColumn("request_id", rq.request_id("unit_idx", "prompt_idx", "batch_idx"))
+def requests_with_texts(spark, folder):
+    """The plan with each unit's whole text and the request's id."""
+    asked = rq.unit_prompts(fx.spread(units(spark, folder)), fx.PROMPTS).drop("prompt")
+    planned = rq.request_plan(asked, F.lit(fx.TARGET), F.lit(fx.BATCH))
+    return planned.withColumn("request_id", rq.request_id("unit_idx", "prompt_idx", "batch_idx"))
 
 
 ID_SQL = "CAST(unit_idx AS VARCHAR) || '/' || CAST(prompt_idx AS VARCHAR) || '/' || CAST(batch_idx AS VARCHAR)"
+# An answer: one line, with the unit's whole text as prompt and completion.
+WHOLE_ANSWER = fx.shapes("t")[0]
+PLANNED_TEXTS = f"{fx.PLAN}, texts AS (SELECT plan.*, text AS unit, {fx.DUCK_JSON_TEXT.format('text')} AS t FROM plan JOIN documents ON unit_idx = doc_id)"
 
 
 def attributed(spark, folder):
-    ids = with_ids(spark, folder)
-    came = answers(spark, folder).select(
-        rq.request_id("unit_idx", "prompt_idx", "batch_idx").alias("request_id"), "response"
-    )
-    return rq.attribute_responses(came, ids).select("request_id", "ask", "planned_before", "response")
+    """Answers with whole texts, told apart by the request's id alone."""
+    asked = requests_with_texts(spark, folder)
+    came = asked.selectExpr("request_id", f"{fx.SPARK_JSON_TEXT.format('unit')} AS t").selectExpr("request_id", f"{WHOLE_ANSWER} AS response")
+    found = rq.attribute_responses(came, asked.drop("unit"))
+    return found.select("request_id", "ask", "planned_before", F.md5("response").alias("digest"))
 
 
 def remaining(spark, folder):
     done = table(spark, folder, "labels").select(
         F.concat(F.col("doc_id").cast("string"), F.lit("/0/0")).alias("request_id")
     )
-    return rq.remaining_requests(with_ids(spark, folder), done).select("request_id", "ask")
+    found = rq.remaining_requests(requests_with_texts(spark, folder), done)
+    return found.select("request_id", "ask", F.md5("unit").alias("digest"))
 
 
 def messages(spark, folder):
@@ -181,12 +188,11 @@ QUERIES = {
     "request_plan": Query(plan, f"WITH {fx.PLAN} SELECT * FROM plan"),
     "attribute_response": Query(
         attributed,
-        f"WITH {fx.PLAN}, answers AS ({fx.ANSWERS}) SELECT {ID_SQL} AS request_id, ask, planned_before, response FROM plan "
-        "JOIN answers USING (source, unit_idx, prompt_idx, batch_idx)",
+        f"WITH {PLANNED_TEXTS} SELECT {ID_SQL} AS request_id, ask, planned_before, md5({WHOLE_ANSWER}) AS digest FROM texts",
     ),
     "remaining_requests": Query(
         remaining,
-        f"WITH {fx.PLAN}, named AS (SELECT {ID_SQL} AS request_id, ask FROM plan) SELECT request_id, ask FROM named "
+        f"WITH {PLANNED_TEXTS}, named AS (SELECT {ID_SQL} AS request_id, ask, md5(unit) AS digest FROM texts) SELECT request_id, ask, digest FROM named "
         "WHERE request_id NOT IN (SELECT CAST(doc_id AS VARCHAR) || '/0/0' FROM labels)",
     ),
     "config_unit_join": Query(
