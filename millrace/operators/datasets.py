@@ -88,14 +88,8 @@ def validate_datasets(classified: DataFrame, dataset: str = "source", line: str
     return verdicts(status_positions(classified, dataset, line), dataset)
 
 
-def load_dataset(classified: DataFrame, dataset: str = "source", line: str = "line_no", strict: bool = True, rows_per_task: int = ROWS_PER_TASK):
-    """``(rows, verdicts)``: the recognised lines of valid datasets, and a verdict per dataset.
-
-    With ``strict`` an invalid dataset is an error. Otherwise its rows are left out, and a line that
-    holds a value but no object is skipped and counted, like one without a known task.
-    The lines are read twice, for the verdicts, which are written, and for the rows:
-    write them first (``settle``) when they are costly to compute.
-    """
+def _judged(classified: DataFrame, dataset: str, line: str, strict: bool) -> DataFrame:
+    """The written verdicts; an error for an invalid dataset if ``strict``."""
     if not strict:
         skipped = F.when(F.col("status") == jsonrow.NON_OBJECT, jsonrow.UNRECOGNISED).otherwise(F.col("status"))
         classified = classified.withColumn("status", skipped)
@@ -105,10 +99,37 @@ def load_dataset(classified: DataFrame, dataset: str = "source", line: str = "li
         if worst:
             at = f" at line {worst.error_line}" if worst.error_line is not None else ""
             raise ValueError(f"dataset {worst[dataset]} is invalid: {worst.error}{at}")
-    good = found.filter("ok").select(dataset)
-    rows = classified.filter(recognised())
-    sizes = found.select(dataset, F.col("count").alias("n"))
-    return spread_join(rows, good, [dataset], [line], rows_per_task, sizes).select(*classified.columns), found
+    return found
+
+
+def _of_valid(rows: DataFrame, found: DataFrame, dataset: str, line: str, rows_per_task: int) -> DataFrame:
+    sizes = found.filter("ok").select(dataset, (F.col("count") + F.col("skipped")).alias("n"))
+    return spread_join(rows, sizes.select(dataset), [dataset], [line], rows_per_task, sizes).select(*rows.columns)
+
+
+def load_dataset(classified: DataFrame, dataset: str = "source", line: str = "line_no", strict: bool = True, rows_per_task: int = ROWS_PER_TASK):
+    """``(rows, verdicts)``: the recognised lines of valid datasets, and a verdict per dataset.
+
+    With ``strict`` an invalid dataset is an error. Otherwise its rows are left out, and a line that
+    holds a value but no object is skipped and counted, like one without a known task.
+    The lines are read twice, for the verdicts, which are written, and for the rows:
+    write them first (``settle``) when they are costly to compute, or start from the
+    unparsed ones (``load_lines``).
+    """
+    found = _judged(classified, dataset, line, strict)
+    return _of_valid(classified.filter(recognised()), found, dataset, line, rows_per_task), found
+
+
+def load_lines(lines: DataFrame, dataset: str = "source", line: str = "line_no", strict: bool = True, rows_per_task: int = ROWS_PER_TASK):
+    """``(rows, verdicts)`` as from ``load_dataset``, out of lines that are not parsed yet.
+
+    The verdicts take one parse that keeps nothing but a status. Then the lines
+    of valid datasets are chosen, as text, and only they are parsed for their values: no VARIANT is
+    joined or shuffled, and no line of an invalid dataset is parsed again.
+    """
+    found = _judged(classify_lines(lines), dataset, line, strict)
+    kept = _of_valid(lines, found, dataset, line, rows_per_task)
+    return classify_lines(kept).filter(recognised()), found
 
 
 def dataset_summary(classified: DataFrame, *keys: str) -> DataFrame:

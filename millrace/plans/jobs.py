@@ -151,7 +151,7 @@ def synthesize_grounded(
 
 def training_text(lines: DataFrame, task: str, dataset: str = "source", strict: bool = True) -> DataFrame:
     """Dataset lines of an sft or chat dataset as training ``text``, after validation."""
-    rows, _ = ds.load_dataset(ds.classify_lines(lines), dataset, strict=strict)
+    rows, _ = ds.load_lines(lines, dataset, strict=strict)
     table = ds.project_task(rows, task)
     if task == jsonrow.SFT:
         return table.select(format_sft(F.col("prompt"), F.col("completion")).alias("text"))

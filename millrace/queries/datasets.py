@@ -73,7 +73,7 @@ QUERIES = {
         f"WITH {fx.CLASSIFIED}, {VERDICTS} SELECT * FROM dataset_verdicts",
     ),
     "dataset_load": Query(
-        lambda spark, folder: ds.load_dataset(classified(spark, folder), "dataset", strict=False)[0]
+        lambda spark, folder: ds.load_lines(fx.lines(spark, folder), "dataset", strict=False)[0]
         .select("dataset", "line_no", "status", "raw"),
         f"WITH {fx.CLASSIFIED}, {LENIENT} SELECT dataset, line_no, status, raw FROM classified "
         "JOIN dataset_verdicts USING (dataset) WHERE ok AND status IN ('sft', 'chat', 'dpo', 'rl')",

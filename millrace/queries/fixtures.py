@@ -70,8 +70,8 @@ def shapes(t: str) -> list[str]:
     ]
 
 
-def shape_case(t: str, number: str) -> str:
-    cases = " ".join(f"WHEN {k} THEN {shape}" for k, shape in enumerate(shapes(t)))
+def shape_case(kinds: list[str], number: str) -> str:
+    cases = " ".join(f"WHEN {k} THEN {shape}" for k, shape in enumerate(kinds))
     return f"CASE {number} {cases} END"
 
 
@@ -87,7 +87,7 @@ def line_columns() -> list[str]:
         "WHEN doc_id % 16 IN (1, 5, 6) THEN 'b' WHEN doc_id % 16 IN (2, 10, 14) THEN 'c' "
         "WHEN doc_id % 16 IN (3, 15) THEN 'd' WHEN doc_id % 16 IN (6, 7) THEN 'e' ELSE 'f' END AS dataset"
     )
-    return ["source", dataset, "doc_id + 1 AS line_no", f"{shape_case('t', 'doc_id % 16')} AS raw"]
+    return ["source", dataset, "doc_id + 1 AS line_no", f"{shape_case(shapes('t'), 'doc_id % 16')} AS raw"]
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,14 +122,13 @@ CLASSIFIED = (
 
 
 # Responses: eight lines of those kinds, the first kind moving with unit and batch.
-def spark_response(t: str, start: str, breaks: str) -> str:
-    eight = "ARRAY(" + ", ".join(quoted(shape_case(t, f"(({start}) + {i}) % 16")) for i in range(8)) + ")"
+def spark_response(kinds: list[str], start: str, breaks: str) -> str:
+    eight = "ARRAY(" + ", ".join(quoted(shape_case(kinds, f"(({start}) + {i}) % 16")) for i in range(8)) + ")"
     return f"array_join({eight}, CASE WHEN ({breaks}) % 7 = 0 THEN '\\r\\n' ELSE '\\n' END)"
 
 
-def duck_response(t: str, start: str, breaks: str) -> str:
-    kinds = f"list_value({', '.join(shapes(t))})"
-    eight = f"list_transform(range(0, 8), lambda i: ({kinds})[(({start}) + i) % 16 + 1])"
+def duck_response(kinds: list[str], start: str, breaks: str) -> str:
+    eight = f"list_transform(range(0, 8), lambda i: (list_value({', '.join(kinds)}))[(({start}) + i) % 16 + 1])"
     joined = f"array_to_string({eight}, chr(10))"
     return f"CASE WHEN ({breaks}) % 7 = 0 THEN replace({joined}, chr(10), chr(13) || chr(10)) ELSE {joined} END"
 
@@ -139,7 +138,7 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
     t = SPARK_JSON_TEXT.format("text")
     documents = spread(table(spark, folder, "documents").select("doc_id", "source", "text"))
     return documents.selectExpr("source", "doc_id AS unit_idx", f"{t} AS t").selectExpr(
-        "source", "unit_idx", f"{spark_response('t', 'unit_idx', 'unit_idx')} AS response"
+        "source", "unit_idx", f"{spark_response(shapes('t'), 'unit_idx', 'unit_idx')} AS response"
     )
 
 
@@ -162,7 +161,7 @@ def parsed_sql(expected: str, keys: str) -> str:
 
 
 RESPONSES = (
-    "SELECT source, unit_idx, " + duck_response("t", "unit_idx", "unit_idx") + " AS response FROM "
+    "SELECT source, unit_idx, " + duck_response(shapes("t"), "unit_idx", "unit_idx") + " AS response FROM "
     f"(SELECT source, doc_id AS unit_idx, {DUCK_JSON_TEXT.format('text')} AS t FROM documents)"
 )
 CANDIDATES = candidate_sql(RESPONSES, "source, unit_idx")
@@ -178,18 +177,25 @@ PLAN = (
     f"{PAIRS}, plan AS (SELECT source, unit_idx, prompt_idx, b AS batch_idx, least({BATCH}, {TARGET} - b * {BATCH}) AS ask, "
     f"b * {BATCH} AS planned_before FROM pairs, (SELECT unnest(range(0, CAST(ceil({TARGET} / {BATCH}) AS BIGINT))) AS b))"
 )
-# Answers to the plan: short lines, named after the unit.
-SHORT_TEXT = """'"u' || CAST(unit_idx AS {0}) || '"'"""
+# Answers to the plan: the lines that are rows hold the unit's whole text, the others its name.
+ROW_KINDS = (0, 11, 14, 15)
+UNIT_NAME = """'"u' || CAST(unit_idx AS {0}) || '"'"""
+
+
+def answer_shapes(string: str) -> list[str]:
+    """The sixteen kinds of lines, with the JSON text ``t`` in those that are rows."""
+    named = shapes(UNIT_NAME.format(string))
+    return [whole if k in ROW_KINDS else named[k] for k, whole in enumerate(shapes("t"))]
 
 
 def answer_columns() -> str:
-    return spark_response(SHORT_TEXT.format("STRING"), "unit_idx + prompt_idx + batch_idx", "unit_idx + batch_idx")
+    return spark_response(answer_shapes("STRING"), "unit_idx + prompt_idx + batch_idx", "unit_idx + batch_idx")
 
 
 ANSWERS = (
     "SELECT source, unit_idx, prompt_idx, batch_idx, "
-    + duck_response(SHORT_TEXT.format("VARCHAR"), "unit_idx + prompt_idx + batch_idx", "unit_idx + batch_idx")
-    + " AS response FROM plan"
+    + duck_response(answer_shapes("VARCHAR"), "unit_idx + prompt_idx + batch_idx", "unit_idx + batch_idx")
+    + f" AS response FROM (SELECT plan.*, {DUCK_JSON_TEXT.format(TEXT)} AS t FROM plan JOIN documents ON unit_idx = doc_id)"
 )
 ANSWER_KEYS = "source, unit_idx, prompt_idx, batch_idx"
 # Answers without any line: all of some units, one batch of others.

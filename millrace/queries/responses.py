@@ -30,7 +30,9 @@ def plan(spark, folder):
 
 
 def answers(spark, folder):
-    return plan(spark, folder).withColumn("response", F.expr(fx.answer_columns())).drop("ask", "planned_before")
+    """An answer to each request of the plan, with the unit's whole text in its rows."""
+    asked = requests_with_texts(spark, folder).withColumn("t", F.expr(fx.SPARK_JSON_TEXT.format("unit")))
+    return asked.select(*KEYS, "batch_idx", F.expr(fx.answer_columns()).alias("response"))
 
 
 def parsed_answers(spark, folder):
@@ -129,7 +131,7 @@ def limited(spark, folder):
     # a source's rows in unit order, so a unit's place is the batch
     rows = valid.withColumn("place", (F.col("unit_idx") * 8 + F.col("prompt_idx") * 4 + F.col("batch_idx")))
     return rs.cap_to_target(rows, ["source"], F.lit(100), batch="place").select(
-        "source", "unit_idx", "prompt_idx", "batch_idx", "line_idx"
+        "source", "unit_idx", "prompt_idx", "batch_idx", "line_idx", "raw"
     )
 
 
@@ -235,7 +237,7 @@ QUERIES = {
     "limit_target": Query(
         limited,
         f"WITH {fx.PARSED_ANSWERS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY unit_idx, prompt_idx, "
-        f"batch_idx, line_idx) AS n FROM parsed WHERE status = 'valid') SELECT {fx.ANSWER_KEYS}, line_idx FROM ranked WHERE n <= 100",
+        f"batch_idx, line_idx) AS n FROM parsed WHERE status = 'valid') SELECT {fx.ANSWER_KEYS}, line_idx, raw FROM ranked WHERE n <= 100",
     ),
     "progress_running": Query(
         running,

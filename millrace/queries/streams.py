@@ -27,7 +27,7 @@ def table_stream(spark, folder, name):
 def arriving(spark, folder):
     t = fx.SPARK_JSON_TEXT.format("text")
     rows = table_stream(spark, folder, "documents").selectExpr("source", "doc_id AS unit_idx", f"{t} AS t")
-    return rows.selectExpr("source", "unit_idx", f"{fx.spark_response('t', 'unit_idx', 'unit_idx')} AS response")
+    return rows.selectExpr("source", "unit_idx", f"{fx.spark_response(fx.shapes('t'), 'unit_idx', 'unit_idx')} AS response")
 
 
 def parsed_stream(spark, folder):

@@ -150,6 +150,28 @@ def test_lenient_load_skips_values_that_are_no_object(spark):
         ds.load_dataset(df)
 
 
+def test_lines_are_loaded_as_classified_ones_are(spark):
+    lines = as_lines(spark).unionByName(spark.createDataFrame([("spaced", 1, f"  {SFT}\t"), ("spaced", 2, " ")], "source string, line_no long, raw string"))
+    old, old_verdicts = ds.load_dataset(ds.classify_lines(lines), strict=False)
+    for size in (1, 2_000_000):
+        new, verdicts = ds.load_lines(lines, strict=False, rows_per_task=size)
+        columns = ["source", "line_no", "status", "raw"]
+        assert new.columns == old.columns
+        assert sorted(map(tuple, new.select(columns).collect())) == sorted(map(tuple, old.select(columns).collect())) != []
+        assert sorted(map(tuple, verdicts.collect()), key=str) == sorted(map(tuple, old_verdicts.collect()), key=str)
+    rows = ds.project_task(ds.load_lines(lines, strict=False)[0].filter("source = 'spaced'"), "sft")
+    assert rows.columns == ["prompt", "completion"] and rows.count() == 1
+    with pytest.raises(ValueError, match="is invalid"):
+        ds.load_lines(lines)
+    assert ds.load_lines(lines.limit(0))[0].count() == 0
+
+
+def test_lines_are_chosen_before_they_are_parsed(spark):
+    rows, _ = ds.load_lines(as_lines(spark), strict=False)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json") < plan.index("Join")  # parents are printed first: the parse stands above the join
+
+
 def test_planned_requests_without_lines_count(spark):
     rows = spark.createDataFrame([("c", 1, 0, "valid"), ("c", 1, 0, "bad_json")], "config string, unit_idx int, batch_idx int, status string")
     plan = spark.createDataFrame(
