@@ -66,7 +66,8 @@ def array_files(spark, folder):
     ends = rows.groupBy("source").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     line = F.concat(
         F.when(F.col("doc_id") == F.col("first"), "[").otherwise(", "), F.col("item"), F.when(F.col("doc_id") == F.col("last"), " ]\n").otherwise(""))
-    lines = rows.join(ends, "source").select("source", "doc_id", line.alias("value"))
+    # one row for each file; a join by hash would stand in for the repartition, and its parts may be read apart
+    lines = rows.join(F.broadcast(ends), "source").select("source", "doc_id", line.alias("value"))
     lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
     units = un.units_from_json_files(spark, path)
     return units.withColumn("source", F.regexp_extract("source", "source=([^/]*)/", 1))
