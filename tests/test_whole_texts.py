@@ -2,6 +2,11 @@
 
 import json
 
+import pandas as pd
+from pyspark.sql import functions as F
+
+from millrace.plans import generate as gen
+from millrace.plans.ledger import CALL_CHARS, portions
 from millrace.queries import files
 
 
@@ -21,3 +26,16 @@ def test_one_array_file_for_each_source_of_a_table_of_many_files(spark, tmp_path
         own = [(i, text) for i, text, s in rows if s == source]
         assert [(got[source, k]["id"], got[source, k]["text"]) for k in range(len(own))] == own
     assert len(got) == len(rows)
+
+
+def test_a_call_gets_no_more_text_than_it_may(spark):
+    plan = spark.range(40, numPartitions=1).withColumn("unit", F.repeat(F.lit("é"), F.lit(CALL_CHARS // 8)))
+
+    def sizes():
+        return lambda requests: [f"{len(requests)}"] * len(requests)
+
+    got = gen.generate(plan, sizes, keep=["id"]).collect()
+    assert sorted(r.id for r in got) == list(range(40)) and max(int(r.response) for r in got) == 8
+    batch = pd.DataFrame({"n": range(5), "t": ["x" * 4, None, "x" * 9, "x", ""]})
+    assert [list(p.n) for p in portions(batch, 5)] == [[0, 1], [2], [3, 4]]
+    assert [list(p.n) for p in portions(batch.iloc[:0], 5)] == []
