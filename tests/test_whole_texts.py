@@ -1,13 +1,17 @@
 """Long texts in requests, answers and array files: what is written, held and cut."""
 
 import json
+import os
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from millrace.operators.responses import VALID, first_valid, parse_responses
 from millrace.plans import generate as gen
 from millrace.plans.ledger import CALL_CHARS, portions
 from millrace.queries import files
+from millrace.session import shared_folder
 
 
 def test_one_array_file_for_each_source_of_a_table_of_many_files(spark, tmp_path):
@@ -39,3 +43,36 @@ def test_a_call_gets_no_more_text_than_it_may(spark):
     batch = pd.DataFrame({"n": range(5), "t": ["x" * 4, None, "x" * 9, "x", ""]})
     assert [list(p.n) for p in portions(batch, 5)] == [[0, 1], [2], [3, 4]]
     assert [list(p.n) for p in portions(batch.iloc[:0], 5)] == []
+
+
+def test_refill_rounds_write_what_they_keep(spark):
+    r = random.Random(5)
+    junk = "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(200_000))
+
+    def wordy():
+        return lambda requests: [f'{{"prompt":"{u}","completion":"{b}"}}\n{junk}' for u, b in zip(requests.unit_idx, requests.batch_idx)]
+
+    def used():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(shared_folder(spark).removeprefix("file:")) for f in names)
+
+    before = used()
+    pairs = spark.range(4).withColumnRenamed("id", "unit_idx").withColumn("prompt_idx", F.lit(0))
+    rows, state = gen.fill_rounds(pairs, ["unit_idx", "prompt_idx"], wordy, "sft", F.lit(2), F.lit(1), 3)
+    assert rows.count() == 8 and [(s.written, s.skipped) for s in state.collect()] == [(2, 2)] * 4
+    assert used() - before < len(junk)
+
+
+def test_first_valid_is_what_parsed_lines_give(spark):
+    good, other = '{"prompt":"a","completion":"b"}', '{"prompt":"a"}'
+    kinds = [good, other, "", "  ", "```json", "no json", "[1]", f" {good} ", f"{good}{good}", '{"messages":[]}', "'x'"]
+    r = random.Random(6)
+    texts = [r.choice(["\n", "\r\n", " "]).join(r.choice(kinds) for _ in range(r.randrange(9))) for _ in range(60)] + [None, ""]
+    df = spark.createDataFrame([(i, t, r.choice(["sft", "rl"]), r.randrange(-1, 4)) for i, t in enumerate(texts)], "i int, response string, task string, room int")
+    lines = {}
+    for row in parse_responses(df, F.col("task")).orderBy("i", "line_idx").collect():
+        lines.setdefault(row.i, []).append(row)
+    for row in first_valid(df, F.col("task"), F.col("room")).collect():
+        mine = lines.get(row.i, [])
+        valid = [(x.line_idx, x.raw) for x in mine if x.status == VALID]
+        assert (row.added, row.missed) == (len(valid), len(mine) - len(valid))
+        assert [tuple(k) for k in row.kept] == valid[: max(row.room, 0)]
