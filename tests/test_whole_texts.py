@@ -11,7 +11,7 @@ from millrace.operators.responses import VALID, first_valid, parse_responses
 from millrace.plans import generate as gen
 from millrace.plans.ledger import CALL_CHARS, portions
 from millrace.queries import files
-from millrace.session import shared_folder
+from millrace.session import PYTHON_BATCH, shared_folder
 
 
 def test_one_array_file_for_each_source_of_a_table_of_many_files(spark, tmp_path):
@@ -76,3 +76,12 @@ def test_first_valid_is_what_parsed_lines_give(spark):
         valid = [(x.line_idx, x.raw) for x in mine if x.status == VALID]
         assert (row.added, row.missed) == (len(valid), len(mine) - len(valid))
         assert [tuple(k) for k in row.kept] == valid[: max(row.room, 0)]
+
+
+def test_python_workers_get_bounded_batches(spark):
+    @F.pandas_udf("long")
+    def received(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    rows = spark.range(40, numPartitions=1).select(received(F.repeat(F.lit("x"), F.lit(1 << 20) + F.col("id").cast("int"))).alias("n"))
+    assert max(r.n for r in rows.collect()) <= 2 * PYTHON_BATCH
