@@ -194,3 +194,11 @@ def test_table_function_parses_as_the_operator(spark):
     found = spark.sql("SELECT id, p.* FROM parse_rows_input, LATERAL parse_rows(response, 'sft') p")
     want = rs.parse_responses(df, "sft").select("id", "line_idx", "raw", "status")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 20
+
+
+def test_table_function_moves_no_response(spark):
+    register_parse_rows(spark)
+    spark.range(3).selectExpr("id", "repeat('[1]\n', 5) AS response").createOrReplaceTempView("parse_rows_input")
+    found = spark.sql("SELECT id, p.line_idx, p.status FROM parse_rows_input, LATERAL parse_rows(response, 'sft') p")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and found.count() == 15
