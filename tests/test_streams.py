@@ -1,4 +1,5 @@
 import __spark_entry__ as entry
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,38 @@ def test_a_table_in_a_folder_streams_like_one_file(spark, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     queries = entry.queries()
     assert queries["stream_ingest"](spark, str(tmp_path)).count() == queries["stream_ingest"](spark, folder).count() > 0
+
+
+class Held:
+    """A value state, or the handle that gives it out."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        pass
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_chunk_without_a_count_adds_nothing_to_a_live_trace():
+    held, trace = Held(), st._LiveTrace(60_000)
+    trace.init(held)
+    first = pd.DataFrame({"seq": [2, 1], "us": [2_000_000, 0], "chunk": ["b", "a"], "tokens": [None, 3.0]})
+    then = pd.DataFrame({"seq": [3], "us": [4_000_000], "chunk": ["c"], "tokens": [4]})
+    found = [step for frame in (first, then) for step in trace.handleInputRows((7,), iter([frame]), held)]
+    assert [x for step in found for x in step["cumulative_tokens"]] == [3, 3, 7]
+    assert found[1]["tps"].tolist() == [2.0] and found[0]["tps"].isna().all() and held.value == (0, 4_000_000, 3, 7)
