@@ -1,7 +1,7 @@
 import __spark_entry__ as entry
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from millrace.operators import responses as rs
 from millrace.operators import telemetry as tm
@@ -206,3 +206,10 @@ def test_a_chunk_without_a_count_adds_nothing_to_a_live_trace():
     found = [step for frame in (first, then) for step in trace.handleInputRows((7,), iter([frame]), held)]
     assert [x for step in found for x in step["cumulative_tokens"]] == [3, 3, 7]
     assert found[1]["tps"].tolist() == [2.0] and found[0]["tps"].isna().all() and held.value == (0, 4_000_000, 3, 7)
+
+
+def test_the_cap_takes_rows_one_by_one_up_to_its_target():
+    held, cap, row = Held(), st._FirstRows(3), Row("k", "v")
+    cap.init(held)
+    found = [r.v for part in (range(2), range(2, 6)) for r in cap.handleInputRows(("a",), (row("a", i) for i in part), held)]
+    assert found == [0, 1, 2] and held.value == (3,)
