@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.arrays import mix
 from millrace.llm.graphs import components
-from millrace.llm.jaccard import groups, least_matches, like_sizes, min_hashes, seeds, survivors
+from millrace.llm.jaccard import Sets, groups, least_matches, like_sizes, min_hashes, seeds, survivors
 from millrace.session import settle
 
 SHINGLE = 5
@@ -152,12 +152,22 @@ def linked(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> Iterator
                 labels[labels == labels[j]] = labels[i]
 
 
+def stars(ids: list[bytes], edges: Iterator[tuple[int, int]]) -> list[tuple[bytes, bytes]]:
+    """What ``edges`` of places connect, as edges from every member to the smallest id: paths over several groups stay short."""
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    rank = {place: r for r, place in enumerate(order)}
+    sets = Sets(len(ids))
+    for i, j in edges:
+        sets.join(rank[i], rank[j])
+    return [(ids[order[r]], ids[order[root]]) for r in range(len(ids)) if (root := sets.root(r)) != r]
+
+
 def edge_batch(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
 def confirm(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Links (a, b) within each group of ``key``, between rows of different ``v`` (null: a component of its own)."""
+    """Edges (a, b) between the components ``v`` (null: the row is one of its own) that links within a group of ``key`` connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, key):
@@ -167,15 +177,16 @@ def confirm(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
             order = np.argsort(labels == np.bincount(labels).argmax(), kind="stable") if len(names) < len(ids) else np.arange(len(ids))
             sets = table.column("shingles").to_pylist()
             sets = [np.frombuffer(sets[i], np.uint64) for i in order]
-            ids = [ids[i] for i in order]
-            yield edge_batch([(ids[i], ids[j]) for i, j in linked(sets, labels[order], percent)])
+            labels = labels[order]
+            found = ((int(labels[i]), int(labels[j])) for i, j in linked(sets, labels, percent))
+            yield edge_batch(stars([bytes.fromhex(name) for name in names.tolist()], found))
 
     rows = rows.select("cid", "v", "shingles", *key)
     return rows.repartition(*key).sortWithinPartitions(*key, "cid").mapInArrow(run, "a binary, b binary")
 
 
-def confirmed_links(near: DataFrame, block: int, block_shingles: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is connected among the candidates ``near`` (root, cid, size, shingles)."""
+def confirmed_classes(near: DataFrame, block: int, block_shingles: int, percent: int) -> DataFrame:
+    """(node, root) of what links connect among the candidates ``near`` (root, cid, size, shingles); contents without a link may be missing."""
 
     def pieces(rows, total):
         return F.greatest(F.ceil(rows / block), F.ceil(total / block_shingles)).cast("int")
@@ -189,10 +200,11 @@ def confirmed_links(near: DataFrame, block: int, block_shingles: int, percent: i
     dealt = rows.withColumn("round", F.explode(rounds)).withColumn("piece", F.pmod(F.xxhash64("round", "cid"), F.col("parts")).cast("int"))
     links = settle(confirm(dealt, ["root", "round", "piece"], percent), "links")
 
+    classes = components(links)
     large = rows.filter("parts > 1").drop("v")
     if large.isEmpty():
-        return links
-    parts = components(links).select(F.col("node").alias("cid"), F.col("root").alias("v"))
+        return classes
+    parts = classes.select(F.col("node").alias("cid"), F.col("root").alias("v"))
     large = settle(large.select("cid", "root").join(parts, "cid", "left").withColumn("v", F.coalesce("v", "cid")), "parts")
     counted = large.join(near.select("cid", "size"), "cid").groupBy("root", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     largest = counted.groupBy("root").agg(
@@ -210,7 +222,11 @@ def confirmed_links(near: DataFrame, block: int, block_shingles: int, percent: i
     from_main = F.transform(F.sequence(F.lit(0), F.col("rest_parts") - 1), lambda r: F.struct(r.alias("rest"), piece(4, "main_parts").alias("other")))
     pairs = left.withColumn("pair", F.explode(F.when(F.col("is_main"), from_main).otherwise(F.concat(to_main, to_rest))))
     rest = confirm(pairs.select("root", "cid", "v", "shingles", "pair.*"), ["root", "rest", "other"], percent)
-    return links.unionByName(settle(rest, "rest_links"))
+    # edges between components: few, and no link within one is gone through again
+    merged = components(settle(rest, "rest_links"))
+    moved = classes.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+    alone = merged.join(classes.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)
 
 
 def sign(documents: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
@@ -260,7 +276,7 @@ def forest_duplicates(
             ids = table.column("cid").to_pylist()
             values = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
             sizes = np.array(table.column("size").to_pylist())
-            edges += [(ids[i], ids[j]) for i, j in candidate_edges(values, sizes, least, share)]
+            edges += stars(ids, candidate_edges(values, sizes, least, share))
             if len(edges) > 10_000:
                 yield edge_batch(edges)
                 edges = []
@@ -276,17 +292,15 @@ def forest_duplicates(
     small = small.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "key", "cid")
     large = members.filter(F.col("n") > block)
     heads = large.groupBy("tree", "prefix").agg(F.min("cid").alias("a"))
-    stars = large.join(heads, ["tree", "prefix"]).select("a", F.col("cid").alias("b"))
-    found = settle(components(small.mapInArrow(region_edges, "a binary, b binary").unionByName(stars)), "candidates")
+    whole = large.join(heads, ["tree", "prefix"]).select("a", F.col("cid").alias("b"))
+    found = settle(components(small.mapInArrow(region_edges, "a binary, b binary").unionByName(whole)), "candidates")
 
     wanted = found.withColumnRenamed("node", "cid").join(contents.select("cid", "first_id", "size"), "cid")
     # one row holds each content's text: the one with the smallest id, so a group of copies does not meet
     rows = with_content(documents, key, text).join(
         wanted.withColumnRenamed("cid", "want"), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("cid") == F.col("want")))
     near = settle(with_shingles(rows.dropDuplicates(["cid"]), shingle), "near")
-    links = confirmed_links(near, block, block_shingles, percent)
-
-    classes = components(links).select(F.col("node").alias("cid"), "root")
+    classes = confirmed_classes(near, block, block_shingles, percent).select(F.col("node").alias("cid"), "root")
     known = contents.select("cid", "first_id", "copies").join(classes, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     ids = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
     known = settle(known.join(ids, "root").select("cid", "copies", "component_id"), "classes")

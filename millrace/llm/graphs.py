@@ -7,8 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from millrace.session import settle
 
 
-def state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def in_stars(edges: DataFrame) -> bool:
+    """Whether no larger end ``a`` has another edge: then every component is a star around its smallest node."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+    more = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("up").alias("up")).filter("up = 1 and n > 1")
+    return more.agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def star(pairs: DataFrame, keep) -> DataFrame:
@@ -21,12 +24,12 @@ def star(pairs: DataFrame, keep) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(``node``, ``root``) of every node of ``edges`` (``a``, ``b``); the root is the smallest node.
 
-    Each round is written to the shared folder. Rounds grow with the logarithm of the nodes.
+    Each round is written to the shared folder. Rounds grow with the logarithm of the longest path; edges
+    that are stars already take none.
     """
     ordered = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = settle(ordered, "edges")
-    before, now = None, state(edges)
-    while now != before and now[0]:
+    while not in_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = star(both, F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = settle(large, "large")
@@ -34,7 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = star(large, F.lit(True))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         edges = settle(small.filter("a <> b").distinct(), "edges")
-        before, now = now, state(edges)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

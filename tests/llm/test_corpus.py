@@ -13,6 +13,7 @@ import pytest
 
 import corpus_pipeline
 from millrace.llm import chat, decontam, graphs, html, jaccard, licences, packing, pii, quality, suffix, urls
+from millrace.session import settle
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 PROSE = "It was the night of the third day, and the men went home over the hill without a word. "
@@ -194,6 +195,17 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Stars are written once and take no round; a path of three edges takes one, without another to see that nothing changes."""
+    written = []
+    monkeypatch.setattr(graphs, "settle", lambda df, name: written.append(name) or settle(df, name))
+    for edges, rounds in (([(9, 1), (8, 1), (7, 2)], 0), ([(4, 3), (4, 2), (5, 2)], 1), ([], 0)):
+        written.clear()
+        got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+        assert written == ["edges"] + ["large", "edges"] * rounds
+        assert got == ({9: 1, 8: 1, 1: 1, 7: 2, 2: 2} if len(edges) and not rounds else {i: 2 for i in (2, 3, 4, 5)} if edges else {})
+
+
 PAGE = (
     '<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><a href="/">Home</a></nav>'
     '<div class="ad">Buy &amp; go</div><article><h1>Fish &amp; <b>chips</b></h1><p>One  two&nbsp;three<br>four.<p>Next <i>wo</i>rd.</p>'

@@ -9,7 +9,8 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from millrace.llm import audit, forest, packing, search
+from millrace.llm import audit, forest, graphs, packing, search
+from millrace.session import settle
 from tests.llm.test_corpus import PROSE, clashing, documents, odd_texts, rows_by_id
 
 
@@ -67,6 +68,16 @@ def test_forest_cuts_dense_regions_and_loses_no_link(spark):
     assert got == brute_components(texts)
 
 
+def test_forest_edges_are_short_paths(spark, monkeypatch):
+    """What tasks find is handed on as stars, so the three calls of ``components`` need few rounds over pieces of large groups."""
+    assert forest.stars([b"c", b"a", b"d", b"b"], iter([(0, 2), (2, 3)])) == [(b"c", b"b"), (b"d", b"b")]
+    texts, written = near_copies(2, 1, 60, changes=8), []
+    monkeypatch.setattr(graphs, "settle", lambda df, name: written.append(name) or settle(df, name))
+    got = rows_by_id(forest.forest_duplicates(documents(spark, texts), block=16), *FOREST)
+    assert got == brute_components(texts)
+    assert written.count("large") <= 2
+
+
 def test_forest_odd_tables(spark):
     df = documents(spark, near_copies(4, 2, 3))
     assert forest.forest_duplicates(df.limit(0)).count() == 0
