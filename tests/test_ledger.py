@@ -113,6 +113,21 @@ def test_failed_requests_are_asked_again(spark, tmp_path):
     assert {r.name: (r.generated, r.error) for r in again.collect()} == found
 
 
+def test_a_restart_moves_texts_once_a_config(spark, tmp_path, monkeypatch):
+    """The open requests are found before the plan is exploded: no message, with its text, is shuffled."""
+    ledger, plans = str(tmp_path / "ledger"), []
+    jobs.synthesize(configs(spark, "a", "b"), model(bad=("b",)), str(tmp_path / "1"), ledger=ledger)
+    monkeypatch.setattr("millrace.plans.ledger.call", lambda plan, *rest: plans.append(plan) or call(plan, *rest))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        jobs.synthesize(configs(spark, "a", "b"), model(), str(tmp_path / "2"), ledger=ledger)
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    above = plan[:plan.index("Generate explode(array_except")]
+    assert "Join" not in above and "Exchange" not in above and "Join" in plan
+
+
 def test_a_rerun_of_one_config_leaves_the_others(spark, tmp_path):
     out = str(tmp_path / "out")
 

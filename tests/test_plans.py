@@ -135,6 +135,18 @@ CONFIG = dict(
 )
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_plan_without_what_is_done(spark, monkeypatch, spread):
+    """Blocks of three, a name that is NULL, done requests that no plan holds."""
+    monkeypatch.setattr(rq, "PLAN_BLOCK", 3)
+    df = spark.createDataFrame([("a", 10), ("b", 4), (None, 7), ("c", 2)], "name string, target int")
+    done = [("a", 0), ("a", 1), ("a", 2), ("a", 7), ("b", 3), (None, 6), (None, 0), ("c", 0), ("c", 1), ("z", 1), ("a", 99)]
+    whole = rq.request_plan(df, F.col("target"), F.lit(1), spread=spread)
+    left = rq.request_plan(df, F.col("target"), F.lit(1), spread=spread, done=spark.createDataFrame(done, "name string, batch_idx long"), keys=["name"])
+    assert left.columns == whole.columns
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in whole.collect() if (r.name, r.batch_idx) not in done)
+
+
 def test_grounded_run_over_files(spark, tmp_path):
     (tmp_path / "list.json").write_text('[{"b": 1, "a": "é"}, 2]', encoding="utf-8")
     (tmp_path / "lines.JSONL").write_text('{"a":1}\n\nno json\n', encoding="utf-8")
