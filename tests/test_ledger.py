@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from millrace.operators import configs as cf
@@ -10,6 +11,7 @@ from millrace.operators.configs import sequential_status
 from millrace.plans import generate as gen
 from millrace.plans import jobs
 from millrace.plans.ledger import answered, call, record
+from millrace.queries import generation
 from tests.test_plans import CONFIG
 
 ROW = '{"prompt":"p","completion":"c"}'
@@ -128,6 +130,15 @@ def test_a_restart_moves_texts_once_a_config(spark, tmp_path, monkeypatch):
     assert "Join" not in above and "Exchange" not in above and "Join" in plan
 
 
+def test_standard_configs_are_read_once(spark, monkeypatch):
+    """The steps of a run read the chosen configs, not all documents and rules again."""
+    given = []
+    monkeypatch.setattr(generation.jobs, "synthesize", lambda configs, *rest, **more: given.append(configs) or configs)
+    with pytest.raises(AnalysisException, match="generated"):
+        generation.standard_job(spark, "/root/testdata/sf0.001")
+    assert given[0].count() > 0 and not any("documents" in file for file in given[0].inputFiles())
+
+
 def test_a_rerun_of_one_config_leaves_the_others(spark, tmp_path):
     out = str(tmp_path / "out")
 
