@@ -34,6 +34,14 @@ def test_strict_gate_accepts_what_python_accepts(spark):
     assert list(zip(EDGES, validity(spark, EDGES))) == [(text, accepted(text)) for text in EDGES]
 
 
+def test_a_guard_with_escaped_letters_closes_no_line(spark):
+    texts = [
+        '{"prompt":1},"\\u0001\\u007eend"] junk', '{"a":1},"\\u0001\\u007Een\\u0064"]}', '{"a":"\\u0001\\u007eend"}', '{"a":"\\\\u0001"}',
+        '{"a":["\\u0001",NaN,' + "[" * 1200 + "9" * 2000 + "]" * 1200 + "]}",
+    ]
+    assert validity(spark, texts) == [False, False, True, True, True]
+
+
 def test_column_and_table_forms_agree(spark):
     df = spark.createDataFrame(list(enumerate(EDGES)), "i int, raw string")
     both = jsonrow.with_value(df).withColumn("again", jsonrow.parse_strict("raw"))

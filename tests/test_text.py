@@ -34,6 +34,16 @@ def test_strip_split_and_count_match_python(spark, values):
     assert pieces == [[line for line in v.splitlines() if line] for v in values]
 
 
+def test_lines_that_end_in_crlf_need_no_regex(spark, monkeypatch):
+    values = ["a\r\nb\r\n", "\r\n\r\n", "a\nb\r\n\nc", "é\r\n𝄞"]
+    want = [[line for line in v.splitlines() if line] for v in values]
+    monkeypatch.setattr(tx, "LINE_BREAK", "no such mark")
+    assert column(spark, values, lambda x: F.filter(tx.split_lines(x), lambda line: line != "")) == want
+    monkeypatch.undo()
+    mixed = ["a\r\nb\rc", "a\r\r\nb", "\r", "a\r\n\x85b\u2028c"]
+    assert column(spark, mixed, lambda x: F.filter(tx.split_lines(x), lambda line: line != "")) == [[x for x in v.splitlines() if x] for v in mixed]
+
+
 def test_truncate_counts_code_points_and_adds_the_mark(spark):
     values = ["é𝄞abc", "é𝄞a", ""]
     assert column(spark, values, lambda x: tx.truncate(x, 3)) == ["é𝄞a\n... [truncated at 3 chars]", "é𝄞a", ""]
