@@ -179,3 +179,48 @@ def test_refill_rounds_do_not_move_texts(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     moved = [line for line in plan.splitlines() if "Exchange" in line]
     assert len(moved) == 1 and "unit_idx" in moved[0] and plan.index("Exchange") > plan.index("FileScan")
+
+
+@pytest.mark.parametrize("ledgered", [False, True])
+def test_refill_rounds_write_a_shared_text_once(spark, tmp_path, monkeypatch, ledgered):
+    """Two prompts to each unit, of which unit 3 is full after the first round: its text is not written, the others' once."""
+    units = spark.range(4).selectExpr("'s' AS source", "id AS unit_idx", "concat('text ', id) AS unit")
+    pairs = units.crossJoin(spark.range(2).selectExpr("id AS prompt_idx", "concat('p', id) AS prompt"))
+    keys, written = ["source", "unit_idx", "prompt_idx"], {}
+
+    def telling():
+        def respond(requests):
+            seen = zip(requests.unit_idx, requests.batch_idx, requests.unit, requests.prompt)
+            return ["\n".join([f'{{"prompt":"{p} {t} {b}","completion":"c"}}'] * (9 if u == 3 else 1)) for u, b, t, p in seen]
+
+        return respond
+
+    def stored(rows, by, name, wanted=None):
+        written[name] = storing(rows, by, name, wanted)
+        return written[name]
+
+    storing = gen.stored_by
+    monkeypatch.setattr(gen, "stored_by", stored)
+    ledger = (lambda name: str(tmp_path / name)) if ledgered else lambda name: None
+    plain, state = gen.fill_rounds(pairs, keys, telling, "sft", F.lit(3), F.lit(1), 4, ledger=ledger("a"))
+    want = sorted(map(str, plain.select(*keys, "batch_idx", "line_idx", "raw").collect())), sorted((*r[:3], r.written, r.skipped) for r in state.collect())
+    assert len(want[0]) == 24 and written["open-pairs"].count() == 6
+    shared, state = gen.fill_rounds(pairs, keys, telling, "sft", F.lit(3), F.lit(1), 4, ledger=ledger("b"), units=units, unit_keys=["source", "unit_idx"])
+    assert (sorted(map(str, shared.select(*keys, "batch_idx", "line_idx", "raw").collect())), sorted((*r[:3], r.written, r.skipped) for r in state.collect())) == want
+    assert "unit" not in written["open-pairs"].columns and written["open-pairs"].count() == 6
+    assert sorted(r.unit for r in written["open-units"].collect()) == ["text 0", "text 1", "text 2"]
+
+
+def test_open_texts_are_moved_once(spark, monkeypatch):
+    """What is open is looked for in the buckets: one shuffle of the texts, also where the open keys are too many to broadcast."""
+    plans = []
+    monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.saveAsTable", lambda self, name: plans.append(self._df))
+    monkeypatch.setattr(type(spark), "table", lambda self, name: None)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        units = spark.range(50).selectExpr("id AS unit_idx", "repeat('x', 100) AS unit")
+        gen.stored_by(units, ["unit_idx"], "test-units", spark.range(20).selectExpr("id AS unit_idx"))
+        plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 2
