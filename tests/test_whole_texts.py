@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from millrace.operators.responses import VALID, first_valid, judged_valid, parse_responses
 from millrace.plans import generate as gen
 from millrace.plans.ledger import CALL_CHARS, call, portions
-from millrace.queries import files
-from millrace.session import PYTHON_BATCH, shared_folder
+from millrace.queries import files, generation
+from millrace.session import PYTHON_BATCH, settle, shared_folder
 
 
 def test_one_array_file_for_each_source_of_a_table_of_many_files(spark, tmp_path):
@@ -138,3 +138,15 @@ def test_judged_answers_stay_in_the_worker(spark):
     assert [(x.response, x._added, x._missed, x._places, x._kept, x.error) for x in found] == [
         (None, 2, 1, [1], ['{"prompt":1,"completion":2}'], None),
     ] * 2 + [(None, 0, 0, [], [], "ConnectionError: refused")]
+
+
+def test_written_answers_take_less_disk_than_four_times_the_documents(spark):
+    """An answer says its unit's text again and again, and so do the unit's other answers in the rows next to it."""
+    def size(rows):
+        return sum(os.path.getsize(file.removeprefix("file://")) for file in rows.inputFiles())
+
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    answers = generation.generated(spark, folder)
+    assert answers.count() == 6 * documents.count() and size(answers) < 4 * size(documents)
+    assert size(answers) < size(settle(answers, "answers")) / 3
