@@ -224,3 +224,38 @@ def test_open_texts_are_moved_once(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and plan.count("Exchange") == 2
+
+
+def test_grounded_runs_write_a_unit_once(spark, tmp_path, monkeypatch):
+    """However many configs and prompts ask about it, a unit is written once and joined in its bucket; each config has its own cut."""
+    rows = [{**CONFIG, "name": n, "prompts": ["P", "Q"], "source": "s", "batch_size": 1, "count": 2, "max_source_chars": k} for n, k in (("a", 100), ("b", 900))]
+    grounded = spark.createDataFrame(rows, cf.CONFIG_SCHEMA)
+    units = spark.createDataFrame([(s, i, "x" * 100 + f"{s} text {i}") for s in "su" for i in range(3)], "source string, unit_idx long, unit string")
+    written, plans, storing, calling = {}, [], gen.stored_by, gen.call
+
+    def stored(rows, by, name, wanted=None):
+        written[name] = storing(rows, by, name, wanted)
+        return written[name]
+
+    def called(plan, *rest):
+        plans.append(plan._jdf.queryExecution().executedPlan().toString())
+        return calling(plan, *rest)
+
+    def one_row():
+        return lambda requests: ['{"prompt":"%s","completion":"c"}' % m.replace("\n", " ") for m in requests.message]
+
+    monkeypatch.setattr(gen, "stored_by", stored)
+    monkeypatch.setattr(gen, "call", called)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = str(tmp_path / "out")
+        found = jobs.synthesize_grounded(grounded, units, one_row, out, 5, template="{instruction}|{unit}")
+        assert {r.name: (r.generated, r.sources) for r in found.collect()} == {"a": (12, 3), "b": (12, 3)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = [name for name, rows in written.items() if "unit" in rows.columns]
+    assert texts == ["units"] and sorted(r.unit[100:] for r in written["units"].collect()) == ["s text 0", "s text 1", "s text 2"]
+    assert len(plans) == 2 and all("Bucketed: true" in p for p in plans)
+    got = {(r.name, r.value.split('"')[3]) for r in spark.read.option("basePath", out).text(out).collect()}
+    want = {("a", f"{p}|{'x' * 100} ... [truncated at 100 chars]") for p in "PQ"} | {("b", f"{p}|{'x' * 100}s text {i}") for p in "PQ" for i in range(3)}
+    assert got == want
